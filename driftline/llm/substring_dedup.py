@@ -1,12 +1,12 @@
 """Exact removal of repeated passages, by seed and extend.
 
-1. *Seed.* Every run of ``seed`` words is hashed and winnowed: of each ``window - seed + 1`` consecutive
-   seeds the smallest hash is an anchor, so every window of ``window`` words holds an anchor at the same
-   place in each of its copies. Anchors that occur once cannot lie in a repeat and go no further.
-2. *Extend.* An anchor's context is all words that a window around it can reach. Where two occurrences
-   agree on the whole context, the match extends to its full length both ways and no word of text has
-   to be read again. Where an anchor occurs in several contexts, one representative of each context is
-   extended window by window, and the windows are counted.
+1. *Seed.* Every run of ``seed`` words is hashed and winnowed: of the ``window - seed + 1`` seeds in a
+   window of ``window`` words, the leftmost least hash is its anchor, in each of its copies. Windows of
+   one anchor are neighbours and make up its reach. Anchors that occur once cannot lie in a repeat and
+   go no further.
+2. *Extend.* Where occurrences of an anchor agree on all words of the reach, the match extends to its
+   full length both ways and no word of text has to be read again. Where an anchor occurs in several
+   contexts, one representative of each is extended window by window, and the windows are counted.
 3. *Keep.* Overlapping matches of a document merge into maximal repeats; all of their words go.
 
 Hot passages never meet in one task: occurrences are counted with map-side partial aggregates, and
@@ -36,19 +36,15 @@ SEED = 12
 WINDOW = 35
 
 
-def _winnow(hashes: np.ndarray, grams: np.ndarray, width: int) -> np.ndarray:
-    """Places (into hashes) of the leftmost minimum of every ``width`` consecutive seeds of one text."""
+def _winnow(hashes: np.ndarray, starts: np.ndarray, grams: np.ndarray, width: int):
+    """(anchor, first window, number of windows), as word places, from the seeds of all texts in a row."""
     n = np.maximum(grams - width + 1, 0)
     if not n.sum():
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     at = ranges(np.cumsum(grams) - grams, n)
     picked = at + sliding_window_view(hashes, width)[at].argmin(axis=1)
-    return np.unique(picked)
-
-
-def _context(first: np.ndarray, last: np.ndarray, pos: np.ndarray, seed: int, window: int):
-    """What a window around the seed at pos can reach, inside its text (words first .. last-1)."""
-    return np.maximum(pos - (window - seed), first), np.minimum(pos + window, last)
+    new = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
+    return starts[picked[new]], starts[at[new]], np.diff(np.append(new, len(at)))
 
 
 def _anchor_rows(seed: int, window: int):
@@ -57,29 +53,25 @@ def _anchor_rows(seed: int, window: int):
             words = Words(batch.column("text"))
             hashes = words.hashes()
             starts, grams = gram_starts(words.first, seed)
-            chosen = _winnow(gram_hashes(hashes, starts, seed), grams, window - seed + 1)
-            pos = starts[chosen]
+            pos, begin, reach = _winnow(gram_hashes(hashes, starts, seed), starts, grams, window - seed + 1)
             doc = np.searchsorted(words.first, pos, "right") - 1
-            first, last = words.first[doc], words.first[doc + 1]
-            left, right = _context(first, last, pos, seed, window)
-            shape = ((pos - left) * 4096 + (right - pos)).astype(np.uint64)
+            shape = ((pos - begin) * 4096 + reach).astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
                     signed(gram_hashes(hashes, pos, seed)),
-                    signed(gram_hashes(hashes, left, right - left) + shape),
+                    signed(gram_hashes(hashes, begin, reach + window - 1) + shape),
                     batch.column("row").take(pa.array(doc)),
-                    pa.array((pos - first).astype(np.int32)),
-                    pa.array((left - first).astype(np.int32)),
-                    pa.array((right - first).astype(np.int32)),
+                    pa.array((begin - words.first[doc]).astype(np.int32)),
+                    pa.array(reach.astype(np.int32)),
                 ],
-                names=["anchor", "context", "row", "pos", "begin", "end"],
+                names=["anchor", "context", "row", "begin", "reach"],
             )
 
     return run
 
 
-def _window_rows(seed: int, window: int):
-    """The windows around each representative, from rows (row, doc_id, text, seeds)."""
+def _window_rows(window: int):
+    """The windows of each representative, from rows (row, doc_id, text, seeds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -88,17 +80,16 @@ def _window_rows(seed: int, window: int):
             seeds = batch.column("seeds")
             doc = np.repeat(np.arange(len(batch)), np.diff(np.asarray(seeds.offsets)))
             flat = seeds.flatten()
-            pos = flat.field("pos").to_numpy() + words.first[doc]
-            left, right = _context(words.first[doc], words.first[doc + 1], pos, seed, window)
-            n = right - left - window + 1
-            start = ranges(left, n)
-            own = np.repeat(np.arange(len(pos)), n)
+            n = flat.field("reach").to_numpy()
+            begin = flat.field("begin").to_numpy()
+            start = ranges(begin, n)
+            own = np.repeat(np.arange(len(n)), n)
             yield pa.RecordBatch.from_arrays(
                 [
                     flat.field("anchor").take(pa.array(own)),
-                    signed(gram_hashes(hashes, start, window)),
+                    signed(gram_hashes(hashes, start + words.first[doc[own]], window)),
                     batch.column("row").take(pa.array(doc[own])),
-                    pa.array((start - words.first[doc[own]]).astype(np.int32)),
+                    pa.array(start.astype(np.int32)),
                 ],
                 names=["anchor", "span", "row", "start"],
             )
@@ -144,9 +135,7 @@ def remove_repeats(docs: DataFrame, seed: int = SEED, window: int = WINDOW) -> D
     (arrays of word ranges), after removing every word in a ``window`` that starts anywhere else too.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_key())
-    anchors = keyed.select("row", "text").mapInArrow(
-        _anchor_rows(seed, window), "anchor long, context long, row long, pos int, begin int, end int"
-    )
+    anchors = keyed.select("row", "text").mapInArrow(_anchor_rows(seed, window), "anchor long, context long, row long, begin int, reach int")
     seen = (
         anchors.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
@@ -154,23 +143,19 @@ def remove_repeats(docs: DataFrame, seed: int = SEED, window: int = WINDOW) -> D
         .select("anchor", (F.col("low") != F.col("high")).alias("split"))
     )
     repeated = cut(anchors.join(seen, "anchor"))
+    mark = lambda df: df.select("row", "begin", (F.col("begin") + F.col("reach") + (window - 1)).alias("end"))
 
     split = repeated.filter("split")
-    contexts = split.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("row", "pos", "begin", "end")).alias("rep")
-    )
-    whole = repeated.filter("not split").select("row", "begin", "end")
-    several = split.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("row", "begin", "end")
-
-    seeds = contexts.groupBy(F.col("rep.row").alias("row")).agg(F.collect_list(F.struct("anchor", F.col("rep.pos").alias("pos"))).alias("seeds"))
-    spans = keyed.join(seeds, "row").select("row", "doc_id", "text", "seeds").mapInArrow(
-        _window_rows(seed, window), "anchor long, span long, row long, start int"
-    )
-    spans = cut(spans)
-    place = F.struct("row", "start")
-    twice = (
-        spans.groupBy("anchor", "span").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor", "span")
-    )
+    contexts = cut(split.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "begin", "reach")).alias("rep")))
+    whole = mark(repeated.filter("not split"))
+    several = mark(split.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"]))
+
+    seed_rows = F.struct("anchor", F.col("rep.begin").alias("begin"), F.col("rep.reach").alias("reach"))
+    seeds = contexts.groupBy(F.col("rep.row").alias("row")).agg(F.collect_list(seed_rows).alias("seeds"))
+    # the texts are dealt by row here and below: one exchange, which Spark reuses
+    spans = keyed.join(seeds, "row").select("row", "doc_id", "text", "seeds").mapInArrow(_window_rows(window), "anchor long, span long, row long, start int")
+    place = F.xxhash64("row", "start")
+    twice = spans.groupBy("anchor", "span").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor", "span")
     single = spans.join(twice, ["anchor", "span"]).select("row", F.col("start").alias("begin"), (F.col("start") + window).alias("end"))
 
     marks = whole.unionAll(several).unionAll(single).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("marks"))
