@@ -136,7 +136,8 @@ def remove_repeats(docs: DataFrame, seed: int = SEED, window: int = WINDOW) -> D
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_key())
     anchors = keyed.select("row", "text").mapInArrow(_anchor_rows(seed, window), "anchor long, context long, row long, begin int, reach int")
-    seen = (
+    # verdicts are cut or dealt anew before they meet occurrences, so that a hot key's join can be split
+    seen = cut(
         anchors.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
         .filter("n > 1")
@@ -156,6 +157,7 @@ def remove_repeats(docs: DataFrame, seed: int = SEED, window: int = WINDOW) -> D
     spans = keyed.join(seeds, "row").select("row", "doc_id", "text", "seeds").mapInArrow(_window_rows(window), "anchor long, span long, row long, start int")
     place = F.xxhash64("row", "start")
     twice = spans.groupBy("anchor", "span").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor", "span")
+    twice = twice.repartition(F.xxhash64("anchor", "span"))
     single = spans.join(twice, ["anchor", "span"]).select("row", F.col("start").alias("begin"), (F.col("start") + window).alias("end"))
 
     marks = whole.unionAll(several).unionAll(single).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("marks"))
