@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import scalars, trajectories  # noqa: F401
+from . import relations, scalars, trajectories  # noqa: F401
