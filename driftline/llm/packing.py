@@ -20,11 +20,13 @@ Null texts are empty: one end token. Repeated rows are packed each.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,11 @@ ROUNDS = 240
 STEP = 0.5
 RATE = 1.5
 SALTS = 64
-_CACHE = 200_000
+_CACHE = 300_000
 
-_tokenizers: dict[str, object] = {}
-_words: dict[str, dict[str, bytes]] = {}
+_STRETCH = regex.compile(r"\p{L}+|[^\p{L}]+")
+_RARE_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_encoders: dict[str, _Ids] = {}
 
 
 def default_tokenizer() -> str:
@@ -49,27 +52,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's token ids as little-endian 32-bit numbers.
+class _Ids:
+    """Token ids of words, as little-endian 32-bit numbers.
 
-    This vocabulary's splitter never joins across white space, so ids of white-space separated words,
-    kept in a bounded cache, concatenate to the text's ids.
+    The vocabulary's splitter never joins across white space, nor letters with anything else (but for
+    apostrophes), and marks the last token of each stretch of letters. So ids of white-space separated
+    words, kept in a bounded cache, concatenate to a text's; those of a word are put together from its
+    stretches; and new stretches of letters are encoded many at a time and told apart by the marks.
     """
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path], _words[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tokenizers[path], _words[path]
-    split = [t.split() for t in texts]
-    missing = list({w for words in split for w in words} - known.keys())
-    if len(known) + len(missing) > _CACHE:
-        known.clear()
-        missing = list({w for words in split for w in words})
-    for begin in range(0, len(missing), 4096):
-        part = missing[begin : begin + 4096]
-        for word, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def one_by_one(self, items: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
+
+    def letters(self, items: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(items), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(items):  # a letter that normalisation takes apart
+            return self.one_by_one(items)
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: list[str]) -> None:
+        plain = (w for w in words if "'" not in w and "<|" not in w and (w.isascii() or unicodedata.is_normalized("NFC", w)))
+        split = {w: _STRETCH.findall(w.lower() if w.isascii() else w) for w in plain}
+        new = {p for parts in split.values() for p in parts} - self.parts.keys()
+        for many, encode in ((sorted(p for p in new if p.isalpha()), self.letters), (sorted(p for p in new if not p.isalpha()), self.one_by_one)):
+            for i in range(0, len(many), 2048):
+                self.parts.update(zip(many[i : i + 2048], encode(many[i : i + 2048]), strict=True))
+        get = self.parts.__getitem__
+        self.words.update((w, b"".join(map(get, parts))) for w, parts in split.items())
+        odd = [w for w in words if w not in split]
+        self.words.update(zip(odd, self.one_by_one(odd), strict=True))
+        if len(self.parts) > _CACHE:
+            self.parts.clear()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        rare = [_RARE_SPACE.search(t) is not None for t in texts]  # white space to str.split, not to the splitter
+        split = [[] if r else t.split() for t, r in zip(texts, rare, strict=True)]
+        own = {w for words in split for w in words}
+        if len(self.words) > _CACHE:
+            self.words.clear()
+        self.learn(list(own - self.words.keys()))
+        get = self.words.__getitem__
+        return [self.one_by_one([t])[0] if r else b"".join(map(get, words)) for t, words, r in zip(texts, split, rare, strict=True)]
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """Each text's token ids as little-endian 32-bit numbers."""
+    if path not in _encoders:
+        _encoders[path] = _Ids(path)
+    return _encoders[path].texts(texts)
 
 
 def _piece_rows(path: str, capacity: int, with_ids: bool):
