@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import relations, scalars, trajectories  # noqa: F401
+from . import rasters, relations, scalars, stores, trajectories  # noqa: F401
