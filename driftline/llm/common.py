@@ -33,3 +33,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
 def fold(column) -> F.Column:
     """crc32 of an id's decimal text, for held-out splits."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not use (names are compared as Spark does, without case)."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name

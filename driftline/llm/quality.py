@@ -183,24 +183,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return fit([parts[i] for i in order], y[order])
 
 
-def _score_rows(model, keep: list[str]):
+def _score_rows(model, keep: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = tuple(np.frombuffer(x, np.float32) for x in model.value[1:])
         own = (model.value[0], parts[0], parts[1].reshape(-1, RANK))
         for batch in slices(batches):
             out = margins(own, *features(batch.column("text")))
             score = 1 / (1 + np.exp(-np.clip(out.astype(np.float64), -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, name])
 
     return run
 
 
-def with_score(docs: DataFrame, model) -> DataFrame:
-    """The columns of docs, and ``score``: the probability of label 1. docs must not have a ``score`` of its own."""
+def with_score(docs: DataFrame, model, name: str = "score") -> DataFrame:
+    """The columns of docs, and the probability of label 1 as ``name``, which docs must not have."""
     bias, weights, factors = model
     sent = docs.sparkSession.sparkContext.broadcast((bias, weights.astype(np.float32).tobytes(), factors.astype(np.float32).tobytes()))
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_score_rows(sent, docs.columns), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score_rows(sent, docs.columns, name), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, fresh, row_key
 from .components import connected
 from .textkit import ranges, slices
 
@@ -213,10 +213,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET)
 
 def representatives(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """One row of docs for each component: that of the least doc_id (null last), repeated rows once."""
-    keyed = docs.withColumn("_row", row_key())
-    prints = cut(keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_rows(size), "_row long, doc_id long, print long"))
+    row = fresh(docs, "_row")
+    keyed = docs.withColumn(row, row_key())
+    rows = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = cut(rows.mapInArrow(_fingerprint_rows(size), "row long, doc_id long, print long"))
     roots = connected(links(prints, budget)).withColumnRenamed("node", "print")
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_row")).alias("best")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row")).alias("best")
     firsts = prints.groupBy("print").agg(least).join(roots, "print", "left")
-    kept = firsts.groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("best").alias("best")).select("best._row")
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = firsts.groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
