@@ -175,8 +175,8 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFr
     turned = F.expr("if(turn = 0, print, shiftleft(print, turn) | shiftrightunsigned(print, 64 - turn))")
     bits = lambda at, n: F.expr(f"cast(shiftrightunsigned(turned, {64 - at - n}) & {(1 << n) - 1} as int)")
     cells = prints.select("print").distinct().select("print", turns).withColumn("turned", turned)
-    cells = cells.select(F.xxhash64("turn", bits(0, width)).alias("cell"), F.lit(-1).alias("side"), "print", "turned")
-    near = [v for v in range(1 << _LEVEL) if v.bit_count() <= budget]
+    cells = cells.select(F.xxhash64("turn", bits(0, width)).alias("cell"), F.lit(-1).alias("side"), F.lit(0).alias("used"), "print", "turned")
+    near = F.array(*(F.lit(v) for v in range(1 << _LEVEL) if v.bit_count() <= budget))
     edges, depth = None, width
     while True:
         crowded = None
@@ -186,17 +186,24 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFr
             crowded = crowded if crowded.limit(1).count() else None
         now = cells if crowded is None else cells.join(crowded, "cell", "left_anti")
         order = F.col("turned").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned
-        found = now.repartition("cell").sortWithinPartitions("cell", "side", order).mapInArrow(_cell_rows(budget, depth), "a long, b long")
+        found = now.select("cell", "side", "print", "turned").repartition("cell").sortWithinPartitions("cell", "side", order).mapInArrow(_cell_rows(budget, depth), "a long, b long")
         edges = found if edges is None else edges.unionAll(found)
         if crowded is None:
             return edges.distinct()
-        node, other = bits(depth, _LEVEL), F.col("node").bitwiseXOR(F.col("flip"))
-        split = cells.join(crowded, "cell").withColumn("node", node).withColumn("flip", F.explode(F.array(*map(F.lit, near))))
-        alone = F.col("side") < 0
-        lower = F.when(alone, F.least("node", other)).when(F.col("side") == 0, F.col("node")).otherwise(other)
-        upper = F.when(alone, F.greatest("node", other)).when(F.col("side") == 0, other).otherwise(F.col("node"))
-        side = F.when(~alone, F.col("side")).when(F.col("flip") == 0, -1).when(F.col("node") < other, 0).otherwise(1)
-        cells = split.select(F.xxhash64("cell", lower, upper).alias("cell"), side.alias("side"), "print", "turned")
+        # pairs of nodes that both exist and leave some budget: (cell, side, node) -> the cells it takes part in
+        rows = cells.join(crowded, "cell").withColumn("node", bits(depth, _LEVEL))
+        nodes = rows.select("cell", "side", "used", "node").distinct()
+        alone, other = F.col("side") < 0, F.col("node").bitwiseXOR(F.col("flip"))
+        pairs = nodes.withColumn("flip", F.explode(near)).withColumn("spent", F.col("used") + F.bit_count("flip")).filter(F.col("spent") <= budget)
+        pairs = pairs.withColumn("other", other).withColumn("across", F.when(alone, -1).otherwise(1 - F.col("side")))
+        there = nodes.select("cell", F.col("side").alias("across"), F.col("node").alias("other"))
+        pairs = pairs.join(there, ["cell", "across", "other"], "left_semi")
+        lower = F.when(alone, F.least("node", "other")).when(F.col("side") == 0, F.col("node")).otherwise(F.col("other"))
+        upper = F.when(alone, F.greatest("node", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("node"))
+        side = F.when(~alone, F.col("side")).when(F.col("flip") == 0, -1).when(F.col("node") < F.col("other"), 0).otherwise(1)
+        pairs = pairs.select("cell", "side", "node", F.xxhash64("cell", lower, upper).alias("to_cell"), side.alias("to_side"), "spent")
+        split = rows.drop("used").join(pairs, ["cell", "side", "node"])
+        cells = split.select(F.col("to_cell").alias("cell"), F.col("to_side").alias("side"), F.col("spent").alias("used"), "print", "turned")
         depth += _LEVEL
 
 
