@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .sequences import BY
+from .sequences import by
 
 SCHEMA = "hex long, seq long, lat double, lon double"
 
 
 def thin(fixes: DataFrame, tolerance: float, span: int = 20_000) -> DataFrame:
     """Douglas-Peucker per aircraft, on stretches of at most ``span`` fixes, so a long path is several tasks' work."""
-    rows = fixes.withColumn("part", F.floor((F.row_number().over(BY) - 1) / span))
+    rows = fixes.withColumn("part", F.floor((F.row_number().over(by()) - 1) / span))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_ms", "seq"])
@@ -42,7 +42,7 @@ def thin_radial(fixes: DataFrame, degrees: float) -> DataFrame:
 
 def chaikin(fixes: DataFrame) -> DataFrame:
     """One round of corner cutting: points at a quarter and three quarters of every segment; ends stay."""
-    nxt = fixes.withColumns({"n_lat": F.lead("lat").over(BY), "n_lon": F.lead("lon").over(BY), "p_lat": F.lag("lat").over(BY)})
+    nxt = fixes.withColumns({"n_lat": F.lead("lat").over(by()), "n_lon": F.lead("lon").over(by()), "p_lat": F.lag("lat").over(by())})
     mix = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
     point = lambda part, lat, lon: F.struct(F.lit(part).alias("part"), lat.alias("lat"), lon.alias("lon"))
     cut = F.array(point(1, mix("lat", "n_lat", 0.25), mix("lon", "n_lon", 0.25)), point(2, mix("lat", "n_lat", 0.75), mix("lon", "n_lon", 0.75)))
@@ -55,7 +55,7 @@ def _spline(fixes: DataFrame, samples: int, basis) -> DataFrame:
     """Points at ``samples`` places of every segment from its four neighbours (ends repeated)."""
     cols = {}
     for c in ("lat", "lon"):
-        cols |= {f"{c}1": F.col(c), f"{c}2": F.lead(c).over(BY), f"{c}0": F.coalesce(F.lag(c).over(BY), F.col(c)), f"{c}3": F.coalesce(F.lead(c, 2).over(BY), F.lead(c).over(BY))}
+        cols |= {f"{c}1": F.col(c), f"{c}2": F.lead(c).over(by()), f"{c}0": F.coalesce(F.lag(c).over(by()), F.col(c)), f"{c}3": F.coalesce(F.lead(c, 2).over(by()), F.lead(c).over(by()))}
     rows = fixes.withColumns(cols).filter("lat2 is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     t = F.col("i") / samples
     value = lambda c: basis(*(F.col(f"{c}{k}") for k in range(4)), t)

@@ -12,14 +12,26 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 ORDER = ["t_ms", "seq"]
-BY = Window.partitionBy("hex").orderBy(*ORDER)
-ALL = Window.partitionBy("hex").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-PLACE = F.struct(*ORDER)
+
+
+def by():
+    """An aircraft's rows in order."""
+    return Window.partitionBy("hex").orderBy(*ORDER)
+
+
+def every():
+    """All of an aircraft's rows, in order."""
+    return by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def place() -> Column:
+    """What orders an aircraft's rows."""
+    return F.struct(*ORDER)
 
 
 def segments(fixes: DataFrame) -> DataFrame:
     """One row per pair of neighbouring fixes (seq is the later one's): len_ft, dt and the previous values."""
-    prev = {f"p_{c}": F.lag(c).over(BY) for c in ("lat", "lon", "alt", "t_ms", *(["sev"] if "sev" in fixes.columns else []))}
+    prev = {f"p_{c}": F.lag(c).over(by()) for c in ("lat", "lon", "alt", "t_ms", *(["sev"] if "sev" in fixes.columns else []))}
     rows = fixes.withColumns(prev).filter("p_t_ms is not null")
     out = rows.withColumn("len_ft", geo.planar_ft(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))).withColumn("dt", F.col("t_ms") - F.col("p_t_ms"))
     return out.withColumn("seg_sev", F.greatest("sev", "p_sev")) if "sev" in fixes.columns else out
@@ -27,15 +39,15 @@ def segments(fixes: DataFrame) -> DataFrame:
 
 def islands(rows: DataFrame, change: Column, name: str = "run") -> DataFrame:
     """rows with a run number that grows where ``change`` holds; an aircraft's first row begins run 1."""
-    first = F.row_number().over(BY) == 1
-    return rows.withColumn("_new", (first | F.coalesce(change, F.lit(False))).cast("int")).withColumn(name, F.sum("_new").over(BY).cast("long")).drop("_new")
+    first = F.row_number().over(by()) == 1
+    return rows.withColumn("_new", (first | F.coalesce(change, F.lit(False))).cast("int")).withColumn(name, F.sum("_new").over(by()).cast("long")).drop("_new")
 
 
 def changed(*columns: str) -> Column:
     """Whether any of the columns differs from the previous row's, nulls being equal."""
     out = F.lit(False)
     for c in columns:
-        out = out | ~F.col(c).eqNullSafe(F.lag(c).over(BY))
+        out = out | ~F.col(c).eqNullSafe(F.lag(c).over(by()))
     return out
 
 
@@ -45,10 +57,10 @@ def bands(fixes: DataFrame, *keys: str, bridge: bool = True, points: bool = Fals
     With ``bridge`` a run also receives the first point of the next one, so drawn bands touch.
     """
     keys = keys or ("sev",)
-    nxt = F.lead(PLACE).over(BY)
+    nxt = F.lead(place()).over(by())
     runs = islands(fixes, changed(*keys)).withColumn("next_place", nxt)
-    extra = F.max_by("next_place", PLACE) if bridge else F.lit(None).cast("struct<t_ms:bigint,seq:bigint>")
-    agg = [F.min("t_ms").alias("t_from"), F.max("t_ms").alias("t_to"), F.count("*").alias("n"), F.min_by("seq", PLACE).alias("first_seq"), F.max_by("seq", PLACE).alias("last_seq"), extra.alias("bridge")]
+    extra = F.max_by("next_place", place()) if bridge else F.lit(None).cast("struct<t_ms:bigint,seq:bigint>")
+    agg = [F.min("t_ms").alias("t_from"), F.max("t_ms").alias("t_to"), F.count("*").alias("n"), F.min_by("seq", place()).alias("first_seq"), F.max_by("seq", place()).alias("last_seq"), extra.alias("bridge")]
     if points:
         agg.append(F.array_sort(F.collect_list(F.struct(*ORDER, "lat", "lon", "alt"))).alias("points"))
     out = runs.groupBy("hex", "run", *keys).agg(*agg)
@@ -58,8 +70,8 @@ def bands(fixes: DataFrame, *keys: str, bridge: bool = True, points: bool = Fals
 def excursions(classed: DataFrame) -> DataFrame:
     """Maximal runs of a class other than clean: worst severity, altitude and zone where it is first reached,
     lowest altitude within the worst and overall, path length and whether the run is the aircraft's last."""
-    rows = classed.withColumn("len_ft", F.coalesce(geo.planar_ft(F.lag("lat").over(BY), F.lag("lon").over(BY), F.col("lat"), F.col("lon")), F.lit(0.0)))
-    rows = islands(rows.withColumn("out", F.col("sev") > 0), changed("out")).withColumn("is_last", F.lead("seq").over(BY).isNull()).filter("out")
+    rows = classed.withColumn("len_ft", F.coalesce(geo.planar_ft(F.lag("lat").over(by()), F.lag("lon").over(by()), F.col("lat"), F.col("lon")), F.lit(0.0)))
+    rows = islands(rows.withColumn("out", F.col("sev") > 0), changed("out")).withColumn("is_last", F.lead("seq").over(by()).isNull()).filter("out")
     rows = rows.withColumn("run_start", F.row_number().over(Window.partitionBy("hex", "run").orderBy(*ORDER)) == 1)
     first_worst = F.struct(F.col("sev"), -F.col("t_ms"), -F.col("seq"))
     top = F.max("sev").over(Window.partitionBy("hex", "run"))
@@ -81,7 +93,7 @@ def excursions(classed: DataFrame) -> DataFrame:
 
 def air_islands(fixes: DataFrame, ground_ft: float) -> DataFrame:
     """fixes in runs of ground and air (``air``); a null altitude extends the run it falls into."""
-    state = F.last(F.col("alt") > ground_ft, ignorenulls=True).over(BY)
+    state = F.last(F.col("alt") > ground_ft, ignorenulls=True).over(by())
     rows = fixes.withColumn("air", F.coalesce(state, F.lit(False)))
     return islands(rows, changed("air"), "island")
 
@@ -112,8 +124,8 @@ def phases(fixes: DataFrame, ground_ft: float, taxi_nm: float = 0.02) -> DataFra
         .agg(
             F.min("t_ms").alias("start_ts"),
             F.max("t_ms").alias("end_ts"),
-            F.min_by("alt", PLACE).alias("alt_start"),
-            F.max_by("alt", PLACE).alias("alt_end"),
+            F.min_by("alt", place()).alias("alt_start"),
+            F.max_by("alt", place()).alias("alt_end"),
             F.count("*").alias("n"),
         )
     )
@@ -127,10 +139,10 @@ def cycles(fixes: DataFrame, ground_ft: float) -> DataFrame:
     peak = F.struct(F.col("alt"), -F.col("t_ms"), -F.col("seq"))
     runs = rows.groupBy("hex", "island", "air").agg(
         F.min("t_ms").alias("takeoff_ts"),
-        F.min(PLACE).alias("first"),
+        F.min(place()).alias("first"),
         F.max("t_ms").alias("last_ts"),
         F.max_by(F.struct("t_ms", "seq", "alt"), peak).alias("top"),
-        F.min_by("alt", PLACE).alias("alt_start"),
+        F.min_by("alt", place()).alias("alt_start"),
     )
     follows = F.lead("island").over(Window.partitionBy("hex").orderBy("island")).isNotNull()
     flights = runs.withColumn("landed", follows).filter(F.col("air") & (F.col("top.seq") != F.col("first.seq")))
@@ -150,9 +162,9 @@ def cycles(fixes: DataFrame, ground_ft: float) -> DataFrame:
 
 def merge_cycles(flights: DataFrame, gap: float) -> DataFrame:
     """Flights of an aircraft whose ground time is under ``gap`` become one, with the last one's landing."""
-    by = Window.partitionBy("hex").orderBy("takeoff_ts", "island")
-    apart = F.col("takeoff_ts") - F.lag("landing_ts").over(by) >= gap
-    rows = flights.withColumn("trip", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(by))
+    legs = Window.partitionBy("hex").orderBy("takeoff_ts", "island")
+    apart = F.col("takeoff_ts") - F.lag("landing_ts").over(legs) >= gap
+    rows = flights.withColumn("trip", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(legs))
     return rows.groupBy("hex", "trip").agg(
         F.min("takeoff_ts").alias("takeoff_ts"),
         F.max_by("landing_ts", F.struct("takeoff_ts", "island")).alias("landing_ts"),
@@ -163,7 +175,7 @@ def merge_cycles(flights: DataFrame, gap: float) -> DataFrame:
 
 def sessions(fixes: DataFrame, gap: float) -> DataFrame:
     """fixes with a flight number that grows where the time since the last fix exceeds ``gap``."""
-    return islands(fixes, F.col("t_ms") - F.lag("t_ms").over(BY) > gap, "flight")
+    return islands(fixes, F.col("t_ms") - F.lag("t_ms").over(by()) > gap, "flight")
 
 
 def touch_and_go(fixes: DataFrame, field_ft: float, low: float = 250.0, high: float = 800.0) -> DataFrame:
@@ -172,14 +184,14 @@ def touch_and_go(fixes: DataFrame, field_ft: float, low: float = 250.0, high: fl
     """
     agl = F.col("alt") - field_ft
     event = F.when(agl < low, "low").when(agl > high, "high")
-    rows = fixes.withColumn("agl", agl).withColumn("state", F.last(event, ignorenulls=True).over(BY))
-    rows = islands(rows, changed("state"), "pass").withColumn("after", F.lead("t_ms").over(BY))
+    rows = fixes.withColumn("agl", agl).withColumn("state", F.last(event, ignorenulls=True).over(by()))
+    rows = islands(rows, changed("state"), "pass").withColumn("after", F.lead("t_ms").over(by()))
     least = F.struct("agl", "t_ms", "seq")
     return rows.filter("state = 'low'").groupBy("hex", "pass").agg(
         F.min("t_ms").alias("t_from"),
         F.min("agl").alias("bottom_ft"),
         F.min(least)["t_ms"].alias("bottom_ts"),
-        F.max_by("after", PLACE).alias("t_over"),
+        F.max_by("after", place()).alias("t_over"),
         F.count("*").alias("n"),
     )
 
@@ -199,7 +211,7 @@ def trailing(fixes: DataFrame, condition: Column) -> DataFrame:
 def resample(fixes: DataFrame, step_ft: float) -> DataFrame:
     """Points at every whole multiple of ``step_ft`` along each path, interpolated linearly."""
     seg = segments(fixes)
-    total = F.sum("len_ft").over(BY)
+    total = F.sum("len_ft").over(by())
     seg = seg.withColumn("to_ft", total).withColumn("from_ft", F.col("to_ft") - F.col("len_ft")).filter("len_ft > 0")
     low, high = F.ceil(F.col("from_ft") / step_ft).cast("long"), (F.ceil(F.col("to_ft") / step_ft) - 1).cast("long")
     rows = seg.filter(low <= high).withColumn("mark", F.explode(F.sequence(low, high)))

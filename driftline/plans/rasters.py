@@ -17,8 +17,12 @@ from .trajectories import CYCLES, GROUND, INTENT, INTENT_RULE_SQL, MERGED, SEG,
 FX = with_sql("fixes")
 PG = with_sql("fixes", "pop_grid")
 GS = with_sql("pop_grid")
-ROW = (GRID["lat_max"] - F.col("lat")) / (GRID["lat_max"] - GRID["lat_min"]) * GRID_ROWS
-COL = (F.col("lon") - GRID["lon_min"]) / (GRID["lon_max"] - GRID["lon_min"]) * GRID_COLS
+def ROW():
+    return (GRID["lat_max"] - F.col("lat")) / (GRID["lat_max"] - GRID["lat_min"]) * GRID_ROWS
+
+def COL():
+    return (F.col("lon") - GRID["lon_min"]) / (GRID["lon_max"] - GRID["lon_min"]) * GRID_COLS
+
 ROW_SQL, COL_SQL = f"({_UP} * {GRID_ROWS})", f"({_ALONG} * {GRID_COLS})"
 
 
@@ -67,7 +71,7 @@ for _name, _k, _f in (("geo05_cardinal", 0.3, lambda f: paths.cardinal(f, 0.3)),
 @query("geo07_thin_pipeline")
 def geo07(spark, sf_dir):
     """Moving average, thinning, then curves through midpoints."""
-    w = seqs.BY.rowsBetween(-2, 2)
+    w = seqs.by().rowsBetween(-2, 2)
     f = analog.fixes(spark, sf_dir)
     smooth = f.withColumns({"lat": F.avg("lat").over(w), "lon": F.avg("lon").over(w)})
     thinned = paths.thin(smooth, 0.01).join(f.select("seq", "t_ms"), "seq")
@@ -120,7 +124,7 @@ def geo12(spark, sf_dir):
 
 @query("win34_local_maxima")
 def win34(spark, sf_dir):
-    f = analog.fixes(spark, sf_dir).withColumn("place", F.row_number().over(seqs.BY).cast("long"))
+    f = analog.fixes(spark, sf_dir).withColumn("place", F.row_number().over(seqs.by()).cast("long"))
     return paths.separated_maxima(f, "hex", "place", "alt", 6000.0, 10, 14)
 
 
@@ -190,8 +194,12 @@ def spread_segments(spark, sf_dir):
     return raster.box(at, row, col, _REACH, GRID_ROWS, GRID_COLS)
 
 
-_CLAT = GRID["lat_max"] - (F.col("row") + 0.5) / GRID_ROWS * (GRID["lat_max"] - GRID["lat_min"])
-_CLON = GRID["lon_min"] + (F.col("col") + 0.5) / GRID_COLS * (GRID["lon_max"] - GRID["lon_min"])
+def _CLAT():
+    return GRID["lat_max"] - (F.col("row") + 0.5) / GRID_ROWS * (GRID["lat_max"] - GRID["lat_min"])
+
+def _CLON():
+    return GRID["lon_min"] + (F.col("col") + 0.5) / GRID_COLS * (GRID["lon_max"] - GRID["lon_min"])
+
 _SPREAD_SQL = f"""{FX}, {SEG}, {_CELLS}, ms AS (SELECT *, CAST(floor(({GRID['lat_max']}::DOUBLE - (lat + p_lat) / 2) / ({GRID['lat_max']}::DOUBLE - {GRID['lat_min']}::DOUBLE) * {GRID_ROWS}) AS INT) AS r0, CAST(floor(((lon + p_lon) / 2 - {GRID['lon_min']}::DOUBLE) / ({GRID['lon_max']}::DOUBLE - {GRID['lon_min']}::DOUBLE) * {GRID_COLS}) AS INT) AS c0 FROM seg),
 ex AS (SELECT row, col, greatest(100.0, sqrt(pow({segment_sql('c_lat', 'c_lon', 'p_lat', 'p_lon', 'lat', 'lon')}, 2) + pow(greatest(1.0, (alt + p_alt) / 2 - {FIELD_FT}), 2))) AS slant, t_ms
   FROM ms JOIN cells ON row BETWEEN r0 - {_REACH} AND r0 + {_REACH} AND col BETWEEN c0 - {_REACH} AND c0 + {_REACH})"""
@@ -201,13 +209,13 @@ for _name, _how in (("ras01_exposure_sum", "sum"), ("ras02_loudest", "max")):
 
     @query(_name, f"{_SPREAD_SQL} SELECT row, col, round(10 * log10({_how}({_DB})), 5) AS db FROM ex GROUP BY 1, 2")
     def ras01(spark, sf_dir, how=_how):
-        e = raster.exposure(spread_segments(spark, sf_dir), F.lit(95.0), 25.0, _CLAT, _CLON, FIELD_FT, how)
+        e = raster.exposure(spread_segments(spark, sf_dir), F.lit(95.0), 25.0, _CLAT(), _CLON(), FIELD_FT, how)
         return e.withColumn("db", F.round("db", 5))
 
 
 @query("ras03_impact_grid", f"{_SPREAD_SQL.replace(FX, PG, 1)}, lm AS (SELECT row, col, 10 * log10(max({_DB})) AS db FROM ex GROUP BY 1, 2) SELECT count(*) AS cells, round(max(db), 5) AS peak_db, round(sum(db * density) / 1e3, 3) AS exposure FROM lm JOIN pop_grid USING (row, col)")
 def ras03(spark, sf_dir):
-    e = raster.exposure(spread_segments(spark, sf_dir), F.lit(95.0), 25.0, _CLAT, _CLON, FIELD_FT, "max")
+    e = raster.exposure(spread_segments(spark, sf_dir), F.lit(95.0), 25.0, _CLAT(), _CLON(), FIELD_FT, "max")
     j = e.join(F.broadcast(analog.pop_grid(spark, sf_dir)), ["row", "col"])  # a grid of fixed size
     return j.agg(F.count("*").alias("cells"), F.round(F.max("db"), 5).alias("peak_db"), F.round(F.sum(F.col("db") * F.col("density")) / 1e3, 3).alias("exposure"))
 
@@ -224,14 +232,14 @@ bc AS (SELECT row, col, hour, radius, pow(((col - x) * sin(h) - (row - y) * cos(
 
 @query("ras04_blobs", f"{_BLOB_SQL} SELECT row, col, round(sum(180.0 / (pi() * radius * radius) * (1 - d2)), 4) AS value FROM bc WHERE d2 < 1 GROUP BY 1, 2")
 def ras04(spark, sf_dir):
-    b = raster.blobs(_blob_items(spark, sf_dir), ROW, COL, F.lit(180.0), F.col("radius"), F.col("heading"), 1.4, 6, GRID_ROWS, GRID_COLS)
+    b = raster.blobs(_blob_items(spark, sf_dir), ROW(), COL(), F.lit(180.0), F.col("radius"), F.col("heading"), 1.4, 6, GRID_ROWS, GRID_COLS)
     return b.withColumn("value", F.round("value", 4))
 
 
 @query("ras05_blob_pipeline", f"{_BLOB_SQL} SELECT row, col, round(sum(180.0 / (pi() * radius * radius) * (1 - d2)), 4) AS value FROM bc WHERE d2 < 1 AND hour >= 7 AND hour < 19 GROUP BY 1, 2")
 def ras05(spark, sf_dir):
     items = _blob_items(spark, sf_dir).filter(scoring.in_hours(F.col("hour"), 7, 19))
-    b = raster.blobs(items, ROW, COL, F.lit(180.0), F.col("radius"), F.col("heading"), 1.4, 6, GRID_ROWS, GRID_COLS)
+    b = raster.blobs(items, ROW(), COL(), F.lit(180.0), F.col("radius"), F.col("heading"), 1.4, 6, GRID_ROWS, GRID_COLS)
     return b.withColumn("value", F.round("value", 4))
 
 
@@ -247,7 +255,7 @@ def ras07(spark, sf_dir):
 
 @query("ras06_impact_raster", f"{_BLOB_SQL.replace(FX, PG, 1)}, eb AS (SELECT row, col, sum(180.0 / (pi() * radius * radius) * (1 - d2)) AS e FROM bc WHERE d2 < 1 GROUP BY 1, 2), pv AS (SELECT row, col, ln(1 + density) AS value FROM pop_grid), {_box_sql('pv', 2)} SELECT CAST(eb.row AS INT) AS row, CAST(eb.col AS INT) AS col, round(e * value / (SELECT max(value) FROM bl), 4) AS value FROM eb JOIN bl ON eb.row = bl.row AND eb.col = bl.col")
 def ras06(spark, sf_dir):
-    e = raster.blobs(_blob_items(spark, sf_dir), ROW, COL, F.lit(180.0), F.col("radius"), F.col("heading"), 1.4, 6, GRID_ROWS, GRID_COLS)
+    e = raster.blobs(_blob_items(spark, sf_dir), ROW(), COL(), F.lit(180.0), F.col("radius"), F.col("heading"), 1.4, 6, GRID_ROWS, GRID_COLS)
     blurred = raster.box_blur(grid(spark, sf_dir).withColumn("value", F.log1p("value")), 2, GRID_ROWS, GRID_COLS).withColumnRenamed("value", "mask")
     top = blurred.agg(F.max("mask").alias("top"))
     return e.join(blurred, ["row", "col"]).crossJoin(F.broadcast(top)).select("row", "col", F.round(F.col("value") * F.col("mask") / F.col("top"), 4).alias("value"))
@@ -263,7 +271,7 @@ def ras08(spark, sf_dir):
 
 @query("ras09_hourly_frames", f"{_BLOB_SQL} SELECT hour, row, col, round(sum(180.0 / (pi() * radius * radius) * (1 - d2)), 4) AS value FROM bc WHERE d2 < 1 AND hour BETWEEN 7 AND 21 GROUP BY 1, 2, 3")
 def ras09(spark, sf_dir):
-    items = _blob_items(spark, sf_dir).filter("hour between 7 and 21").withColumns({"_y": ROW, "_x": COL, "_h": F.radians("heading")})
+    items = _blob_items(spark, sf_dir).filter("hour between 7 and 21").withColumns({"_y": ROW(), "_x": COL(), "_h": F.radians("heading")})
     cells = raster.box(items, F.floor("_y").cast("int"), F.floor("_x").cast("int"), 6, GRID_ROWS, GRID_COLS)
     dy, dx = F.col("row") - F.col("_y"), F.col("col") - F.col("_x")
     d2 = F.pow((dx * F.sin("_h") - dy * F.cos("_h")) / (F.col("radius") * 1.4), 2) + F.pow((dx * F.cos("_h") + dy * F.sin("_h")) / F.col("radius"), 2)
@@ -273,7 +281,7 @@ def ras09(spark, sf_dir):
 
 @query("ras10_complaint_heat", f"{with_sql('complaints')}, ci AS (SELECT coalesce(score, 1) AS w, {ROW_SQL} AS y, {COL_SQL} AS x FROM complaints) SELECT row, col, round(sum(w * exp(-(pow(row - y, 2) + pow(col - x, 2)) / 4.5)), 5) AS value FROM ci JOIN (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range({GRID_ROWS}) a(r) CROSS JOIN range({GRID_COLS}) b(c)) g ON pow(row - y, 2) + pow(col - x, 2) <= 20.25 GROUP BY 1, 2")
 def ras10(spark, sf_dir):
-    s = raster.splat(analog.complaints(spark, sf_dir), ROW, COL, F.coalesce("score", F.lit(1)).cast("double"), 1.5, GRID_ROWS, GRID_COLS)
+    s = raster.splat(analog.complaints(spark, sf_dir), ROW(), COL(), F.coalesce("score", F.lit(1)).cast("double"), 1.5, GRID_ROWS, GRID_COLS)
     return s.withColumn("value", F.round("value", 5))
 
 
@@ -297,7 +305,7 @@ def ras12(spark, sf_dir):
 def ras13(spark, sf_dir):
     """Blobs at uniform arc-length samples of every path, over calibrated bounds."""
     r = seqs.resample(analog.fixes(spark, sf_dir), 30000.0)
-    b = raster.blobs(r, ROW, COL, F.lit(180.0), F.lit(2.0), F.lit(0.0), 1.0, 3, GRID_ROWS, GRID_COLS)
+    b = raster.blobs(r, ROW(), COL(), F.lit(180.0), F.lit(2.0), F.lit(0.0), 1.0, 3, GRID_ROWS, GRID_COLS)
     return b.filter("value > 0.5")
 
 
@@ -369,7 +377,7 @@ _L5 = "lf AS (SELECT hex, arg_max(alt, t_ms * 1000000 + seq) AS alt, arg_max(seq
 
 @query("cmp06_active_tow", f"{FX}, {_L5} SELECT hex, seq, alt > {GROUND} AS airborne, round(CASE WHEN alt - {FIELD_FT} < 2000 THEN (2000 - (alt - {FIELD_FT})) / 500 * 60 + 180 ELSE (alt - {FIELD_FT}) / 800 * 60 + 60 END, 4) AS eta_s FROM lf WHERE hex % 2 = 0")
 def cmp06(spark, sf_dir):
-    last = analog.fixes(spark, sf_dir).filter("hex % 2 = 0").groupBy("hex").agg(F.max_by(F.struct("alt", "seq"), seqs.PLACE).alias("l")).select("hex", "l.alt", "l.seq")
+    last = analog.fixes(spark, sf_dir).filter("hex % 2 = 0").groupBy("hex").agg(F.max_by(F.struct("alt", "seq"), seqs.place()).alias("l")).select("hex", "l.alt", "l.seq")
     agl = F.col("alt") - FIELD_FT
     eta = F.when(agl < 2000, (2000 - agl) / 500 * 60 + 180).otherwise(agl / 800 * 60 + 60)
     return last.select("hex", "seq", (F.col("alt") > GROUND).alias("airborne"), F.round(eta, 4).alias("eta_s"))

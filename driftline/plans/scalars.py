@@ -15,41 +15,37 @@ _NM = lambda a, b, c, d: f"sqrt(pow(({c} - {a}) * 60.0, 2) + pow(({d} - {b}) * 6
 HOME = (LAT0, LON0)
 
 
-def _fixes(name: str, sql: str, **columns):
+def _fixes(name: str, sql: str, columns):
     """A query of scalar expressions over all fixes, checked against the SQL of the same columns."""
 
     @query(name, f"{FX} SELECT seq, {sql} FROM fixes")
     def run(spark, sf_dir):
-        return analog.fixes(spark, sf_dir).select("seq", *(c.alias(n) for n, c in columns.items()))
+        return analog.fixes(spark, sf_dir).select("seq", *(c.alias(n) for n, c in columns().items()))
 
     return run
 
 
-LAT, LON, ALT = F.col("lat"), F.col("lon"), F.col("alt")
-_fixes("sca01_planar_ft", f"round({_FT('lat', 'lon', LAT0, LON0)}, 4) AS ft", ft=F.round(geo.planar_ft(LAT, LON, *HOME), 4))
+_fixes("sca01_planar_ft", f"round({_FT('lat', 'lon', LAT0, LON0)}, 4) AS ft", lambda: {"ft": F.round(geo.planar_ft(F.col("lat"), F.col("lon"), *HOME), 4)})
 _fixes(
     "sca02_planar_nm",
     f"round({_NM('lat', 'lon', LAT0, LON0)}, 6) AS nm, round({_FT('lat', 'lon', LAT0, LON0)} / 6076.12, 6) AS nm_by_feet",
-    nm=F.round(geo.planar_nm(LAT, LON, *HOME), 6),
-    nm_by_feet=F.round(geo.feet_nm(LAT, LON, *HOME), 6),
+    lambda: {"nm": F.round(geo.planar_nm(F.col("lat"), F.col("lon"), *HOME), 6), "nm_by_feet": F.round(geo.feet_nm(F.col("lat"), F.col("lon"), *HOME), 6)},
 )
 _HAV = f"pow(sin(radians({LAT0} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({LAT0})) * pow(sin(radians({LON0} - lon) / 2), 2)"
 _fixes(
     "sca03_haversine",
     f"round(2 * 6371000.0 * asin(least(1.0, sqrt({_HAV}))), 3) AS metres, round(2 * 3440.065 * asin(least(1.0, sqrt({_HAV}))), 6) AS nm",
-    metres=F.round(geo.haversine(LAT, LON, *HOME), 3),
-    nm=F.round(geo.haversine(LAT, LON, *HOME, geo.EARTH_NM), 6),
+    lambda: {"metres": F.round(geo.haversine(F.col("lat"), F.col("lon"), *HOME), 3), "nm": F.round(geo.haversine(F.col("lat"), F.col("lon"), *HOME, geo.EARTH_NM), 6)},
 )
-_fixes("sca04_spatial_ft", f"round(sqrt(pow({_FT('lat', 'lon', LAT0, LON0)}, 2) + pow(5288 - alt, 2)), 4) AS ft", ft=F.round(geo.spatial_ft(LAT, LON, ALT, *HOME, 5288.0), 4))
+_fixes("sca04_spatial_ft", f"round(sqrt(pow({_FT('lat', 'lon', LAT0, LON0)}, 2) + pow(5288 - alt, 2)), 4) AS ft", lambda: {"ft": F.round(geo.spatial_ft(F.col("lat"), F.col("lon"), F.col("alt"), *HOME, 5288.0), 4)})
 _fixes(
     "sca05_bearing",
     f"""round(degrees(atan2(({LON0} - lon) * cos(radians((lat + {LAT0}) / 2)), {LAT0} - lat)), 6) AS planar,
     round(mod_pos, 6) AS great_circle FROM (SELECT *, d - 360 * floor(d / 360) AS mod_pos FROM (SELECT *,
     degrees(atan2(sin(radians({LON0} - lon)) * cos(radians({LAT0})), cos(radians(lat)) * sin(radians({LAT0})) - sin(radians(lat)) * cos(radians({LAT0})) * cos(radians({LON0} - lon)))) AS d FROM fixes)) fixes --""",
-    planar=F.round(geo.planar_bearing(LAT, LON, *HOME), 6),
-    great_circle=F.round(geo.great_circle_bearing(LAT, LON, *HOME), 6),
+    lambda: {"planar": F.round(geo.planar_bearing(F.col("lat"), F.col("lon"), *HOME), 6), "great_circle": F.round(geo.great_circle_bearing(F.col("lat"), F.col("lon"), *HOME), 6)},
 )
-_fixes("sca06_half_turn", "(alt - 7000 + 180) - 360 * floor((alt - 7000 + 180) / 360) - 180 AS turn", turn=F.round(geo.half_turn(ALT - 7000), 6))
+_fixes("sca06_half_turn", "(alt - 7000 + 180) - 360 * floor((alt - 7000 + 180) / 360) - 180 AS turn", lambda: {"turn": F.round(geo.half_turn(F.col("alt") - 7000), 6)})
 from .registry import ORACLE  # noqa: E402
 
 ORACLE["sca06_half_turn"] = f"{FX} SELECT seq, round((alt - 7000 + 180) - 360 * floor((alt - 7000 + 180) / 360) - 180, 6) AS turn FROM fixes"
@@ -65,11 +61,11 @@ def segment_sql(lat: str, lon: str, a_lat: str, a_lon: str, b_lat: str, b_lon: s
 
 
 _P = ZONES["BDU North"]
-_fixes("sca07_point_segment", f"round({segment_sql('lat', 'lon', *(f'{v}::DOUBLE' for v in (*_P[0], *_P[1])))}, 4) AS ft", ft=F.round(geo.segment_ft(LAT, LON, *_P[0], *_P[1]), 4))
+_fixes("sca07_point_segment", f"round({segment_sql('lat', 'lon', *(f'{v}::DOUBLE' for v in (*_P[0], *_P[1])))}, 4) AS ft", lambda: {"ft": F.round(geo.segment_ft(F.col("lat"), F.col("lon"), *_P[0], *_P[1]), 4)})
 _fixes(
     "sca08_chord_degrees",
     f"round(abs(({_P[2][0]} - {_P[0][0]}) * ({_P[0][1]} - lon) - ({_P[0][0]} - lat) * ({_P[2][1]} - {_P[0][1]})) / sqrt(pow({_P[2][0]} - {_P[0][0]}, 2) + pow({_P[2][1]} - {_P[0][1]}, 2)), 9) AS deg",
-    deg=F.round(geo.chord_degrees(LAT, LON, *_P[0], *_P[2]), 9),
+    lambda: {"deg": F.round(geo.chord_degrees(F.col("lat"), F.col("lon"), *_P[0], *_P[2]), 9)},
 )
 
 #: zone distances and classes of every fix, by a join with the edges and two aggregates
@@ -91,8 +87,8 @@ _POLYGONS = list(ZONES.values())
 
 def classified(spark, sf_dir):
     """fixes with zone_ft, zone and altitude severities and their lesser one, sev."""
-    f = analog.fixes(spark, sf_dir).withColumn("zone_ft", geo.signed_zone_ft(LAT, LON, _POLYGONS))
-    f = f.withColumn("zs", geo.zone_severity(F.col("zone_ft"))).withColumn("als", geo.altitude_severity(ALT))
+    f = analog.fixes(spark, sf_dir).withColumn("zone_ft", geo.signed_zone_ft(F.col("lat"), F.col("lon"), _POLYGONS))
+    f = f.withColumn("zs", geo.zone_severity(F.col("zone_ft"))).withColumn("als", geo.altitude_severity(F.col("alt")))
     return f.withColumn("sev", F.least("zs", "als"))
 
 
@@ -106,7 +102,7 @@ def nearest_zone(lat, lon):
 def sca09(spark, sf_dir):
     inside = F.lit(False)
     for p in _POLYGONS:
-        inside = inside | geo.in_polygon(LAT, LON, p)
+        inside = inside | geo.in_polygon(F.col("lat"), F.col("lon"), p)
     return analog.fixes(spark, sf_dir).select("seq", inside.alias("inside"))
 
 
@@ -164,14 +160,13 @@ def sca20(spark, sf_dir):
     return analog.aircraft(spark, sf_dir).select("tail", scoring.resolve_purpose(F.col("purpose"), derived).alias("purpose"))
 
 
-_RATIO = F.col("len_red_ft") * 3 / F.nullif(F.col("len_total_ft"), F.lit(0.0))
 GRADE_SQL = lambda x: f"CASE WHEN {x} < 0.3 THEN 'A' WHEN {x} < 0.6 THEN 'B' WHEN {x} < 1.2 THEN 'C' WHEN {x} < 2.0 THEN 'D' WHEN {x} IS NOT NULL THEN 'F' END"
 TIER_SQL = lambda x: f"CASE WHEN {x} >= 90 THEN 'Gold' WHEN {x} >= 75 THEN 'Silver' WHEN {x} >= 55 THEN 'Bronze' ELSE 'Rising' END"
 
 
 @query("sca21_impact_grade", f"{TR} SELECT track_id, {GRADE_SQL('(len_red_ft * 3 / nullif(len_total_ft, 0))')} AS grade FROM tracks")
 def sca21(spark, sf_dir):
-    return analog.tracks(spark, sf_dir).select("track_id", scoring.impact_grade(_RATIO).alias("grade"))
+    return analog.tracks(spark, sf_dir).select("track_id", scoring.impact_grade(F.col("len_red_ft") * 3 / F.nullif(F.col("len_total_ft"), F.lit(0.0))).alias("grade"))
 
 
 @query("sca22_tier", f"{TR} SELECT track_id, {TIER_SQL('(rand_key % 101)')} AS tier FROM tracks")
@@ -204,19 +199,19 @@ def sca25(spark, sf_dir):
 _fixes(
     "sca28_altitude_band",
     "CASE WHEN alt < 6000 THEN '<6000' WHEN alt < 7000 THEN '6000-6999' WHEN alt < 8000 THEN '7000-7999' WHEN alt < 9000 THEN '8000-8999' ELSE '9000+' END AS band",
-    band=scoring.density_altitude_band(ALT),
+    lambda: {"band": scoring.density_altitude_band(F.col("alt"))},
 )
-_fixes("sca29_hour_bucket", "printf('%02d:00', CAST(floor(t_ms * 1000 / 3600000.0) AS BIGINT) % 24) AS hour", hour=scoring.hour_bucket(F.col("t_ms") * 1000))
-_fixes("sca30_ids", "concat_ws('-', hex, t_ms) AS flight_id", flight_id=F.concat_ws("-", "hex", "t_ms"))
-_fixes("sca32_fade", "round(greatest(0.0, 1 - (t_ms % 5000) / 3600.0), 6) AS fade", fade=F.round(scoring.age_fade(F.col("t_ms") % 5000, 3600.0), 6))
-_HZ, _HZQ = F.col("alt") - 5100, "((alt - 5100) * (alt - 5100))"
+_fixes("sca29_hour_bucket", "printf('%02d:00', CAST(floor(t_ms * 1000 / 3600000.0) AS BIGINT) % 24) AS hour", lambda: {"hour": scoring.hour_bucket(F.col("t_ms") * 1000)})
+_fixes("sca30_ids", "concat_ws('-', hex, t_ms) AS flight_id", lambda: {"flight_id": F.concat_ws("-", "hex", "t_ms")})
+_fixes("sca32_fade", "round(greatest(0.0, 1 - (t_ms % 5000) / 3600.0), 6) AS fade", lambda: {"fade": F.round(scoring.age_fade(F.col("t_ms") % 5000, 3600.0), 6)})
+_HZQ = "((alt - 5100) * (alt - 5100))"
 _fixes(
     "sca33_a_weighting",
     f"round(20 * log10((pow(12194.0, 2) * {_HZQ} * {_HZQ}) / (({_HZQ} + pow(20.6, 2)) * sqrt(({_HZQ} + pow(107.7, 2)) * ({_HZQ} + pow(737.9, 2))) * ({_HZQ} + pow(12194.0, 2)))) + 2.0, 6) AS db",
-    db=F.round(scoring.a_weighting(_HZ), 6),
+    lambda: {"db": F.round(scoring.a_weighting(F.col("alt") - 5100), 6)},
 )
-_fixes("sca34_spl", "round((-(alt / 200) + 94) * 1.5, 6) AS spl", spl=F.round(scoring.spl(-(ALT / 200)), 6))
-_fixes("sca36_palette", "CAST(floor(greatest(0.0, least(1.0, (alt - 5200) / 7000)) * 255) AS INT) AS colour", colour=scoring.palette_index((ALT - 5200) / 7000))
+_fixes("sca34_spl", "round((-(alt / 200) + 94) * 1.5, 6) AS spl", lambda: {"spl": F.round(scoring.spl(-(F.col("alt") / 200)), 6)})
+_fixes("sca36_palette", "CAST(floor(greatest(0.0, least(1.0, (alt - 5200) / 7000)) * 255) AS INT) AS colour", lambda: {"colour": scoring.palette_index((F.col("alt") - 5200) / 7000)})
 
 
 @query("sca30b_rolling_id")
@@ -254,7 +249,7 @@ CELL_SQL = {
 
 def with_density(fixes, grid, nearest: bool, name: str = "density"):
     """fixes with the population density of their cell (0 where the grid has none)."""
-    row, col = scoring.grid_cell(LAT, LON, GRID, GRID_ROWS, GRID_COLS, nearest)
+    row, col = scoring.grid_cell(F.col("lat"), F.col("lon"), GRID, GRID_ROWS, GRID_COLS, nearest)
     cells = grid.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("density").alias(name))
     out = fixes.withColumn("_row", row).withColumn("_col", col).join(F.broadcast(cells), ["_row", "_col"], "left")  # the grid's size is fixed
     return out.withColumn(name, F.coalesce(name, F.lit(0.0))).drop("_row", "_col")
@@ -284,7 +279,7 @@ LEFT JOIN terrain c ON c.row = floor(r) + 1 AND c.col = floor(k) LEFT JOIN terra
 def sca40(spark, sf_dir):
     """Bilinear elevation from a lattice of fixed size; 5300 outside."""
     lattice = analog.terrain(spark, sf_dir).agg(F.map_from_entries(F.collect_list(F.struct(F.col("row") * _N + F.col("col"), "elev_ft"))).alias("lattice"))
-    f = analog.fixes(spark, sf_dir).withColumn("r", (LAT - LAT0) / _C + (_N - 1) / 2).withColumn("k", (LON - LON0) / _C + (_N - 1) / 2)
+    f = analog.fixes(spark, sf_dir).withColumn("r", (F.col("lat") - LAT0) / _C + (_N - 1) / 2).withColumn("k", (F.col("lon") - LON0) / _C + (_N - 1) / 2)
     f = f.crossJoin(F.broadcast(lattice))
     r0, k0 = F.floor("r"), F.floor("k")
     dr, dk = F.col("r") - r0, F.col("k") - k0
@@ -296,14 +291,14 @@ def sca40(spark, sf_dir):
 
 @query("sca41_ceiling", f"{CLASSED} SELECT seq, coalesce(CASE zone WHEN 'BDU North' THEN 8000 END, CASE split_part(zone, ' ', 1) WHEN 'BDU' THEN 7800 END, 7500) AS ceiling_ft FROM signed")
 def sca41(spark, sf_dir):
-    zone = nearest_zone(LAT, LON)
+    zone = nearest_zone(F.col("lat"), F.col("lon"))
     airport = scoring.lookup(scoring.first_word(zone), {"BDU": 7800})
     return analog.fixes(spark, sf_dir).select("seq", F.coalesce(scoring.lookup(zone, {"BDU North": 8000}), airport, F.lit(7500)).alias("ceiling_ft"))
 
 
 @query("sca42_airport_code", f"{CLASSED} SELECT seq, split_part(zone, ' ', 1) AS airport FROM signed")
 def sca42(spark, sf_dir):
-    return analog.fixes(spark, sf_dir).select("seq", scoring.first_word(nearest_zone(LAT, LON)).alias("airport"))
+    return analog.fixes(spark, sf_dir).select("seq", scoring.first_word(nearest_zone(F.col("lat"), F.col("lon"))).alias("airport"))
 
 
 @query("sca43_tail", "SELECT c_custkey, coalesce(nullif(upper(trim(CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_mktsegment END)), ''), nullif(upper(trim(c_name)), '')) AS tail FROM customer")
@@ -342,41 +337,41 @@ def flt02(spark, sf_dir):
     return analog.tracks(spark, sf_dir).filter(scoring.in_hours(F.col("start_hour"), 22, 5)).select("track_id")
 
 
-_fixes("flt03_local_hour", "CAST(floor((((t_ms - 25200) % 86400 + 86400) % 86400) / 3600.0) AS INT) AS hour", hour=scoring.local_hour(F.col("t_ms")))
+_fixes("flt03_local_hour", "CAST(floor((((t_ms - 25200) % 86400 + 86400) % 86400) / 3600.0) AS INT) AS hour", lambda: {"hour": scoring.local_hour(F.col("t_ms"))})
 
 
 def _where(name: str, view: str, condition: str, predicate, key: str, source):
     @query(name, f"{with_sql(view)} SELECT {key} FROM {view} WHERE {condition}")
     def run(spark, sf_dir):
-        return source(spark, sf_dir).filter(predicate).select(key)
+        return source(spark, sf_dir).filter(predicate()).select(key)
 
     return run
 
 
-_where("flt04_violations_only", "tracks", "seg_red + seg_orange > 0", (F.col("seg_red") + F.col("seg_orange")) > 0, "track_id", analog.tracks)
-_where("flt05_altitude_cap", "fixes", "alt < 7500", ALT < 7500, "seq", analog.fixes)
-_where("flt06_radius", "fixes", f"pow((lat - {LAT0}) * 364560.0, 2) + pow((lon - {LON0}) * 364560.0 * cos(radians({LAT0})), 2) <= pow(4 * 6076.12, 2)", F.pow((LAT - LAT0) * 364560.0, 2) + F.pow((LON - LON0) * 364560.0 * F.cos(F.radians(F.lit(LAT0))), 2) <= (4 * 6076.12) ** 2, "seq", analog.fixes)
-_where("flt08_window", "fixes", "t_ms >= 86400 AND t_ms < 172800", (F.col("t_ms") >= 86400) & (F.col("t_ms") < 172800), "seq", analog.fixes)
-_where("flt09_time_trim", "complaints", "started >= 500000 AND (ended IS NULL OR ended <= 2000000)", (F.col("started") >= 500000) & (F.col("ended").isNull() | (F.col("ended") <= 2000000)), "id", analog.complaints)
-_where("flt15_complaints", "complaints", "coalesce(score, 0) >= 5 AND (distance_mi IS NULL OR distance_mi <= 3) AND media = 'video' AND started < 2000000", (F.coalesce("score", F.lit(0)) >= 5) & (F.col("distance_mi").isNull() | (F.col("distance_mi") <= 3)) & (F.col("media") == "video") & (F.col("started") < 2000000), "id", analog.complaints)
-_where("flt18_silent_types", "aircraft", "NOT (type IN ('GLID') OR contains(lower(type), 'balloon'))", ~(F.col("type").isin("GLID") | F.lower("type").contains("balloon")), "tail", analog.aircraft)
+_where("flt04_violations_only", "tracks", "seg_red + seg_orange > 0", lambda: (F.col("seg_red") + F.col("seg_orange")) > 0, "track_id", analog.tracks)
+_where("flt05_altitude_cap", "fixes", "alt < 7500", lambda: F.col("alt") < 7500, "seq", analog.fixes)
+_where("flt06_radius", "fixes", f"pow((lat - {LAT0}) * 364560.0, 2) + pow((lon - {LON0}) * 364560.0 * cos(radians({LAT0})), 2) <= pow(4 * 6076.12, 2)", lambda: F.pow((F.col("lat") - LAT0) * 364560.0, 2) + F.pow((F.col("lon") - LON0) * 364560.0 * F.cos(F.radians(F.lit(LAT0))), 2) <= (4 * 6076.12) ** 2, "seq", analog.fixes)
+_where("flt08_window", "fixes", "t_ms >= 86400 AND t_ms < 172800", lambda: (F.col("t_ms") >= 86400) & (F.col("t_ms") < 172800), "seq", analog.fixes)
+_where("flt09_time_trim", "complaints", "started >= 500000 AND (ended IS NULL OR ended <= 2000000)", lambda: (F.col("started") >= 500000) & (F.col("ended").isNull() | (F.col("ended") <= 2000000)), "id", analog.complaints)
+_where("flt15_complaints", "complaints", "coalesce(score, 0) >= 5 AND (distance_mi IS NULL OR distance_mi <= 3) AND media = 'video' AND started < 2000000", lambda: (F.coalesce("score", F.lit(0)) >= 5) & (F.col("distance_mi").isNull() | (F.col("distance_mi") <= 3)) & (F.col("media") == "video") & (F.col("started") < 2000000), "id", analog.complaints)
+_where("flt18_silent_types", "aircraft", "NOT (type IN ('GLID') OR contains(lower(type), 'balloon'))", lambda: ~(F.col("type").isin("GLID") | F.lower("type").contains("balloon")), "tail", analog.aircraft)
 
 
 @query("flt07_segment_in_radius", f"{FX} SELECT hex, bool_or({_NM('lat', 'lon', LAT0, LON0)} <= 1) AS near FROM fixes GROUP BY hex")
 def flt07(spark, sf_dir):
-    return analog.fixes(spark, sf_dir).groupBy("hex").agg(F.bool_or(geo.planar_nm(LAT, LON, *HOME) <= 1).alias("near"))
+    return analog.fixes(spark, sf_dir).groupBy("hex").agg(F.bool_or(geo.planar_nm(F.col("lat"), F.col("lon"), *HOME) <= 1).alias("near"))
 
 
 @query("flt12_violators_in_ring", f"{CLASSED} SELECT hex, max(sev) >= 2 AS violator, sum(CASE WHEN {_NM('lat', 'lon', LAT0, LON0)} <= 2 THEN 1 ELSE 0 END) >= 2 AS in_ring FROM classed GROUP BY hex")
 def flt12(spark, sf_dir):
     c = classified(spark, sf_dir)
-    return c.groupBy("hex").agg((F.max("sev") >= 2).alias("violator"), (F.count_if(geo.planar_nm(LAT, LON, *HOME) <= 2) >= 2).alias("in_ring"))
+    return c.groupBy("hex").agg((F.max("sev") >= 2).alias("violator"), (F.count_if(geo.planar_nm(F.col("lat"), F.col("lon"), *HOME) <= 2) >= 2).alias("in_ring"))
 
 
 @query("flt13_relevance", f"{FX} SELECT hex, bool_or(near AND alt < 7000) OR arg_min(near, o) OR arg_max(near, o) AS relevant FROM (SELECT hex, alt, {_NM('lat', 'lon', LAT0, LON0)} <= 1.5 AS near, t_ms * 1000000 + seq AS o FROM fixes) GROUP BY hex")
 def flt13(spark, sf_dir):
-    f = analog.fixes(spark, sf_dir).withColumn("near", geo.planar_nm(LAT, LON, *HOME) <= 1.5).withColumn("o", F.struct("t_ms", "seq"))
-    return f.groupBy("hex").agg((F.bool_or(F.col("near") & (ALT < 7000)) | F.min_by("near", "o") | F.max_by("near", "o")).alias("relevant"))
+    f = analog.fixes(spark, sf_dir).withColumn("near", geo.planar_nm(F.col("lat"), F.col("lon"), *HOME) <= 1.5).withColumn("o", F.struct("t_ms", "seq"))
+    return f.groupBy("hex").agg((F.bool_or(F.col("near") & (F.col("alt") < 7000)) | F.min_by("near", "o") | F.max_by("near", "o")).alias("relevant"))
 
 
 @query("flt14_trail_pruning", f"{CLASSED}, m AS (SELECT max(t_ms) AS now FROM fixes) SELECT seq FROM classed, m WHERE now - t_ms < 10800 OR (sev > 0 AND now - t_ms < 86400)")

@@ -99,7 +99,7 @@ def sca27(spark, sf_dir):
 
 @query("agg35_band_means", f"{FX} SELECT seq, round(min(alt) OVER (PARTITION BY hex ORDER BY t_ms, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS sustained FROM fixes")
 def agg35(spark, sf_dir):
-    return analog.fixes(spark, sf_dir).select("seq", F.round(F.min("alt").over(seqs.BY.rowsBetween(-19, 0)), 4).alias("sustained"))
+    return analog.fixes(spark, sf_dir).select("seq", F.round(F.min("alt").over(seqs.by().rowsBetween(-19, 0)), 4).alias("sustained"))
 
 
 @query("cmp13_auto_report")

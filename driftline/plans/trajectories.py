@@ -53,7 +53,7 @@ def win03(spark, sf_dir):
 
 @query("win04_bands_mean_altitude", f"{CLASSED}, {runs_sql(_CHANGED('sev'), 'ch')} SELECT hex, run, sev, round(avg(alt), 4) AS mean_alt, count(nxt) AS n_segments FROM runs GROUP BY ALL")
 def win04(spark, sf_dir):
-    rows = seqs.islands(classified(spark, sf_dir).withColumn("nxt", F.lead("seq").over(seqs.BY)), seqs.changed("sev"))
+    rows = seqs.islands(classified(spark, sf_dir).withColumn("nxt", F.lead("seq").over(seqs.by())), seqs.changed("sev"))
     return rows.groupBy("hex", "run", "sev").agg(F.round(F.avg("alt"), 4).alias("mean_alt"), F.count("nxt").alias("n_segments"))
 
 
@@ -163,7 +163,7 @@ def win15(spark, sf_dir):
 @query("win16_descents", f"{FX} SELECT hex, count(*) FILTER (ph AND NOT h) AS descents, count(*) FILTER (NOT ph AND h) AS climbs FROM (SELECT hex, alt > 5588 AS h, lag(alt > 5588) OVER {W} AS ph FROM fixes) GROUP BY hex")
 def win16(spark, sf_dir):
     f = analog.fixes(spark, sf_dir).withColumn("h", F.col("alt") > 5588)
-    f = f.withColumn("ph", F.lag("h").over(seqs.BY))
+    f = f.withColumn("ph", F.lag("h").over(seqs.by()))
     return f.groupBy("hex").agg(F.count_if(F.col("ph") & ~F.col("h")).alias("descents"), F.count_if(~F.col("ph") & F.col("h")).alias("climbs"))
 
 
@@ -182,7 +182,7 @@ def win18(spark, sf_dir):
     s = seqs.segments(analog.fixes(spark, sf_dir))
     dt = F.nullif(F.col("dt"), F.lit(0).cast("long"))
     s = s.withColumn("knots", F.coalesce(F.round(F.col("len_ft") / 6076.12 / (dt / 3600.0), 3), F.lit(-1.0))).withColumn("fpm", F.coalesce(F.round((F.col("alt") - F.col("p_alt")) / (dt / 60.0), 3), F.lit(0.0)))
-    return s.groupBy("hex").agg(*(F.max_by(c, seqs.PLACE).alias(c) for c in ("seq", "lat", "knots", "fpm")))
+    return s.groupBy("hex").agg(*(F.max_by(c, seqs.place()).alias(c) for c in ("seq", "lat", "knots", "fpm")))
 
 
 INTENT = f"""{LAST(90)}, ls AS (SELECT *, {_NM('lat', 'lon', LAT0, LON0)} AS d, {_NM(f'lag(lat) OVER {W}', f'lag(lon) OVER {W}', 'lat', 'lon')} AS step, lag(alt) OVER {W} AS p_alt FROM lastn),
@@ -193,8 +193,8 @@ intent AS (SELECT hex, count(*) AS n, (arg_max(d, back) - arg_min(d, back)) / nu
 def intent(spark, sf_dir):
     """Movement features of each aircraft's last 90 fixes."""
     f = seqs.last_fixes(analog.fixes(spark, sf_dir), 90)
-    la, lo = F.lag("lat").over(seqs.BY), F.lag("lon").over(seqs.BY)
-    f = f.withColumns({"d": geo.planar_nm(F.col("lat"), F.col("lon"), LAT0, LON0), "step": geo.planar_nm(la, lo, F.col("lat"), F.col("lon")), "p_alt": F.lag("alt").over(seqs.BY)})
+    la, lo = F.lag("lat").over(seqs.by()), F.lag("lon").over(seqs.by())
+    f = f.withColumns({"d": geo.planar_nm(F.col("lat"), F.col("lon"), LAT0, LON0), "step": geo.planar_nm(la, lo, F.col("lat"), F.col("lon")), "p_alt": F.lag("alt").over(seqs.by())})
     old, new = (lambda c: F.max_by(c, "back")), (lambda c: F.min_by(c, "back"))
     g = f.groupBy("hex").agg(
         F.count("*").alias("n"),
@@ -256,7 +256,7 @@ def win22(spark, sf_dir):
 @query("win23_stationary", f"{FX}, l AS (SELECT hex, last(lat ORDER BY t_ms, seq) AS la, last(lon ORDER BY t_ms, seq) AS lo FROM fixes GROUP BY hex), st AS (SELECT * FROM (SELECT f.*, bool_and({_FT('la', 'lo', 'lat', 'lon')} <= 20000) OVER (PARTITION BY hex ORDER BY t_ms DESC, seq DESC) AS ok FROM fixes f JOIN l USING (hex)) WHERE ok) SELECT hex, count(*) AS n, max(t_ms) - min(t_ms) AS dwell FROM st GROUP BY hex")
 def win23(spark, sf_dir):
     f = analog.fixes(spark, sf_dir)
-    near = geo.planar_ft(F.last("lat").over(seqs.ALL), F.last("lon").over(seqs.ALL), F.col("lat"), F.col("lon")) <= 20000
+    near = geo.planar_ft(F.last("lat").over(seqs.every()), F.last("lon").over(seqs.every()), F.col("lat"), F.col("lon")) <= 20000
     t = seqs.trailing(f.withColumn("near", near), F.col("near"))
     return t.groupBy("hex").agg(F.count("*").alias("n"), (F.max("t_ms") - F.min("t_ms")).alias("dwell"))
 
@@ -264,13 +264,13 @@ def win23(spark, sf_dir):
 @query("win24_live_runs", f"{CLASSED}, {runs_sql(f'(SELECT *, t_ms - lag(t_ms) OVER {W} > 40 OR sev IS DISTINCT FROM lag(sev) OVER {W} AS ch FROM classed WHERE alt IS NOT NULL)', 'ch')} SELECT hex, run, sev, count(*) AS n FROM runs GROUP BY ALL")
 def win24(spark, sf_dir):
     c = classified(spark, sf_dir).filter("alt is not null")
-    rows = seqs.islands(c, (F.col("t_ms") - F.lag("t_ms").over(seqs.BY) > 40) | seqs.changed("sev"))
+    rows = seqs.islands(c, (F.col("t_ms") - F.lag("t_ms").over(seqs.by()) > 40) | seqs.changed("sev"))
     return rows.groupBy("hex", "run", "sev").agg(F.count("*").alias("n"))
 
 
 @query("win25_gap_split", f"{FX}, {runs_sql(f'(SELECT *, sqrt(pow({_FT(f"lag(lat) OVER {W}", f"lag(lon) OVER {W}", "lat", "lon")}, 2) + pow(alt - lag(alt) OVER {W}, 2)) > 40000 AS ch FROM fixes)', 'ch', 'leg')} SELECT hex, leg, count(*) AS n FROM runs GROUP BY 1, 2 HAVING count(*) >= 2")
 def win25(spark, sf_dir):
-    step = geo.spatial_ft(F.lag("lat").over(seqs.BY), F.lag("lon").over(seqs.BY), F.lag("alt").over(seqs.BY), F.col("lat"), F.col("lon"), F.col("alt"))
+    step = geo.spatial_ft(F.lag("lat").over(seqs.by()), F.lag("lon").over(seqs.by()), F.lag("alt").over(seqs.by()), F.col("lat"), F.col("lon"), F.col("alt"))
     rows = seqs.islands(analog.fixes(spark, sf_dir), step > 40000, "leg")
     return rows.groupBy("hex", "leg").agg(F.count("*").alias("n")).filter("n >= 2")
 
@@ -280,18 +280,18 @@ _F5 = "ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING"
 
 @query("win26_moving_average", f"{FX} SELECT seq, round(avg(lat) OVER (PARTITION BY hex ORDER BY t_ms, seq {_F5}), 8) AS lat, round(avg(lon) OVER (PARTITION BY hex ORDER BY t_ms, seq {_F5}), 8) AS lon FROM fixes")
 def win26(spark, sf_dir):
-    w = seqs.BY.rowsBetween(-2, 2)
+    w = seqs.by().rowsBetween(-2, 2)
     return analog.fixes(spark, sf_dir).select("seq", F.round(F.avg("lat").over(w), 8).alias("lat"), F.round(F.avg("lon").over(w), 8).alias("lon"))
 
 
 @query("win27_windowed_deltas", f"{FX} SELECT seq, alt - lag(alt, 5) OVER {W} AS d5, round(avg(alt) OVER (PARTITION BY hex ORDER BY t_ms, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS mean20 FROM fixes")
 def win27(spark, sf_dir):
-    return analog.fixes(spark, sf_dir).select("seq", (F.col("alt") - F.lag("alt", 5).over(seqs.BY)).alias("d5"), F.round(F.avg("alt").over(seqs.BY.rowsBetween(-19, 0)), 4).alias("mean20"))
+    return analog.fixes(spark, sf_dir).select("seq", (F.col("alt") - F.lag("alt", 5).over(seqs.by())).alias("d5"), F.round(F.avg("alt").over(seqs.by().rowsBetween(-19, 0)), 4).alias("mean20"))
 
 
 @query("win28_best_climb", f"{FX} SELECT hex, max(c) AS best_ft FROM (SELECT hex, alt - lag(alt, 12) OVER {W} AS c FROM fixes) GROUP BY hex")
 def win28(spark, sf_dir):
-    return analog.fixes(spark, sf_dir).withColumn("c", F.col("alt") - F.lag("alt", 12).over(seqs.BY)).groupBy("hex").agg(F.max("c").alias("best_ft"))
+    return analog.fixes(spark, sf_dir).withColumn("c", F.col("alt") - F.lag("alt", 12).over(seqs.by())).groupBy("hex").agg(F.max("c").alias("best_ft"))
 
 
 @query("win29_engine_power", f"{FX}, {SEG}, v AS (SELECT *, len_ft / dt AS fps FROM seg WHERE dt > 0), q AS (SELECT hex, list_sort(list(fps))[CAST(least(floor(count(*) * 0.95), count(*) - 1) AS BIGINT) + 1] AS p95 FROM v GROUP BY hex) SELECT seq, round(least(1.0, 0.3 + 0.5 * fps / p95 + CASE WHEN alt > p_alt THEN 0.2 ELSE 0.0 END), 6) AS power FROM v JOIN q USING (hex)")
@@ -322,13 +322,13 @@ class nearest_index:  # noqa: N801
 def win30(spark, sf_dir):
     s = seqs.segments(analog.fixes(spark, sf_dir))
     b = F.radians(geo.planar_bearing(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
-    w = seqs.BY.rowsBetween(-2, 2)
+    w = seqs.by().rowsBetween(-2, 2)
     return s.withColumn("b", b).select("seq", F.round(F.degrees(F.atan2(F.avg(F.sin("b")).over(w), F.avg(F.cos("b")).over(w))), 5).alias("heading"))
 
 
 @query("win31_cumulative_length", f"{FX}, {SEG} SELECT seq, round(sum(len_ft) OVER {W}, 2) AS so_far_ft FROM seg")
 def win31(spark, sf_dir):
-    return seqs.segments(analog.fixes(spark, sf_dir)).select("seq", F.round(F.sum("len_ft").over(seqs.BY), 2).alias("so_far_ft"))
+    return seqs.segments(analog.fixes(spark, sf_dir)).select("seq", F.round(F.sum("len_ft").over(seqs.by()), 2).alias("so_far_ft"))
 
 
 @query(
@@ -452,19 +452,19 @@ def agg32(spark, sf_dir):
 
 @query("flt10_band_trim", f"{FX}, n AS (SELECT *, lead(t_ms) OVER {W} AS nt FROM fixes) SELECT seq FROM n WHERE coalesce(nt, t_ms) >= 1000000")
 def flt10(spark, sf_dir):
-    f = analog.fixes(spark, sf_dir).withColumn("nt", F.lead("t_ms").over(seqs.BY))
+    f = analog.fixes(spark, sf_dir).withColumn("nt", F.lead("t_ms").over(seqs.by()))
     return f.filter(F.coalesce("nt", "t_ms") >= 1000000).select("seq")
 
 
 @query("flt16_stride", f"{FX}, n AS (SELECT *, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY hex) AS c FROM fixes) SELECT seq FROM n WHERE (i - 1) % CAST(greatest(1, ceil(c / 20.0)) AS BIGINT) = 0 OR i = c")
 def flt16(spark, sf_dir):
     n = F.count("*").over(Window.partitionBy("hex"))
-    f = analog.fixes(spark, sf_dir).withColumns({"i": F.row_number().over(seqs.BY), "c": n})
+    f = analog.fixes(spark, sf_dir).withColumns({"i": F.row_number().over(seqs.by()), "c": n})
     step = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("c") / 20.0))
     return f.filter(((F.col("i") - 1) % step == 0) | (F.col("i") == F.col("c"))).select("seq")
 
 
 @query("flt17_repeat_suppression", f"{FX} SELECT seq FROM (SELECT seq, lat, lon, lag(lat) OVER {W} AS a, lag(lon) OVER {W} AS b FROM fixes) WHERE a IS NULL OR a <> lat OR b <> lon")
 def flt17(spark, sf_dir):
-    f = analog.fixes(spark, sf_dir).withColumns({"a": F.lag("lat").over(seqs.BY), "b": F.lag("lon").over(seqs.BY)})
+    f = analog.fixes(spark, sf_dir).withColumns({"a": F.lag("lat").over(seqs.by()), "b": F.lag("lon").over(seqs.by())})
     return f.filter(F.col("a").isNull() | (F.col("a") != F.col("lat")) | (F.col("b") != F.col("lon"))).select("seq")
