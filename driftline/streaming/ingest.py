@@ -36,9 +36,9 @@ def first_usable(feeds: list[DataFrame]) -> DataFrame:
 
 def parse(messages: DataFrame) -> DataFrame:
     """One row per valid fix: hex, tail, ts, lat, lon, alt. Altitudes must be numbers in (0, 10000)."""
-    rows = messages.select(F.explode("ac").alias("a"), F.timestamp_millis("now").alias("ts"))
-    alt = F.expr("try_cast(a.alt_baro as double)")
-    rows = rows.select(F.lower(F.trim("a.hex")).alias("hex"), scoring.tail_number(F.col("a.r"), F.col("a.flight"), F.col("a.hex")).alias("tail"), "ts", "a.lat", "a.lon", alt.alias("alt"))
+    rows = messages.select(F.inline("ac"), F.timestamp_millis("now").alias("ts"))
+    alt = F.expr("try_cast(alt_baro as double)")
+    rows = rows.select(F.lower(F.trim("hex")).alias("hex"), scoring.tail_number(F.col("r"), F.col("flight"), F.col("hex")).alias("tail"), "ts", "lat", "lon", alt.alias("alt"))
     return rows.filter("lat is not null and lon is not null and alt > 0 and alt < 10000")
 
 

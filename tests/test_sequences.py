@@ -20,7 +20,7 @@ SINGLE = [5300, 5300, 5300, 5600, 5900, 6300, 6700, 7000, 7300, 7000, 6600, 6200
 
 
 def kinds(df):
-    return [r["type"] for r in df.orderBy("island", "start_ts", F.desc("type") == "descent", "end_ts").collect()]
+    return [r["type"] for r in df.orderBy("island", "start_ts", F.col("type") == "descent", "end_ts").collect()]
 
 
 def test_single_cycle(spark):
