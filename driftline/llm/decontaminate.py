@@ -110,14 +110,12 @@ class Index:
         width = self.edits[segment] + 1
         band = diagonal // width
         span = len(data) + 2 * SEGMENT + 2
-        regions = []
-        for shift in (0, 1):  # bands of 2 (e + 1) diagonals, each overlapping its neighbours by half
-            key = (segment * span + np.maximum(band - shift, 0)) * (SEGMENT + 1) + own
-            distinct = np.unique(key)
-            bands, count = np.unique(distinct // (SEGMENT + 1), return_counts=True)
-            ok = count >= self.bound[bands // span]
-            regions += list(zip((bands // span)[ok].tolist(), (bands % span)[ok].tolist(), strict=True))
-        for s, b in sorted(set(regions)):
+        # bands of 2 (e + 1) diagonals, each overlapping its neighbours by half: a hit counts in its own and in the one before
+        key = np.concatenate([(segment * span + np.maximum(band - shift, 0)) * (SEGMENT + 1) + own for shift in (0, 1)])
+        bands, count = np.unique(np.unique(key) // (SEGMENT + 1), return_counts=True)
+        ok = count >= self.bound[bands // span]
+        regions = zip((bands // span)[ok].tolist(), (bands % span)[ok].tolist(), strict=True)
+        for s, b in regions:
             item, _, pattern = self.segments[s]
             e = int(self.edits[s])
             begin = b * (e + 1) - SEGMENT
