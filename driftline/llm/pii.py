@@ -3,15 +3,16 @@
 *Seeds.* E-mail addresses, IP addresses, payment cards and phone numbers that fixed patterns find in the
 whole text (leftmost, not overlapping within a kind).
 
-*Candidates.* Other strings that look like identifiers: runs of digits and their separators, and words
-with an at sign. A candidate and a seed are instances; an instance's shape is its value with digits,
-lower- and upper-case letters replaced by 9, a and A.
+*Candidates.* Other strings that look like identifiers: runs of digits and their separators, words with
+an at sign, and "name at host" (the sign bracketed or a word). A candidate and a seed are instances. What
+kinds a candidate may be of follows from its number of digits, its separators and its at sign alone
+(``_admissible``), so forms that no seed has can be found.
 
 *Patterns.* An instance's lexical patterns are its two words before, its two words after and the word on
 either side, lower-cased. Spark keeps the graph of distinct (pattern, instance) pairs and scores it by
 turns: a pattern's score for a kind is the smoothed share of that kind among its instances' scores (with
-``SUPPORT`` seeds at least); an instance's is the noisy-or of its patterns', if its shape is one that
-seeds of the kind have. Seeds stay at 1. After ``ROUNDS`` turns, candidates that score ``TRUST`` or more
+``SUPPORT`` seeds or trusted instances at least, so that what one turn finds teaches patterns in the next);
+an instance's is the noisy-or of its patterns', for the kinds it may be of. Seeds stay at 1. After ``ROUNDS`` turns, candidates that score ``TRUST`` or more
 are personal data of their best kind, wherever they occur.
 
 Everything that meets in a shuffle is a pair of the graph, summed map-side; a pattern as common as
@@ -47,7 +48,7 @@ _NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,3}[0-9])+")
 _AT = re.compile(r"[^\s<>()\[\]\"',;]{2,80}@[^\s<>()\[\]\"',;]{2,80}")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}})
+_SPOKEN = re.compile(r"[A-Za-z0-9._%+-]{2,64}\s{0,2}(?:\s[Aa][Tt]\s|[\[({][Aa][Tt][\])}])\s{0,2}[A-Za-z][A-Za-z0-9-]{0,62}(?:(?:\.|\s[Dd][Oo][Tt]\s)[A-Za-z0-9-]{1,63}){0,5}")
 _NEAR = 120  # characters on either side in which an instance's neighbouring words are looked for
 
 
@@ -87,7 +88,19 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     for a, b in sorted(set(found)):
         if b - a <= 100 and not any(a < e and s < b for s, e, _ in taken) and not (out and a < out[-1][1]):
             out.append((a, b))
-    return out
+    other = [*taken, *((a, b, -1) for a, b in out)]
+    out += [m.span() for m in _SPOKEN.finditer(text) if not any(m.start() < e and s < m.end() for s, e, _ in other)]
+    return sorted(out)
+
+
+def _admissible(value: str) -> list[int]:
+    """The kinds that a candidate may be of."""
+    if not _NUMBER.fullmatch(value):
+        return [0]
+    n, dots = len(_NOT_DIGIT.sub("", value)), value.count(".")
+    if dots == 3 and n <= 12 and not set(value) & set(" ()+-"):
+        return [1, 3] if n >= 7 else [1]
+    return [k for k, fits in ((2, 12 <= n <= 19 and not set(value) & set(".()+")), (3, 7 <= n <= 15)) if fits]
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -104,7 +117,7 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8())])
-_INSTANCE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8()), ("value", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.string()))])
+_INSTANCE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8()), ("value", pa.string()), ("kinds", pa.list_(pa.int8())), ("patterns", pa.list_(pa.string()))])
 
 
 def _found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +129,7 @@ def _found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"start": a, "end": b, "kind": k} for a, b, k in own])
             seen = [*own, *((a, b, -1) for a, b in _candidates(text, own))]
             instances.append(
-                [{"start": a, "end": b, "kind": k, "value": text[a:b], "shape": text[a:b].translate(_SHAPE), "patterns": _patterns(text, a, b)} for a, b, k in seen]
+                [{"start": a, "end": b, "kind": k, "value": text[a:b], "kinds": _admissible(text[a:b]) if k < 0 else [k], "patterns": _patterns(text, a, b)} for a, b, k in seen]
             )
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(spans, pa.list_(_SPAN)), pa.array(instances, pa.list_(_INSTANCE))], names=["row", "doc_id", "base", "instances"])
 
@@ -128,24 +141,24 @@ def extract(docs: DataFrame, row=None) -> DataFrame:
     span = "start: int, end: int, kind: tinyint"
     return rows.mapInArrow(
         _found_rows,
-        f"row long, doc_id long, base array<struct<{span}>>, instances array<struct<{span}, value: string, shape: string, patterns: array<string>>>",
+        f"row long, doc_id long, base array<struct<{span}>>, instances array<struct<{span}, value: string, kinds: array<tinyint>, patterns: array<string>>>",
     )
 
 
 def bootstrap(extracted: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """(value, kind, score) of the candidates that the pattern-instance graph trusts."""
-    flat = extracted.select(F.explode("instances").alias("i")).select("i.kind", "i.value", "i.shape", "i.patterns")
-    edges = cut(flat.select("kind", "value", "shape", F.explode("patterns").alias("pattern")).distinct())
-    shapes = flat.filter("kind >= 0").select("kind", "shape").distinct()
-    degree = edges.groupBy("pattern").agg(F.countDistinct("value").alias("degree"), F.count_if(F.col("kind") >= 0).alias("seeds")).filter(F.col("seeds") >= support)
+    flat = extracted.select(F.explode("instances").alias("i")).select("i.kind", "i.value", "i.kinds", "i.patterns")
+    edges = cut(flat.select("kind", "value", "kinds", F.explode("patterns").alias("pattern")).distinct())
+    degree = edges.groupBy("pattern").agg(F.countDistinct("value").alias("degree")).filter(F.col("degree") >= support)
     edges = cut(edges.join(degree, "pattern"))
+    degree = edges.select("pattern", "degree").distinct()
     seeds = edges.filter("kind >= 0").select("kind", "value", F.lit(1.0).alias("score"))
-    allowed = edges.filter("kind < 0").select("value", "shape", "pattern").join(shapes, "shape").select("kind", "value", "pattern")
+    allowed = edges.filter("kind < 0").select(F.explode("kinds").alias("kind"), "value", "pattern")
     links = cut(allowed.unionByName(edges.filter("kind >= 0").select("kind", "value", "pattern")).distinct())
     scores = seeds.distinct()
     for _ in range(rounds):
-        mass = links.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= 1).alias("seeds"))
-        pattern = mass.join(degree.select("pattern", "degree"), "pattern").filter(F.col("seeds") >= support)
+        mass = links.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= trust).alias("trusted"))
+        pattern = mass.join(degree.select("pattern", "degree"), "pattern").filter(F.col("trusted") >= support)
         pattern = pattern.select("kind", "pattern", (F.col("mass") / (F.col("degree") + _SMOOTH)).alias("weight"))
         noisy = allowed.join(pattern, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.least("weight", F.lit(0.999)))))).alias("score"))
         scores = cut(seeds.unionByName(noisy.select("kind", "value", "score")).groupBy("kind", "value").agg(F.max("score").alias("score")))
