@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import sequences as seqs
@@ -17,12 +18,15 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 
 @query("src07_yearly_files")
 def src07(spark, sf_dir):
-    """Tracks packed into nested documents and read back as fixes."""
-    f = analog.fixes(spark, sf_dir).filter("hex % 10 = 0")
+    """All tracks written as yearly JSON files to the shared checkpoint folder and read back as fixes."""
+    f = analog.fixes(spark, sf_dir).withColumn("year", F.year(F.timestamp_seconds("t_ms")))
     points = F.transform(F.array_sort(F.collect_list(F.struct("t_ms", "seq", "lat", "lon", "alt"))), lambda p: F.array(p["lat"], p["lon"], p["alt"], p["t_ms"].cast("double")))
-    docs = f.groupBy("hex").agg(points.alias("points"))
-    rows = docs.select("hex", F.posexplode("points").alias("seq", "p"))
-    return rows.select("hex", "seq", F.get("p", F.lit(0)).alias("lat"), F.get("p", F.lit(1)).alias("lon"), F.get("p", F.lit(3)).cast("long").alias("t_ms"))
+    tracks = f.groupBy("year", "hex").agg(points.alias("points"))
+    rows = stores.read_years(spark, stores.write_years(tracks.withColumn("hex", F.col("hex").cast("string"))))
+    # a track's later years go on counting where the earlier ones end
+    n = F.row_number().over(Window.partitionBy("hex").orderBy("offset_s", "year", "seq")) - 1
+    rows = rows.withColumn("year", F.year(F.timestamp_seconds("offset_s"))).withColumn("seq", n)
+    return rows.select(F.col("hex").cast("long").alias("hex"), "seq", "lat", "lon", F.col("offset_s").cast("long").alias("t_ms"))
 
 
 def feed(spark, sf_dir):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRACK_FILE = "tracks array<struct<src: string, call: string, hex: string, type: string, points: array<array<double>>>>"
 
 
-def read_years(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_years(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per fix of yearly track files: src, call, hex, type, seq, lat, lon, alt, offset in seconds."""
     docs = spark.read.schema(TRACK_FILE).option("multiLine", True).json(paths)
     rows = docs.select(F.explode("tracks").alias("t")).select("t.*").select("src", "call", "hex", "type", F.posexplode("points").alias("seq", "p"))
@@ -16,6 +19,23 @@ def read_years(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select("src", "call", "hex", "type", "seq", at(0).alias("lat"), at(1).alias("lon"), at(2).alias("alt"), at(3).alias("offset_s"))
 
 
+def write_years(tracks: DataFrame, bucket: int = 1000) -> str:
+    """Writes tracks (year, hex, points) as yearly files of one document each, about ``bucket`` tracks in it; returns the folder.
+
+    The folder is a new one in the shared checkpoint folder, so that all executors see it.
+    """
+    spark = tracks.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{context.getCheckpointDir()}/years-{uuid.uuid4().hex}"
+    parts = max(1, -(-tracks.select("hex").distinct().count() // bucket))
+    part = F.pmod(F.xxhash64("hex"), F.lit(parts))
+    docs = tracks.groupBy("year", part.alias("part")).agg(F.collect_list(F.struct("hex", "points")).alias("tracks"))
+    docs.select("year", "tracks").write.option("maxRecordsPerFile", 1).partitionBy("year").json(path)  # a multi-line file is one document
+    return path
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """school, airport, tail, type of a nested registry document."""
     schema = "schools array<struct<name: string, airport: string, aircraft: array<struct<tail: string, type: string>>>>"
