@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold
-from .textkit import Words, ranges, signed, slices
+from .textkit import Tally, Words, ranges, signed, slices
 
 DEPTH = 5
 DENSE = 3
@@ -59,34 +59,9 @@ def _stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, np.stack([begin, begin + size - DEPTH + 1])
 
 
-class _Tally:
-    """Counts of 64-bit keys, summed whenever a few million are waiting."""
-
-    def __init__(self, most: int = 3_000_000):
-        self.most, self.waiting, self.size = most, [], 0
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        self.waiting.append(keys)
-        self.size += len(keys)
-        if self.size > self.most:
-            self.settle()
-
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.waiting:
-            keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
-            self.waiting, self.size = [], 0
-            keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-        return self.keys, self.counts
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): 0 a word's hash, 1 a byte, 2 the end tokens, 3 DEPTH + 1 bytes, oldest first."""
-    seen, grams = _Tally(), _Tally()
+    seen, grams = Tally(), Tally()
     histogram, ends = np.zeros(256, np.int64), 0
 
     def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:

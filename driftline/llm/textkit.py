@@ -107,8 +107,9 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before - starts, counts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes of text, so that memory follows a text, not a batch."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text and ``rows`` rows at most, so that memory follows
+    a text, not a batch."""
     for batch in batches:
         texts = batch.column(column)
         if not len(texts):
@@ -117,10 +118,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         begin = 0
         while begin < len(texts):
             base = at[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(at, base + size, "right")))
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(at, base + size, "right"))))
             yield batch.slice(begin, end - begin)
             begin = end
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+class Tally:
+    """Counts of 64-bit keys, summed whenever a few million are waiting."""
+
+    def __init__(self, most: int = 3_000_000):
+        self.most, self.waiting, self.size = most, [], 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        self.size += len(keys)
+        if self.size > self.most:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.waiting, self.size = [], 0
+            keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        return self.keys, self.counts
