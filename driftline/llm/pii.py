@@ -66,6 +66,7 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WRAP = "\"'`([{<>}])“”„«»"
 _END = ".,;:!?"
+_JOIN = "-_/@=&#"
 
 
 def _luhn(digits: str) -> bool:
@@ -139,11 +140,12 @@ class _Taken:
 
 
 def _numbers(text: str) -> list[tuple[int, int]]:
-    """Digits and separators of six digits or more that no letter touches."""
+    """Digits and separators of six digits or more that are not part of a longer word."""
     out = []
+    joined = lambda c: c.isalnum() or c in _JOIN
     for m in _NUMBER.finditer(text):
         a, b = m.span()
-        if b - a >= 6 and len(_NOT_DIGIT.sub("", m[0])) >= 6 and not (a and text[a - 1].isalnum()) and not text[b : b + 1].isalnum():
+        if b - a >= 6 and len(_NOT_DIGIT.sub("", m[0])) >= 6 and not (a and joined(text[a - 1])) and not (b < len(text) and joined(text[b])):
             out.append((a, b))
     return out
 
