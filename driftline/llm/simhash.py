@@ -168,14 +168,20 @@ def _cell_rows(budget: int, depth: int):
     return run
 
 
-def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect exactly what links of ``budget`` bits connect."""
-    width = 64 // (budget + 1)
+def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, size: int = 64) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect exactly what links of ``budget`` bits connect.
+
+    A fingerprint is the low ``size`` bits of print; what is above them names its table, and only
+    fingerprints of one table are joined.
+    """
+    width = size // (budget + 1)
     turns = F.explode(F.array(*(F.lit(i * width) for i in range(budget + 1)))).alias("turn")
-    turned = F.expr("if(turn = 0, print, shiftleft(print, turn) | shiftrightunsigned(print, 64 - turn))")
+    low = f"(print & {(1 << size) - 1})" if size < 64 else "print"
+    turned = F.expr(f"if(turn = 0, shiftleft(print, {64 - size}), shiftleft(print, turn + {64 - size}) | shiftleft(shiftrightunsigned({low}, {size} - turn), {64 - size}))")
     bits = lambda at, n: F.expr(f"cast(shiftrightunsigned(turned, {64 - at - n}) & {(1 << n) - 1} as int)")
     cells = prints.select("print").distinct().select("print", turns).withColumn("turned", turned)
-    cells = cells.select(F.xxhash64("turn", bits(0, width)).alias("cell"), F.lit(-1).alias("side"), F.lit(0).alias("used"), "print", "turned")
+    own = [F.shiftrightunsigned("print", size)] if size < 64 else []
+    cells = cells.select(F.xxhash64(*own, "turn", bits(0, width)).alias("cell"), F.lit(-1).alias("side"), F.lit(0).alias("used"), "print", "turned")
     near = F.array(*(F.lit(v) for v in range(1 << _LEVEL) if v.bit_count() <= budget))
     edges, depth = None, width
     while True:
