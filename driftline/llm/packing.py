@@ -3,25 +3,36 @@
 Spark tokenises, cuts documents that are longer than a sequence, and reduces the pieces to a histogram
 of lengths, which has at most ``capacity`` entries whatever the corpus. The driver plans on it:
 
-1. A configuration is a multiset of lengths that fits one sequence. Multiplicative weights solve the
-   covering program over all of them: every length has a price; a knapsack dynamic program finds the
-   configuration of greatest total price; it is taken as often as the length that it uses up first
-   allows, scaled by ``STEP``; prices of covered lengths fall exponentially with their cover.
-2. Configurations are rounded down to whole multiples, largest first, within what is left.
-3. What remains is packed best-fit decreasing, still on the histogram; counts of equal bins stay
-   together, so a plan is as long as its number of distinct bins.
+1. A configuration is a multiset of lengths that fits one sequence; the program covers the count of every
+   length by as few configurations as it can. Multiplicative weights solve it: every length has a price,
+   its share of a sequence at first, that grows exponentially as its cover lags behind the others'. In each
+   round a knapsack dynamic program prices all configurations at once. For each length (up to ``CONFIGS`` of
+   them, those with most tokens left) a configuration with it is traced, of the longest pieces that keep it so
+   good; if its price is within ``SLACK`` of the best of all, it is taken as often as the length that it uses up first
+   allows, times ``STEP``.
+   Prices over the best configuration's price are a dual solution, so every round also yields a lower
+   bound; rounds end when what is taken, and the tokens left, are within ``GAP`` of it.
+2. Configurations are rounded: down to whole multiples, then each once more by falling fraction while its
+   pieces last.
+3. What remains goes best-fit decreasing into the gaps of the rounded configurations, then into sequences
+   of its own. Counts of equal bins stay together, so a plan is as long as its number of distinct bins.
+
+Best-fit decreasing alone is planned too, and taken where it needs fewer sequences.
 
 The plan says which sequence and offset the r-th piece of each length gets. Ranks come from counts per
-(length, salt) and a running number within those, so a length that a third of all pieces share is
-spread over as many tasks as there are salts; the plan itself is broadcast, bounded by the histogram.
+(length, salt) and a running number within those; there are ``SPREAD`` salts for each shuffle partition, so
+a length that a third of all pieces share is spread over all tasks. The plan itself is broadcast, bounded
+by the histogram.
 
 Null texts are empty: one end token. Repeated rows are packed each.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +46,21 @@ from .textkit import slices
 
 CAPACITY = 4096
 END = 1
-ROUNDS = 240
-STEP = 0.5
-RATE = 1.5
-SALTS = 64
+ROUNDS = 60
+CONFIGS = 600
+STEP = 1.0
+RATE = 0.1
+SLACK = 0.002
+GAP = 1e-4
+SPREAD = 4
 _CACHE = 300_000
 
-_STRETCH = regex.compile(r"\p{L}+|[^\p{L}]+")
+#: fixed values: how the vocabulary in use splits words
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 _RARE_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: letters whose lower case depends on the text around or has two characters, and marks that end stretches
+_ODD = regex.compile(r"<\||[\x00\u0130\u03a3]|[^\x00-\u1fff]")
 _encoders: dict[str, _Ids] = {}
 
 
@@ -53,53 +71,63 @@ def default_tokenizer() -> str:
 
 
 class _Ids:
-    """Token ids of words, as little-endian 32-bit numbers.
+    """Token ids of texts, as little-endian 32-bit numbers.
 
-    The vocabulary's splitter never joins across white space, nor letters with anything else (but for
-    apostrophes), and marks the last token of each stretch of letters. So ids of white-space separated
-    words, kept in a bounded cache, concatenate to a text's; those of a word are put together from its
-    stretches; and new stretches of letters are encoded many at a time and told apart by the marks.
+    A vocabulary that splits as ``_SPLIT`` says never joins across white space, and marks the last token of
+    each stretch. So ids of white-space separated words, kept in a bounded cache, concatenate to a text's,
+    and stretches of new words are encoded many at a time, each closed by a zero byte that stands for the
+    mark. Words for which that is not certain, and all texts with other vocabularies, go to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.split, self.encoder = regex.compile(_SPLIT), None
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        if _known(spec):
+            self._merge(spec["model"]["vocab"])
+
+    def _merge(self, vocabulary: dict[str, int]) -> None:
+        """The vocabulary as ranks of byte strings: merges are in order of their results' ids."""
+        import tiktoken
+
+        plain = [i for i in vocabulary if i.endswith("</w>")]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[vocabulary[t] for t in plain]] = True
+        shown = {t for token in vocabulary for t in token.removesuffix("</w>")}
+        byte = {c: b for c, b in ((_shown(b), b) for b in range(256)) if c in shown}
+        ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>"): i for t, i in vocabulary.items()}
+        if len(ranks) == len(vocabulary):
+            self.encoder = tiktoken.Encoding("stretches", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
 
     def one_by_one(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
 
-    def letters(self, items: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(items), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(items):  # a letter that normalisation takes apart
-            return self.one_by_one(items)
-        raw, ends = ids.tobytes(), (4 * ends).tolist()
-        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-
     def learn(self, words: list[str]) -> None:
-        plain = (w for w in words if "'" not in w and "<|" not in w and (w.isascii() or unicodedata.is_normalized("NFC", w)))
-        split = {w: _STRETCH.findall(w.lower() if w.isascii() else w) for w in plain}
-        new = {p for parts in split.values() for p in parts} - self.parts.keys()
-        for many, encode in ((sorted(p for p in new if p.isalpha()), self.letters), (sorted(p for p in new if not p.isalpha()), self.one_by_one)):
-            for i in range(0, len(many), 2048):
-                self.parts.update(zip(many[i : i + 2048], encode(many[i : i + 2048]), strict=True))
-        get = self.parts.__getitem__
-        self.words.update((w, b"".join(map(get, parts))) for w, parts in split.items())
-        odd = [w for w in words if w not in split]
-        self.words.update(zip(odd, self.one_by_one(odd), strict=True))
-        if len(self.parts) > _CACHE:
-            self.parts.clear()
+        odd = [w for w in words if not w.isascii() and (_ODD.search(w) or not unicodedata.is_normalized("NFC", w)) or "<|" in w or "\0" in w]
+        if odd:
+            self.words.update(zip(odd, self.one_by_one(odd), strict=True))
+            words = list(set(words) - set(odd))
+        stretches = list(map(self.split.findall, map(str.lower, words)))
+        n = np.fromiter(map(len, stretches), np.int64, len(words))
+        flat = [x for parts in stretches for x in parts]
+        if not flat:
+            return
+        ids = self.encoder.encode_to_numpy("\0".join([*flat, ""]))
+        ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+        if len(ends) != len(flat) + 1:
+            raise ValueError("a stretch has no last token")
+        raw, cuts = ids.astype("<u4").tobytes(), (4 * ends[np.concatenate([[0], np.cumsum(n)])]).tolist()
+        self.words.update((w, raw[i:j]) for w, i, j in zip(words, cuts, cuts[1:], strict=False))
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        if self.encoder is None:
+            return self.one_by_one(texts)
         rare = [_RARE_SPACE.search(t) is not None for t in texts]  # white space to str.split, not to the splitter
         split = [[] if r else t.split() for t, r in zip(texts, rare, strict=True)]
-        own = {w for words in split for w in words}
+        own = set().union(*split)
         if len(self.words) > _CACHE:
             self.words.clear()
         self.learn(list(own - self.words.keys()))
@@ -107,6 +135,27 @@ class _Ids:
         return [self.one_by_one([t])[0] if r else b"".join(map(get, words)) for t, words, r in zip(texts, split, rare, strict=True)]
 
 
+def _known(spec: dict) -> bool:
+    """Whether the tokenizer is of the kind that _Ids knows."""
+    normal = (spec.get("normalizer") or {}).get("normalizers", [])
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    model = spec["model"]
+    return (
+        [(x["type"], x.get("pattern", {}).get("Regex")) for x in normal] == _NORMAL
+        and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        and split[0]["pattern"].get("Regex") == _SPLIT
+        and not (split[1]["add_prefix_space"] or split[1]["use_regex"])
+        and (model["type"], model["end_of_word_suffix"], model["ignore_merges"], model["dropout"]) == ("BPE", "</w>", False, None)
+        and all(model["vocab"]["".join(pair)] == 512 + i for i, pair in enumerate(model["merges"]))
+    )
+
+
+def _shown(byte: int) -> str:
+    """The character that stands for a byte in the vocabulary: itself if it can be printed, else one from 256 on."""
+    printed = lambda b: 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+    return chr(byte) if printed(byte) else chr(256 + sum(not printed(b) for b in range(byte)))
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's token ids as little-endian 32-bit numbers."""
     if path not in _encoders:
@@ -155,49 +204,70 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     return rows.mapInArrow(_piece_rows(path or default_tokenizer(), capacity, with_ids), schema)
 
 
-def _price(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration (indices of lengths, with repeats) of greatest price: unbounded knapsack by dynamic
-    programming over the capacity, then cut down to what the counts allow."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every size up to the capacity the greatest price of lengths (ascending, with repeats) that fit, and the
+    one to take first (-1: none, a size less has the same)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for size in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, size, "right"))
+        n = ends[size]
         value = best[size - lengths[:n]] + prices[:n]
         k = int(value.argmax())
         if value[k] > best[size - 1]:
             best[size], choice[size] = value[k], k
         else:
             best[size] = best[size - 1]
-    out, size = [], capacity
-    while size > 0:
-        if choice[size] < 0:
-            size -= 1
-            continue
-        k = int(choice[size])
-        out.append(k)
-        size -= int(lengths[k])
-    index, times = np.unique(out, return_counts=True)
-    return np.repeat(index, np.minimum(times, np.maximum(counts[index], 1).astype(np.int64)))
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """(configuration, fractional multiplicity) by multiplicative weights; covers of a length may exceed its count."""
-    cover = np.zeros(len(lengths))
-    found: dict[bytes, tuple[np.ndarray, float]] = {}
+    return best, choice
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """(fractional multiplicity of each configuration, as pairs of place in ``lengths`` and times; a lower bound of
+    the number of sequences) by multiplicative weights. No length is covered more than its count."""
+    left, bound, weight = counts.astype(np.float64), 0.0, lengths / capacity
+    found: dict[tuple[tuple[int, int], ...], float] = {}
+    total = float(counts @ lengths)
     for _ in range(rounds):
-        left = np.maximum(1 - cover / counts, 0)
-        if left.max() <= 0:
-            break
-        prices = lengths / capacity * np.exp(-RATE * np.minimum(cover / counts, 8)) * (cover < counts) + 1e-9 * lengths
-        config = _price(lengths, prices, counts, capacity)
-        index, times = np.unique(config, return_counts=True)
-        open_ = cover[index] < counts[index]
-        if not open_.any():
+        open_ = np.flatnonzero(left > 0.01)
+        rest = float(left @ lengths)
+        if not len(open_) or rest <= GAP * total or sum(found.values()) + rest / capacity <= (1 + GAP) * bound and rest <= 0.01 * total:
             break
-        amount = STEP * float((counts[index] / times)[open_].min())
-        cover[index] += amount * times
-        key = config.tobytes()
-        found[key] = (config, found.get(key, (config, 0.0))[1] + amount)
-    return list(found.values())
+        own, prices, have = lengths[open_], weight[open_], left[open_]
+        best, choice = knapsack(own, prices, capacity)
+        bound = max(bound, float(counts[open_] @ prices) / best[capacity])
+        filled = np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))
+        floor, step = (1 - SLACK) * best[capacity], SLACK * best[capacity] / 8
+        first = np.flatnonzero(prices + best[capacity - own] >= floor)
+        for k in first[np.argsort(-own[first] * have[first], kind="stable")][:CONFIGS].tolist():
+            config, size = {k: 1}, capacity - int(own[k])
+            while (size := int(filled[size])) > 0:
+                n = int(np.searchsorted(own, size, "right"))
+                good = np.flatnonzero(best[size - own[:n]] + prices[:n] >= best[size] - step)
+                pick = int(good[-1])
+                config[pick] = config.get(pick, 0) + 1
+                size -= int(own[pick])
+            amount = STEP * min(have[i] / times for i, times in config.items())
+            if amount > 0.01:
+                key = tuple(sorted((int(open_[i]), times) for i, times in config.items()))
+                found[key] = found.get(key, 0.0) + amount
+                for i, times in config.items():
+                    have[i] -= amount * times
+        left[open_] = have
+        share = have / counts[open_]
+        weight[open_] = prices * np.exp(RATE * (share - rest / total))
+    return found, bound
+
+
+def rounded(found: dict[tuple[tuple[int, int], ...], float], left: list[int]) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Whole multiplicities; ``left`` (counts by place) loses what they use."""
+    out = {}
+    for up in (0, 1):
+        for config, amount in sorted(found.items(), key=lambda x: ((x[1] % 1, x[1]) if up else (x[1], 0), x[0]), reverse=True):
+            times = min(1 if up else int(amount + 1e-9), *(left[i] // n for i, n in config))
+            if times > 0:
+                out[config] = out.get(config, 0) + times
+                for i, n in config:
+                    left[i] -= n * times
+    return list(out.items())
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -205,62 +275,67 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
 
     Pieces of one run have consecutive ranks and consecutive sequences.
     """
-    left = {n: c for n, c in histogram.items() if c > 0}
-    ranks = dict.fromkeys(left, 0)
+    whole = histogram.get(capacity, 0)
+    rest = {n: c for n, c in histogram.items() if c > 0 and n < capacity}
+    bins = best_fit(rest, capacity)
+    if rest:
+        lengths = np.array(sorted(rest), np.int64)
+        left = [rest[n] for n in lengths.tolist()]
+        found, _ = solve(lengths, np.array(left, np.float64), capacity, rounds)
+        taken = [([int(lengths[i]) for i, n in config for _ in range(n)], times) for config, times in rounded(found, left)]
+        solved = best_fit({n: c for n, c in zip(lengths.tolist(), left, strict=True) if c}, capacity, taken)
+        if sum(t for _, t in solved) <= sum(t for _, t in bins):
+            bins = solved
     runs: list[tuple[int, int, int, int, int]] = []
+    ranks = dict.fromkeys(histogram, 0)
     sequences = 0
-
-    def place(config: list[int], times: int) -> None:
-        nonlocal sequences
+    for config, times in [([capacity], whole), *bins] if whole else bins:
         offset = 0
         for n in config:
             runs.append((n, ranks[n], times, sequences, offset))
             ranks[n] += times
-            left[n] -= times
             offset += n
         sequences += times
-
-    if left.get(capacity):
-        place([capacity], left[capacity])
-    open_ = np.array(sorted(n for n, c in left.items() if c), np.int64)
-    if len(open_):
-        found = solve(open_, np.array([left[int(n)] for n in open_], np.float64), capacity, rounds)
-        for config, amount in sorted(found, key=lambda x: (-x[1], x[0].tobytes())):
-            own = [int(open_[i]) for i in config]
-            if capacity - sum(own) > capacity // 4096:  # the residue fits the gap better
-                continue
-            times = min(int(amount), *(left[n] // own.count(n) for n in own))
-            if times:
-                place(own, times)
-    for config, times in best_fit({n: c for n, c in left.items() if c}, capacity):
-        place(config, times)
     return runs, sequences
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Bins of best-fit decreasing, as (lengths, number of such bins); equal bins are handled together."""
-    gaps: dict[int, list[list]] = {}
+def best_fit(histogram: dict[int, int], capacity: int, taken: list[tuple[list[int], int]] = ()) -> list[tuple[list[int], int]]:
+    """Bins of best-fit decreasing, as (lengths, number of such bins); equal bins are handled together. Bins that
+    are ``taken`` have room for more."""
+    groups: dict[int, list[tuple[list[int], int]]] = {}
+    sizes: list[int] = []
+
+    def put(gap: int, config: list[int], times: int) -> None:
+        if gap not in groups:
+            groups[gap] = []
+            insort(sizes, gap)
+        groups[gap].append((config, times))
+
+    for config, times in taken:
+        put(capacity - sum(config), list(config), times)
     for n in sorted(histogram, reverse=True):
         count = histogram[n]
         while count:
-            gap = min((g for g in gaps if g >= n), default=None)
-            if gap is None:
+            at = bisect_left(sizes, n)
+            if at == len(sizes):
                 held = capacity // n
-                full, rest = divmod(count, held)
-                for lengths, times in (([n] * held, full), ([n] * rest, 1 if rest else 0)):
-                    if times:
-                        gaps.setdefault(capacity - n * len(lengths), []).append([lengths, times])
+                full, over = divmod(count, held)
+                if full:
+                    put(capacity - n * held, [n] * held, full)
+                if over:
+                    put(capacity - n * over, [n] * over, 1)
                 break
-            group = gaps[gap][-1]
-            take = min(group[1], count)
-            group[1] -= take
-            if not group[1]:
-                gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-            gaps.setdefault(gap - n, []).append([[*group[0], n], take])
-            count -= take
-    return [(lengths, times) for groups in gaps.values() for lengths, times in groups]
+            gap = sizes[at]
+            config, times = groups[gap].pop()
+            many = min(gap // n, count) if times == 1 else 1
+            take = min(times, count)
+            if times > take:
+                groups[gap].append((config, times - take))
+            elif not groups[gap]:
+                del groups[gap], sizes[at]
+            put(gap - n * many, [*config, *[n] * many], take)
+            count -= take * many
+    return [x for group in groups.values() for x in group]
 
 
 def _placed_rows(runs):
@@ -281,8 +356,9 @@ def _placed_rows(runs):
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset (and its ids)."""
     cutted = cut(pieces(docs, path, capacity, with_ids))
-    salted = cutted.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int"))
-    counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # capacity * SALTS rows at most
+    salts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = cutted.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int"))
+    counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # capacity * salts rows at most
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan(histogram, capacity)
     runs.sort()

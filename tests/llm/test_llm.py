@@ -209,26 +209,60 @@ def test_decontamination_matches_brute_force(spark, docs, texts):
     assert clean == set(texts) - {r["doc_id"] for r in found}
 
 
-def test_plans_are_whole_and_tight():
+def _histogram(kind):
     rng = np.random.default_rng(1)
-    histogram = collections.Counter(np.minimum(4096, np.exp(rng.normal(6.6, 0.9, 3000)).astype(int) + 1).tolist())
-    runs, n = packing.plan(histogram, rounds=40)
+    drawn = {
+        "uniform": lambda: rng.integers(1, 4097, 20_000),
+        "log-normal": lambda: np.exp(rng.normal(6.4, 1.0, 20_000)),
+        "bimodal": lambda: np.concatenate([rng.normal(2500, 200, 7000), rng.normal(900, 150, 10_000)]),
+        "thirds": lambda: rng.normal(1365, 120, 15_000),
+        "halves": lambda: np.full(500, 2100),
+        "ones": lambda: np.ones(100_000),
+        "one": lambda: np.array([4096]),
+    }
+    return collections.Counter(np.clip(drawn[kind](), 1, 4096).astype(int).tolist())
+
+
+@pytest.mark.parametrize("kind", ["uniform", "log-normal", "bimodal", "thirds", "halves", "ones", "one"])
+def test_plans_are_whole_and_tight(kind):
+    histogram = _histogram(kind)
+    runs, n = packing.plan(histogram)
     fill, ranks = collections.Counter(), collections.defaultdict(list)
     for length, first, times, sequence, offset in runs:
         ranks[length] += range(first, first + times)
         for t in range(times):
+            assert offset == fill[sequence + t]
             fill[sequence + t] += length
-            assert offset + length <= 4096
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(c)) for k, c in histogram.items()}
     assert len(fill) == n and max(fill.values()) <= 4096
-    assert n <= math.ceil(sum(k * c for k, c in histogram.items()) / 4096) * 1.01 + 2
+    rest = {k: c for k, c in histogram.items() if k < 4096}
+    assert n <= histogram.get(4096, 0) + sum(times for _, times in packing.best_fit(rest, 4096))
+
+
+def test_the_program_is_solved_and_carries_the_plan():
+    """Its bound is valid, and on pieces of about a third of a sequence it needs 3 % fewer than best-fit alone."""
+    histogram = _histogram("thirds")
+    lengths = np.array(sorted(histogram))
+    counts = np.array([histogram[int(n)] for n in lengths], float)
+    found, bound = packing.solve(lengths, counts)
+    cover = np.zeros(len(lengths))
+    for config, amount in found.items():
+        assert sum(int(lengths[i]) * n for i, n in config) <= 4096
+        for i, n in config:
+            cover[i] += n * amount
+    assert (cover <= counts + 1e-6).all() and cover @ lengths >= 0.5 * (counts @ lengths)
+    _, n = packing.plan(histogram)
+    assert bound <= n <= 0.975 * sum(times for _, times in packing.best_fit(histogram, 4096))
+    halves = packing.solve(np.array([2100]), np.array([500.0]))
+    assert math.isclose(halves[1], 500) and math.isclose(sum(halves[0].values()), 500)
 
 
 def test_knapsack_prices_best_configuration():
     lengths, prices = np.array([3, 5, 7]), np.array([3.0, 5.6, 7.1])
-    best = packing._price(lengths, prices, np.array([9, 9, 9]), 13)
-    value = max(3 * a + 5.6 * b + 7.1 * c for a in range(5) for b in range(3) for c in range(2) if 3 * a + 5 * b + 7 * c <= 13)
-    assert math.isclose(prices[best].sum(), value)
+    best, _ = packing.knapsack(lengths, prices, 13)
+    for size in range(14):
+        want = max(3 * a + 5.6 * b + 7.1 * c for a in range(5) for b in range(3) for c in range(2) if 3 * a + 5 * b + 7 * c <= size)
+        assert math.isclose(best[size], want)
 
 
 def test_tokens_equal_the_tokenizer(texts):
@@ -242,6 +276,29 @@ def test_tokens_equal_the_tokenizer(texts):
         assert whole.encode(t, add_special_tokens=False).ids == np.frombuffer(b, "<u4").tolist()
 
 
+def test_tokens_of_hostile_texts_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    letters = "ab'sŝtré İΣσς.\u0301\u0307½9²_-<|> \n\x00\x01\u2028日ﬁ\u200bªʰ"
+    some = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    for t, b in zip(some, packing.token_bytes(some, path), strict=True):
+        assert whole.encode(t, add_special_tokens=False).ids == np.frombuffer(b, "<u4").tolist(), repr(t)
+
+
+def test_other_vocabularies_go_to_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    some = ["It's a test,  of\nspaces", "İ.a", ""]
+    for t, b in zip(some, packing.token_bytes(some, path), strict=True):
+        assert whole.encode(t, add_special_tokens=False).ids == np.frombuffer(b, "<u4").tolist()
+
+
 def test_packing(docs, texts):
     rows = packing.pack(docs).collect()
     ids = dict(zip(texts, packing.token_bytes(list(texts.values()), packing.default_tokenizer()), strict=True))
