@@ -4,7 +4,9 @@ Features are a lower-cased text's 1- to 3-grams of characters, hashed into ``WID
 by (1 + log tf) * idf and scaled to unit length. Document frequencies are counted over all documents that
 may be learnt from. The regression follows the regularised leader (FTRL-proximal) with elastic-net
 penalties, which keeps most weights at exactly zero, on at most ``PER_LANGUAGE`` documents of each
-language (those with the least hash of id and text; the bound is the only use of a sample). One in five
+language (those with the least hash of id and text, rows of one id and text once; the bound is the only use
+of a sample). Rows whose hash is above what ``PER_LANGUAGE`` of a language's count would need, with a margin,
+are left out where they are read, so what is compared does not grow with the corpus. One in five
 of them is kept back, and a single temperature is chosen on these by their log-loss.
 
 Null texts and texts without a letter are ``und`` with score 0; where nothing can be learnt, all are.
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -26,7 +28,7 @@ WIDTH = 1 << 13
 PER_LANGUAGE = 500
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 1e-4
 _EPOCHS = 4
-_SLICE = 1 << 19
+_SLICE, _ROWS = 1 << 19, 512
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def _pylist(batch: pa.RecordBatch) -> list[str]:
 
 def _df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(WIDTH, np.int64), 0
-    for batch in slices(batches, size=_SLICE):
+    for batch in slices(batches, size=_SLICE, rows=_ROWS):
         total += np.bincount(_grams(_pylist(batch))[1], minlength=WIDTH)
         n += len(batch)
     column = np.append(np.flatnonzero(total), -1)
@@ -72,12 +74,12 @@ def _df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _feature_rows(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=_SLICE):
+        for batch in slices(batches, size=_SLICE, rows=_ROWS):
             doc, column, value = _weighted(_pylist(batch), idf)
             at = pa.array(np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("place"), pa.ListArray.from_arrays(at, pa.array(column.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))],
-                names=["lang", "place", "columns", "values"],
+                [batch.column("lang"), batch.column("code"), pa.ListArray.from_arrays(at, pa.array(column.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))],
+                names=["lang", "code", "columns", "values"],
             )
 
     return run
@@ -134,17 +136,26 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE):
     df[list(frequency)] = list(frequency.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    nearest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    chosen = labelled.select("lang", "doc_id", F.row_number().over(nearest).alias("place")).filter(F.col("place") <= per_language)
-    ids = chosen.groupBy("doc_id", "lang").agg(F.min("place").alias("place"))  # per_language ids for each language
-    rows = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "place", "text")
-    found = rows.mapInArrow(_feature_rows(idf), "lang string, place int, columns array<int>, values array<float>").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
+    # a language's count is one row; ``low`` is the part of hashes that holds per_language rows, and a margin
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    low = F.least(F.lit(1.0), (per_language + 10 * F.lit(float(per_language)).cast("double") ** 0.5) / F.col("n"))
+    near = labelled.withColumn("code", F.xxhash64("doc_id", "text")).join(F.broadcast(counts.select("lang", low.alias("low"))), "lang")
+    near = near.filter(F.col("code") / float(1 << 64) + 0.5 <= F.col("low")).select("lang", "code", "text")
+    once = near.mapInArrow(_feature_rows(idf), "lang string, code long, columns array<int>, values array<float>").dropDuplicates(["lang", "code"])
+    found = once.toArrow().sort_by([("code", "ascending"), ("lang", "ascending")])
+    place: dict[str, int] = {}
+    places = []
+    for name in found["lang"].to_pylist():
+        place[name] = place.get(name, 0) + 1
+        places.append(place[name])
+    kept = np.array(places, np.int64) <= per_language
+    found, places = found.filter(pa.array(kept, pa.bool_())), np.array(places, np.int64)[kept]
     languages = sorted(set(found["lang"].to_pylist()))
     y = np.array([languages.index(x) for x in found["lang"].to_pylist()])
     columns, values = found["columns"].combine_chunks(), found["values"].combine_chunks()
     at, flat, flat_values = np.asarray(columns.offsets), columns.values.to_numpy(), values.values.to_numpy().astype(np.float64)
     parts = [(flat[a:b], flat_values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    kept_back = np.array(found["place"].to_pylist()) % 5 == 0
+    kept_back = places % 5 == 0
     fitted = [i for i in range(len(y)) if not kept_back[i]]
     weights = follow_the_leader([parts[i] for i in fitted], y[fitted], len(languages))
     back = np.flatnonzero(kept_back)
@@ -158,7 +169,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE):
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, idf, weights, temperature = model.value
-        for batch in slices(batches, size=_SLICE):
+        for batch in slices(batches, size=_SLICE, rows=_ROWS):
             texts = _pylist(batch)
             doc, column, value = _weighted(texts, idf)
             logits = np.tile(weights[-1], (len(texts), 1))

@@ -9,8 +9,9 @@ feature vector x is the logistic of
 
 so pairwise interactions of all features cost one pass over those that a text has.
 
-The model is fitted by AdaGrad on at most ``SAMPLE`` labelled rows (those with the least hash of their
-id; that bound is the only use of a sample) and is a fixed number of floats, whatever the corpus.
+The model is fitted by AdaGrad on at most ``SAMPLE`` labelled ids (those with the least hash; that bound is the
+only use of a sample; of several texts of one id, that with the greatest hash) and is a fixed number of
+floats, whatever the corpus.
 Labels are joined to documents by broadcasting only the sampled ids. Learning sees nothing of a
 document but its text.
 
@@ -170,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """A model from at most ``sample`` rows of ``labels`` (doc_id, quality 0 or 1) and their documents' texts."""
     chosen = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    found = rows.mapInArrow(_feature_rows, "quality int, columns array<int>, values array<float>").limit(2 * sample).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct(F.xxhash64("text").alias("code"), "text", "quality")).alias("row")).select("row.text", "row.quality")
+    found = rows.mapInArrow(_feature_rows, "quality int, columns array<int>, values array<float>").toArrow()
     y = found["quality"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         value = 1.0 if not len(y) or y.min() == 1 else 0.0

@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,8 +86,6 @@ def merge(sketches: DataFrame, by: list[str], column: str = "fingerprint", k: in
     """One sketch for each group of rows, in two steps so that no task holds a large group's parts at once."""
 
     def least(key, pdf):
-        import pandas as pd
-
         best = np.zeros(0, np.uint64)
         for text in pdf[column]:
             best = np.unique(np.concatenate([best, decode(text)]))[:k]
@@ -136,35 +135,72 @@ def _pair_rows(k: int, shingle: int):
     return run
 
 
+def _dealer(bounds: np.ndarray, cuts: np.ndarray, heads: list[tuple[int, int, int]] = ()):
+    """Of key and code: the range, counted from the greatest key, range i of keys being cut into cuts[i] by code;
+    and, for the rows of heads (code, key, range; sorted), the range that gets a copy (else -1)."""
+    offsets = np.cumsum(cuts) - cuts
+    codes, keys, targets = (np.array([h[i] for h in heads], np.int64) for i in range(3))
+
+    @F.pandas_udf("range int, target int")
+    def deal(key: pd.Series, code: pd.Series) -> pd.DataFrame:
+        k, c = key.to_numpy(), code.to_numpy()
+        own = len(bounds) - np.searchsorted(bounds, k, "right")
+        part = np.minimum(((c / 2.0**64 + 0.5) * cuts[own]).astype(np.int64), cuts[own] - 1)
+        target = np.full(len(k), -1, np.int64)
+        for i in np.flatnonzero(np.isin(c, codes)):
+            for j in range(int(np.searchsorted(codes, c[i])), len(codes)):
+                if codes[j] != c[i]:
+                    break
+                if keys[j] == k[i]:
+                    target[i] = targets[j]
+        return pd.DataFrame({"range": offsets[own] + part, "target": target})
+
+    return deal
+
+
+def _tags(docs: DataFrame, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning sends there."""
+    ids = docs.sparkSession.range(64 * n).select(F.col("id").cast("int").alias("id"))
+    rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()  # n rows
+    tags = {r["part"]: r["id"] for r in rows}
+    return [tags.get(i, i) for i in range(n)]
+
+
 def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Sketches of every text and of its edit, whose last third gives way to the next text's beginning.
 
     The next text is that of the next doc_id going down, and the first one's after the last; equal
     doc_ids follow each other by a hash of their texts, null ids come last. Null texts are empty.
 
-    Documents are dealt into ranges of doc_id, as many as there are shuffle partitions, and the first
-    document of a range also goes to the range before it: texts move once and no task sees all ids.
-    What the driver learns of the documents is one id for each range.
+    Documents are dealt into ranges of doc_id, as many as there are shuffle partitions, a range of one
+    frequent id (such as null) being cut further by the hashes of texts; and the first document of a range
+    also goes to the range before it. So texts move once, each range to a partition of its own, and no task
+    sees all ids. What the driver learns of the documents is one id and hash for each range.
     """
-    ranges_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"))
-    bounds = ids.approxQuantile("key", [i / ranges_ for i in range(1, ranges_)], 0.2 / ranges_) if ranges_ > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("key"))) if bounds else F.lit(0)
-    heads = sorted(map(tuple, ids.groupBy(bucket.alias("bucket")).agg(F.max("key")).collect()))
-    before = [(heads[i][1], heads[i - 1][0]) for i in range(len(heads))]  # the first range's head goes to the last
-    target = F.coalesce(*(F.when(F.col("key") == key, F.lit(to)) for key, to in before), F.lit(None).cast("int")) if len(before) < 400 else None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"))
-    if target is None or not before:
-        found = docs.sparkSession.createDataFrame(before, "key long, target int")
-        rows = rows.join(F.broadcast(found), "key", "left")  # one row for each range
-    else:
-        rows = rows.withColumn("target", target)
-    places = F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("copied")), F.struct(F.col("target").alias("bucket"), F.lit(1).alias("copied")))
-    dealt = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "key", "place.bucket", "place.copied").filter("bucket is not null")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(_LEAST))).withColumn("code", F.xxhash64("text"))
+    bounds = rows.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    frequent = {int(b) + 1 for b, after in zip(bounds, bounds[1:], strict=False) if b == after}  # ends the range of a frequent id
+    bounds = np.array(sorted({int(b) for b in bounds} | frequent), np.int64)
+    whole = np.ones(len(bounds) + 1, np.int64)
+    found = rows.groupBy(_dealer(bounds, whole)("key", "code")["range"].alias("range")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    total = sum(r["n"] for r in found)
+    cuts = whole.copy()
+    for r in found:
+        if r["low"] == r["high"]:
+            cuts[r["range"]] = max(1, r["n"] * n // total)
+    first = F.max(F.struct("key", F.bitwise_not("code").alias("code")))
+    heads = sorted((r["range"], r["first"]["key"], ~r["first"]["code"]) for r in rows.groupBy(_dealer(bounds, cuts)("key", "code")["range"].alias("range")).agg(first.alias("first")).collect())
+    before = [(code, key, heads[i - 1][0]) for i, (_, key, code) in enumerate(heads)]  # the first range's head goes to the last
+    places = F.array(*(F.struct(F.col(f"place.{c}").alias("bucket"), F.lit(i).alias("copied")) for i, c in enumerate(("range", "target"))))
+    dealt = rows.withColumn("place", _dealer(bounds, cuts, sorted(before))("key", "code")).withColumn("place", F.explode(places))
+    dealt = dealt.select("doc_id", "text", "key", "code", "place.bucket", "place.copied").filter("bucket >= 0")
+    size = max(n, int(cuts.sum()))
+    tags = _tags(docs, size)
+    dealt = dealt.withColumn("tag", F.get(F.array(*map(F.lit, tags)), F.col("bucket")))
     return (
-        dealt.repartition("bucket")
-        .sortWithinPartitions("bucket", "copied", F.desc("key"), F.xxhash64("text"))
+        dealt.repartition(size, "tag")
+        .sortWithinPartitions("bucket", "copied", F.desc("key"), "code")
         .select("bucket", "copied", "doc_id", "text")
         .mapInArrow(
             _pair_rows(k, shingle),
