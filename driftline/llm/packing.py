@@ -20,7 +20,7 @@ of lengths, which has at most ``capacity`` entries whatever the corpus. The driv
 Best-fit decreasing alone is planned too, and taken where it needs fewer sequences.
 
 The plan says which sequence and offset the r-th piece of each length gets. Ranks come from counts per
-(length, salt) and a running number within those; there are ``SPREAD`` salts for each shuffle partition, so
+(length, salt) and a running number within those; there is one salt (``SPREAD``) for each shuffle partition, so
 a length that a third of all pieces share is spread over all tasks. The plan itself is broadcast, bounded
 by the histogram.
 
@@ -52,7 +52,7 @@ STEP = 1.0
 RATE = 0.1
 SLACK = 0.002
 GAP = 1e-4
-SPREAD = 4
+SPREAD = 1
 _CACHE = 300_000
 
 #: fixed values: how the vocabulary in use splits words
