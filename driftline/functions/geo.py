@@ -102,20 +102,48 @@ def in_polygon(lat: Column, lon: Column, polygon: Polygon) -> Column:
     return crossings % 2 == 1
 
 
+def _edge_square(lat: Column, lon: Column, edge: tuple[float, float, float, float]) -> Column:
+    """Square of segment_ft to a fixed edge. What the edge fixes is worked out here, so that the code of many edges
+    stays small enough to be compiled."""
+    a_lat, a_lon, b_lat, b_lon = edge
+    shrink = F.cos(F.radians((lat + (a_lat + b_lat)) / 3)) * FT_PER_DEG
+    clamp = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    if a_lat == b_lat and a_lon == b_lon:
+        x, y = (lon - a_lon) * shrink, (lat - a_lat) * FT_PER_DEG
+    elif a_lat == b_lat:
+        x, y = (lon - a_lon - clamp((lon - a_lon) * (1 / (b_lon - a_lon))) * (b_lon - a_lon)) * shrink, (lat - a_lat) * FT_PER_DEG
+    elif a_lon == b_lon:
+        x, y = (lon - a_lon) * shrink, (lat - a_lat - clamp((lat - a_lat) * (1 / (b_lat - a_lat))) * (b_lat - a_lat)) * FT_PER_DEG
+    else:
+        px, py = (lon - a_lon) * shrink, (lat - a_lat) * FT_PER_DEG
+        dx, dy = shrink * (b_lon - a_lon), (b_lat - a_lat) * FT_PER_DEG
+        along = clamp((px * dx + py * dy) / (dx * dx + dy * dy))
+        x, y = px - along * dx, py - along * dy
+    return x * x + y * y
+
+
+def _present(x: Column) -> Column:
+    return F.coalesce(x, F.lit(float("nan")))  # without nulls, the code has no branch for each step
+
+
 def boundary_ft(lat: Column, lon: Column, polygon: Polygon) -> Column:
     """Distance to the nearest edge, inside or not."""
-    each = [segment_ft(lat, lon, *e) for e in edges(polygon)]
-    return each[0] if len(each) == 1 else F.least(*each)
+    return nearest_edge_ft(lat, lon, [polygon])
+
+
+def nearest_edge_ft(lat: Column, lon: Column, polygons: list[Polygon]) -> Column:
+    """Distance to the nearest edge of any polygon; null if a coordinate is."""
+    squares = [_edge_square(_present(lat), _present(lon), e) for p in polygons for e in edges(p)]
+    least = F.sqrt(squares[0] if len(squares) == 1 else F.least(*squares))
+    return F.when(lat.isNotNull() & lon.isNotNull(), least)
 
 
 def signed_zone_ft(lat: Column, lon: Column, polygons: list[Polygon]) -> Column:
     """Distance to the nearest edge of any zone, negative inside any of them."""
-    distances = [boundary_ft(lat, lon, p) for p in polygons]
-    nearest = distances[0] if len(distances) == 1 else F.least(*distances)
     inside = in_polygon(lat, lon, polygons[0])
     for p in polygons[1:]:
         inside = inside | in_polygon(lat, lon, p)
-    return F.when(inside, -nearest).otherwise(nearest)
+    return nearest_edge_ft(lat, lon, polygons) * F.when(inside, -1.0).otherwise(1.0)
 
 
 def zone_severity(signed: Column) -> Column:

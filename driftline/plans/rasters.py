@@ -10,9 +10,9 @@ from ..operators import sequences as seqs
 from ..sources import analog
 from ..sources.analog import FIELD_FT, GRID, GRID_COLS, GRID_ROWS, LAT0, LON0, with_sql
 from .registry import query
-from .relations import _board_sql, flown, leaderboard, notification_state
+from .relations import _SCORED_SQL, _board_sql, flown, leaderboard, notification_state, score_board
 from .scalars import _ALONG, _FT, _NM, _UP, CELL_SQL, CLASSED, GRADE_SQL, TIER_SQL, classified, nearest_zone, segment_sql, with_density
-from .trajectories import CYCLES, GROUND, INTENT, INTENT_RULE_SQL, MERGED, SEG, W, flights, intent, intent_rule, runs_sql
+from .trajectories import CSEG, CYCLES, GROUND, INTENT, INTENT_RULE_SQL, LAGS, MERGED, SEG, W, flights, intent, intent_rule, runs_sql
 
 FX = with_sql("fixes")
 PG = with_sql("fixes", "pop_grid")
@@ -332,6 +332,31 @@ def cmp01(spark, sf_dir):
     return out.withColumn("tier", scoring.tier(F.col("overall")))
 
 
+_CLASSED_ALL = with_sql("fixes", "zone_edges", "pop_grid", "aircraft") + ", " + _CLS_TAIL
+_IMPACT_TAIL = _MID[_MID.index("ms AS (") :].replace("FROM seg)", f"FROM (SELECT *, {_FT('p_lat', 'p_lon', 'lat', 'lon')} AS len_ft FROM (SELECT *, {LAGS} FROM fixes) WHERE p_t_ms IS NOT NULL))")
+_BASES = "base IN ('CANADA', 'CHINA', 'FRANCE', 'KENYA', 'PERU', 'UNITED STATES')"
+_LIVE = f"""{_CLASSED_ALL}, {CSEG}, {MERGED}, {_IMPACT_TAIL},
+fl AS (SELECT hex, count(*) AS flights FROM merged WHERE landing_ts IS NOT NULL GROUP BY 1),
+ln AS (SELECT hex, sum(len_ft) / 6076.12 AS total, coalesce(sum(len_ft) FILTER (seg_sev = 3), 0) / 6076.12 AS red, coalesce(sum(len_ft) FILTER (seg_sev = 2), 0) / 6076.12 AS orange, coalesce(sum(len_ft) FILTER (seg_sev = 1), 0) / 6076.12 AS yellow FROM cseg GROUP BY 1),
+pi AS (SELECT hex, sum(impact) AS pop FROM im GROUP BY 1),
+g AS (SELECT base AS k, sum(flights) AS flights, sum(total) AS total, sum(red) AS red, sum(orange) AS orange, sum(yellow) AS yellow, sum(pop) AS pop FROM fl JOIN ln USING (hex) LEFT JOIN pi USING (hex) JOIN aircraft ON tail = hex WHERE {_BASES} GROUP BY 1),
+{_SCORED_SQL}"""
+
+
+@query("agg08_live_score", f"{_LIVE} SELECT k, CAST(flights AS BIGINT) AS flights, round(exc, 6) AS exc, round(idx, 4) AS idx, round(pow(flights, 1.5) * (1 - least(1.0, exc)) / (1 + idx), 6) AS score FROM b")
+def agg08(spark, sf_dir):
+    """Completed trips, classified lengths and population impact of the live fixes, scored for each of the home bases."""
+    merged = seqs.merge_cycles(flights(spark, sf_dir), 120).filter("landing_ts is not null").groupBy("hex").agg(F.count("*").alias("flights"))
+    c = seqs.segments(classified(spark, sf_dir)).groupBy("hex")
+    part = lambda s: F.sum(F.when(F.col("seg_sev") == s, F.col("len_ft")).otherwise(0.0)) / geo.FT_PER_NM
+    lengths = c.agg((F.sum("len_ft") / geo.FT_PER_NM).alias("total"), part(3).alias("red"), part(2).alias("orange"), part(1).alias("yellow"))
+    pop = impacts(spark, sf_dir).groupBy("hex").agg(F.sum("impact").alias("pop"))
+    home = analog.aircraft(spark, sf_dir).filter(_BASES).select(F.col("tail").alias("hex"), F.col("base").alias("k"))
+    tails = merged.join(lengths, "hex").join(pop, "hex", "left").join(home, "hex")
+    sums = tails.groupBy("k").agg(*(F.sum(x).alias(x) for x in ("flights", "total", "red", "orange", "yellow", "pop")))
+    return score_board(sums, 1.5).select("k", "flights", F.round("exc", 6).alias("exc"), F.round("index", 4).alias("idx"), F.round("score", 6).alias("score"))
+
+
 _SITE = f"si AS (SELECT seq, arg_min(code, {_NM('f.lat', 'f.lon', 'a.lat', 'a.lon')}) AS site FROM fixes f CROSS JOIN airports a WHERE {_NM('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 3 GROUP BY seq)"
 _LAND = f"{with_sql('fixes', 'airports')}, {CYCLES}, {_SITE}, ld AS (SELECT flight_id, any_value(c.hex) AS hex, any_value(landing_ts) AS landing_ts, arg_max(seq, f.t_ms * 1000000 + f.seq) AS seq FROM cyc c JOIN fixes f ON f.hex = c.hex AND f.t_ms <= landing_ts GROUP BY 1)"
 

@@ -338,21 +338,35 @@ def agg04(spark, sf_dir):
     return out.filter("value is not null").distinct().orderBy("facet", "value")
 
 
+def score_board(sums, power: float = 1.0):
+    """Scores of rows of flights, lengths by class (total, red, orange, yellow) and population impact (null if unknown).
+
+    A score is flights ** power, times the clean share of the length, over 1 + the impact index: population impact for
+    each foot over 1000, or 12 times the weighted excursions for each mile where the population is not known.
+    """
+    c, total = F.col, F.nullif(F.col("total"), F.lit(0.0))
+    rate = F.coalesce((c("red") + c("orange") + c("yellow")) / total, F.lit(0.0))
+    weighted = F.coalesce((3 * c("red") + 2 * c("orange") + c("yellow")) / total, F.lit(0.0))
+    index = F.coalesce(c("pop") / (total * geo.FT_PER_NM) / 1000, 12 * weighted)
+    out = sums.withColumns({"exc": rate, "index": index})
+    return out.withColumn("score", F.pow("flights", F.lit(power)) * (1 - F.least(F.lit(1.0), c("exc"))) / (1 + c("index")))
+
+
 def leaderboard(rows, key: str):
-    """Per key: nautical miles by class, weighted excursion, population impact and the good-neighbour score."""
+    """Per key: flights, nautical miles by class, population impact and the good-neighbour score."""
     nm = lambda c: F.sum(f"len_{c}_ft") / geo.FT_PER_NM
-    g = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("flights"), *(nm(c).alias(c) for c in _CLASSES), F.sum("pop_impact").alias("pop"))
-    share = (3 * F.col("red") + 2 * F.col("orange") + F.col("yellow")) / F.nullif(F.col("total"), F.lit(0.0))
-    index = F.coalesce(F.col("pop") / F.nullif(F.col("total"), F.lit(0.0)) / 1000, 12 * share)
-    exc = F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))
-    return g.withColumns({"exc": F.coalesce(share, F.lit(0.0)), "index": F.coalesce(index, F.lit(0.0))}).withColumn("score", F.col("flights") * (1 - exc / 3) / (1 + F.col("index")))
+    return score_board(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("flights"), *(nm(c).alias(c) for c in _CLASSES), F.sum("pop_impact").alias("pop")))
+
+
+_SCORED_SQL = """b AS (SELECT *, CASE WHEN total > 0 THEN (red + orange + yellow) / total ELSE 0 END AS exc,
+  CASE WHEN pop IS NOT NULL AND total > 0 THEN pop / (total * 6076.12) / 1000 WHEN total > 0 THEN 12 * (3 * red + 2 * orange + yellow) / total ELSE 0 END AS idx FROM g)"""
 
 
 def _board_sql(key: str) -> str:
     return f"""{TA}, g AS (SELECT {key} AS k, count(*) AS flights, sum(len_total_ft) / 6076.12 AS total, sum(len_red_ft) / 6076.12 AS red, sum(len_orange_ft) / 6076.12 AS orange, sum(len_yellow_ft) / 6076.12 AS yellow, sum(pop_impact) AS pop
   FROM tracks LEFT JOIN aircraft USING (tail) WHERE {key} IS NOT NULL GROUP BY 1),
-b AS (SELECT *, coalesce((3 * red + 2 * orange + yellow) / nullif(total, 0), 0) AS exc, coalesce(pop / nullif(total, 0) / 1000, 12 * (3 * red + 2 * orange + yellow) / nullif(total, 0), 0) AS idx FROM g),
-board AS (SELECT k, flights, total, red, exc, idx, flights * (1 - least(1.0, exc) / 3) / (1 + idx) AS score FROM b)"""
+{_SCORED_SQL},
+board AS (SELECT k, flights, total, red, exc, idx, flights * (1 - least(1.0, exc)) / (1 + idx) AS score FROM b)"""
 
 
 for _key in ("base", "school", "tail"):
@@ -368,12 +382,6 @@ def agg07(spark, sf_dir):
     return leaderboard(flown(spark, sf_dir), "base").select(F.col("base").alias("k"), F.round("score", 5).alias("score"))
 
 
-@query("agg08_live_score", f"{FX}, {MERGED} SELECT hex, round(pow(count(*), 1.5) / (1 + avg(top_ft) / 10000), 6) AS score FROM merged GROUP BY hex")
-def agg08(spark, sf_dir):
-    m = seqs.merge_cycles(flights(spark, sf_dir), 120)
-    return m.groupBy("hex").agg(F.round(F.pow(F.count("*"), F.lit(1.5)) / (1 + F.avg("top_ft") / 10000), 6).alias("score"))
-
-
 @query("agg09_relative_rank", f"{_board_sql('base')} SELECT k, round(score / max(score) OVER () * 100, 4) AS pct, row_number() OVER (ORDER BY round(score, 9) DESC, k) AS place FROM board")
 def agg09(spark, sf_dir):
     b = leaderboard(flown(spark, sf_dir), "base").select(F.col("base").alias("k"), "score")

@@ -45,12 +45,13 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: call, date, year, worst severity, counts and lengths by class, rand_key."""
     lines = table(spark, sf_dir, "lineitem")
     flag, price = F.col("l_returnflag"), F.col("l_extendedprice")
+    classes = {"red": flag == "R", "orange": flag == "A", "yellow": (flag == "N") & (F.col("l_quantity") < 20)}  # the rest is clean
     sums = lines.groupBy(F.col("l_orderkey").alias("track_id")).agg(
         F.count("*").alias("seg_total"),
-        *(F.count_if(flag == f).alias(f"seg_{c}") for f, c in (("R", "red"), ("A", "orange"), ("N", "yellow"))),
+        *(F.count_if(of).alias(f"seg_{c}") for c, of in classes.items()),
         F.sum(price).alias("len_total_ft"),
-        *(F.sum(F.when(flag == f, price).otherwise(0.0)).alias(f"len_{c}_ft") for f, c in (("R", "red"), ("A", "orange"), ("N", "yellow"))),
-        F.max(F.when(flag == "R", 3).when(flag == "A", 2).otherwise(1)).alias("worst"),
+        *(F.sum(F.when(of, price).otherwise(0.0)).alias(f"len_{c}_ft") for c, of in classes.items()),
+        F.max(F.when(classes["red"], 3).when(classes["orange"], 2).when(classes["yellow"], 1).otherwise(0)).alias("worst"),
     )
     o = table(spark, sf_dir, "orders")
     joined = o.join(sums, o.o_orderkey == sums.track_id, "left")
@@ -160,9 +161,9 @@ WITH = {
     coalesce(lt, 0.0)::DOUBLE AS len_total_ft, coalesce(lr, 0.0)::DOUBLE AS len_red_ft, coalesce(la, 0.0)::DOUBLE AS len_orange_ft, coalesce(ly, 0.0)::DOUBLE AS len_yellow_ft,
     CASE WHEN o_totalprice > 1000 THEN o_totalprice / 100 END AS pop_impact, o_orderkey * 7919 % 1000000 AS rand_key
   FROM orders LEFT JOIN (
-    SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS y,
+    SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N' AND l_quantity < 20) AS y,
       sum(l_extendedprice) AS lt, sum(l_extendedprice) FILTER (l_returnflag = 'R') AS lr, sum(l_extendedprice) FILTER (l_returnflag = 'A') AS la,
-      sum(l_extendedprice) FILTER (l_returnflag = 'N') AS ly, max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) AS worst
+      sum(l_extendedprice) FILTER (l_returnflag = 'N' AND l_quantity < 20) AS ly, max(CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_returnflag = 'A' THEN 2 WHEN l_quantity < 20 THEN 1 ELSE 0 END) AS worst
     FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey)""",
     "aircraft": f"""aircraft AS (
   SELECT c_custkey AS tail, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS school, n_name AS base,
