@@ -64,4 +64,15 @@ QUERIES = {
         op10_quality,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
+s AS (SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS span FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY span) AS n FROM s) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM twice),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS kept_text FROM w ANTI JOIN gone USING (r, j) GROUP BY r),
+removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN removed USING (r)""",
+}
