@@ -107,10 +107,10 @@ def in_hours(hour: Column, start: int, end: int) -> Column:
 
 
 def rolling_id(text: Column) -> Column:
-    """A 31-based 32-bit hash of the text's characters, as hex."""
+    """The last four hex digits, in capitals, of a 31-based 32-bit hash of the text's characters."""
     codes = F.transform(F.split(text, ""), F.ascii)
     total = F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-    return F.lower(F.hex(total))
+    return F.right(F.hex(total), F.lit(4))
 
 
 def sign(key: bytes):

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import geo, kernels
 from .sequences import by
 
 SCHEMA = "hex long, seq long, lat double, lon double"
@@ -71,8 +71,23 @@ def cardinal(fixes: DataFrame, tension: float = 0.5, samples: int = 8) -> DataFr
 
 
 def catmull_rom(fixes: DataFrame, samples: int = 8) -> DataFrame:
-    """Uniform Catmull-Rom spline: a cardinal spline of tension one half."""
-    return cardinal(fixes, 0.5, samples)
+    """Centripetal Catmull-Rom spline: knots are apart by the square root of the distance in feet (1e-9 at least)."""
+    cols = {}
+    for c in ("lat", "lon"):
+        cols |= {f"{c}1": F.col(c), f"{c}2": F.lead(c).over(by()), f"{c}0": F.coalesce(F.lag(c).over(by()), F.col(c)), f"{c}3": F.coalesce(F.lead(c, 2).over(by()), F.lead(c).over(by()))}
+    rows = fixes.withColumns(cols).filter("lat2 is not null")
+    knot = lambda k: F.sqrt(F.greatest(F.lit(1e-9), geo.planar_ft(*(F.col(f"{c}{k + i}") for i in (0, 1) for c in ("lat", "lon")))))
+    rows = rows.withColumn("t1", knot(0)).withColumn("t2", F.col("t1") + knot(1)).withColumn("t3", F.col("t2") + knot(2))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("t", F.col("t1") + F.col("i") / samples * (F.col("t2") - F.col("t1")))
+    time = lambda k: F.col(f"t{k}") if k else F.lit(0.0)
+    mix = lambda a, b, x, y: ((time(b) - F.col("t")) * x + (F.col("t") - time(a)) * y) / (time(b) - time(a))
+
+    def value(c: str):
+        p = [F.col(f"{c}{k}") for k in range(4)]
+        a = [mix(k, k + 1, p[k], p[k + 1]) for k in range(3)]
+        return mix(1, 2, mix(0, 2, a[0], a[1]), mix(1, 3, a[1], a[2]))
+
+    return rows.select("hex", "seq", "i", value("lat").alias("lat"), value("lon").alias("lon"))
 
 
 def midpoint_bezier(fixes: DataFrame, samples: int = 8) -> DataFrame:

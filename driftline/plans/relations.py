@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -317,9 +319,25 @@ def agg02(spark, sf_dir):
     return flown(spark, sf_dir).filter("base is not null").groupBy("year", "base", "origin").agg(F.count("*").alias("n"), F.round(F.sum("len_red_ft"), 2).alias("red_ft"))
 
 
-@query("agg02b_facets", f"{TA} SELECT year, base, origin, count(*) AS n FROM tracks JOIN aircraft USING (tail) GROUP BY GROUPING SETS ((year), (base), (origin))")
+#: the filters in force; a facet heeds those of the other two dimensions only
+_FACETS = {"year": ("year", "1995"), "base": ("base", "CHINA"), "origin": ("origin", "local")}
+_CELL = "count(*) AS n, count(*) FILTER (worst = 3) AS red"
+
+
+def _facet_sql(name: str) -> str:
+    others = " AND ".join(f"CAST({c} AS VARCHAR) = '{v}'" for n, (c, v) in _FACETS.items() if n != name)
+    return f"SELECT '{name}' AS facet, CAST({name} AS VARCHAR) AS value, n, red FROM (SELECT {name}, CAST(sum(n) AS BIGINT) AS n, CAST(sum(red) AS BIGINT) AS red FROM cube WHERE {others} GROUP BY 1)"
+
+
+@query("agg02b_facets", f"{TA}, cube AS (SELECT year, base, origin, {_CELL} FROM tracks JOIN aircraft USING (tail) WHERE base IS NOT NULL GROUP BY 1, 2, 3), f AS ({' UNION ALL '.join(map(_facet_sql, _FACETS))}) SELECT facet, value, n, round(red / n * 100, 4) AS red_pct, round(red / n * 100, 4) = max(round(red / n * 100, 4)) OVER (PARTITION BY facet) AS top FROM f")
 def agg02b(spark, sf_dir):
-    return flown(spark, sf_dir).filter("base is not null").groupingSets([["year"], ["base"], ["origin"]], "year", "base", "origin").agg(F.count("*").alias("n"))
+    """Totals of each dimension under the other two filters, in one pass over the cube."""
+    cube = flown(spark, sf_dir).filter("base is not null").groupBy("year", "base", "origin").agg(F.count("*").alias("n"), F.count_if(F.col("worst") == 3).alias("red"))
+    holds = {n: F.col(c).cast("string") == v for n, (c, v) in _FACETS.items()}
+    facet = lambda n: F.when(functools.reduce(lambda a, b: a & b, (h for m, h in holds.items() if m != n)), F.struct(F.lit(n).alias("facet"), F.col(n).cast("string").alias("value")))
+    cells = cube.select(F.explode(F.array_compact(F.array(*map(facet, _FACETS)))).alias("f"), "n", "red").groupBy("f.facet", "f.value").agg(F.sum("n").alias("n"), F.sum("red").alias("red"))
+    cells = cells.select("facet", "value", "n", F.round(F.col("red") / F.col("n") * 100, 4).alias("red_pct"))
+    return cells.withColumn("top", F.col("red_pct") == F.max("red_pct").over(Window.partitionBy("facet")))  # a few values a facet
 
 
 @query("agg03_by_date", f"{TR} SELECT date, count(*) AS n, round(sum(len_red_ft) / nullif(sum(len_total_ft), 0) * 100, 4) AS red_pct FROM tracks GROUP BY date")
@@ -452,10 +470,24 @@ def agg30(spark, sf_dir):
     return c.groupBy("type").agg(F.max("started").alias("latest"), F.min("distance_mi").alias("nearest"), F.count("*").alias("n"), F.max(geo.class_severity(F.col("klass"))).alias("worst")).orderBy(F.desc("worst"), F.asc_nulls_last("nearest"))
 
 
-@query("agg36_contacts", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+_TIERS = ["city", "county", "state", "federal", "governor"]
+
+
+@query("agg36_contacts", """WITH c AS (SELECT r_name AS area, unnest([{'tier': 0, 'name': n_name}, {'tier': 1, 'name': r_name}, {'tier': 2, 'name': 'senate ' || (n_nationkey % 3)}, {'tier': 3, 'name': 'house ' || (n_nationkey % 2)}]) AS x FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name, unnest([{'tier': 3, 'name': 'senator a'}, {'tier': 3, 'name': 'senator b'}, {'tier': 4, 'name': 'governor'}]) FROM region),
+d AS (SELECT DISTINCT area, x.tier AS tier, x.name AS name FROM c)
+SELECT area, ['city', 'county', 'state', 'federal', 'governor'][tier + 1] AS tier, name, row_number() OVER (PARTITION BY area ORDER BY tier, name) AS place FROM d""")
 def agg36(spark, sf_dir):
+    """Contacts of an area's airports: those of each tier, then the shared ones, each once, in order of tier."""
     n, r = T(spark, sf_dir, "nation"), T(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_name", "r_name").dropDuplicates(["n_name"]).orderBy("r_name", "n_name")
+    contact = lambda tier, name: F.struct(F.lit(_TIERS.index(tier)).alias("rank"), name.alias("name"))
+    numbered = lambda word, k: F.concat(F.lit(word), (F.col("n_nationkey") % k).cast("string"))
+    own = F.array(contact("city", F.col("n_name")), contact("county", F.col("r_name")), contact("state", numbered("senate ", 3)), contact("federal", numbered("house ", 2)))
+    shared = F.array(*(contact(t, F.lit(x)) for t, x in (("federal", "senator a"), ("federal", "senator b"), ("governor", "governor"))))
+    rows = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("r_name", F.explode(own).alias("c")).unionAll(r.select("r_name", F.explode(shared).alias("c")))
+    once = rows.select(F.col("r_name").alias("area"), "c.rank", "c.name").dropDuplicates()
+    place = F.row_number().over(Window.partitionBy("area").orderBy("rank", "name"))  # a few contacts an area
+    return once.select("area", F.get(F.array(*map(F.lit, _TIERS)), F.col("rank")).alias("tier"), "name", place.alias("place"))
 
 
 # --- sorts, limits, set operations ---------------------------------------------------------------------
@@ -500,10 +532,15 @@ def srt07(spark, sf_dir):
 
 @query("srt08_stride_sample", f"{TR} SELECT track_id FROM (SELECT track_id, row_number() OVER (PARTITION BY year ORDER BY track_id) AS i, count(*) OVER (PARTITION BY year) AS n FROM tracks) WHERE floor(i * least(1.0, 40.0 / n) + 1e-9) > floor((i - 1) * least(1.0, 40.0 / n) + 1e-9)")
 def srt08(spark, sf_dir):
-    w = Window.partitionBy("year")
-    t = analog.tracks(spark, sf_dir).withColumns({"i": F.row_number().over(w.orderBy("track_id")), "n": F.count("*").over(w)})
-    share = F.least(F.lit(1.0), F.lit(40.0) / F.col("n"))
-    return t.filter(F.floor(F.col("i") * share + 1e-9) > F.floor((F.col("i") - 1) * share + 1e-9)).select("track_id")
+    """Rows of a year are numbered in stretches of ids, and stretches by their counts, so that no task sorts a year."""
+    t = analog.tracks(spark, sf_dir).select("track_id", "year").withColumn("part", F.floor(F.col("track_id") / 4096))
+    parts = t.groupBy("year", "part").agg(F.count("*").alias("own"))
+    year = Window.partitionBy("year")
+    before = F.coalesce(F.sum("own").over(year.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("year", "part", before.alias("before"), F.sum("own").over(year).alias("n"))
+    t = t.withColumn("i", F.row_number().over(Window.partitionBy("year", "part").orderBy("track_id"))).join(parts, ["year", "part"])
+    i, share = F.col("i") + F.col("before"), F.least(F.lit(1.0), F.lit(40.0) / F.col("n"))
+    return t.filter(F.floor(i * share + 1e-9) > F.floor((i - 1) * share + 1e-9)).select("track_id")
 
 
 @query("srt09_hard_cap", f"{TR} SELECT track_id FROM tracks ORDER BY track_id LIMIT 1000")

@@ -214,7 +214,7 @@ _fixes("sca34_spl", "round((-(alt / 200) + 94) * 1.5, 6) AS spl", lambda: {"spl"
 _fixes("sca36_palette", "CAST(floor(greatest(0.0, least(1.0, (alt - 5200) / 7000)) * 255) AS INT) AS colour", lambda: {"colour": scoring.palette_index((F.col("alt") - 5200) / 7000)})
 
 
-@query("sca30b_rolling_id")
+@query("sca30b_rolling_id", f"{FX} SELECT seq, upper(right(printf('%x', list_reduce(list_prepend(0::BIGINT, list_transform(string_split(concat_ws('-', hex, t_ms), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296)), 4)) AS short_id FROM fixes")
 def sca30b(spark, sf_dir):
     return analog.fixes(spark, sf_dir).select("seq", scoring.rolling_id(F.concat_ws("-", "hex", "t_ms")).alias("short_id"))
 

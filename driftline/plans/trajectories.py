@@ -297,25 +297,19 @@ def win28(spark, sf_dir):
 @query("win29_engine_power", f"{FX}, {SEG}, v AS (SELECT *, len_ft / dt AS fps FROM seg WHERE dt > 0), q AS (SELECT hex, list_sort(list(fps))[CAST(least(floor(count(*) * 0.95), count(*) - 1) AS BIGINT) + 1] AS p95 FROM v GROUP BY hex) SELECT seq, round(least(1.0, 0.3 + 0.5 * fps / p95 + CASE WHEN alt > p_alt THEN 0.2 ELSE 0.0 END), 6) AS power FROM v JOIN q USING (hex)")
 def win29(spark, sf_dir):
     v = seqs.segments(analog.fixes(spark, sf_dir)).filter("dt > 0").withColumn("fps", F.col("len_ft") / F.col("dt"))
-    p95 = nearest_index("fps", 0.95).over(Window.partitionBy("hex"))
     power = 0.3 + 0.5 * F.col("fps") / F.col("p95") + F.when(F.col("alt") > F.col("p_alt"), 0.2).otherwise(0.0)
-    return v.withColumn("p95", p95).select("seq", F.round(F.least(F.lit(1.0), power), 6).alias("power"))
+    return nearest_index(v, "fps", p95=0.95).select("seq", F.round(F.least(F.lit(1.0), power), 6).alias("power"))
 
 
-class nearest_index:  # noqa: N801
-    """The value at place min(floor(n p), n - 1) of the sorted values."""
+def nearest_index(rows, column: str, **places: float):
+    """rows with, for each name, the aircraft's value at place min(floor(n p), n - 1) of its sorted values (nulls aside).
 
-    def __init__(self, column: str, p: float):
-        self.column, self.p = column, p
-
-    def _at(self, values, n):
-        return F.element_at(F.sort_array(values), (F.least(F.floor(n * self.p), n - 1) + 1).cast("int"))
-
-    def over(self, window):
-        return self._at(F.collect_list(self.column).over(window), F.count(self.column).over(window))
-
-    def agg(self):
-        return self._at(F.collect_list(self.column), F.count(self.column))
+    A row number and a count over one partitioning; no list of an aircraft's values is made.
+    """
+    w = Window.partitionBy("hex")
+    rows = rows.withColumns({"_i": F.row_number().over(w.orderBy(F.asc_nulls_last(column))) - 1, "_n": F.count(column).over(w)})
+    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(column))).over(w)
+    return rows.withColumns({name: at(p) for name, p in places.items()}).drop("_i", "_n")
 
 
 @query("win30_mean_heading", f"{FX}, {SEG}, h AS (SELECT *, degrees(atan2((lon - p_lon) * cos(radians((lat + p_lat) / 2)), lat - p_lat)) AS b FROM seg) SELECT seq, round(degrees(atan2(avg(sin(radians(b))) OVER v, avg(cos(radians(b))) OVER v)), 5) AS heading FROM h WINDOW v AS (PARTITION BY hex ORDER BY t_ms, seq {_F5})")
@@ -412,9 +406,9 @@ _PCT = lambda p: f"list_sort(list(cycle_time_min))[CAST(least(floor(count(*) * {
 
 @query("agg11_flight_stats", f"{FX}, {CYCLES} SELECT hex, count(*) AS n, floor(avg(cycle_time_min) * 10 + 0.5) / 10 AS mean_min, round({_PCT(0.1)}, 6) AS p10, round({_PCT(0.5)}, 6) AS p50, round({_PCT(0.9)}, 6) AS p90 FROM cyc WHERE cycle_time_min > 0 GROUP BY hex")
 def agg11(spark, sf_dir):
-    f = flights(spark, sf_dir).filter("cycle_time_min > 0")
+    f = nearest_index(flights(spark, sf_dir).filter("cycle_time_min > 0"), "cycle_time_min", p10=0.1, p50=0.5, p90=0.9)
     mean = (F.floor(F.avg("cycle_time_min") * 10 + 0.5) / 10).alias("mean_min")
-    return f.groupBy("hex").agg(F.count("*").alias("n"), mean, *(F.round(nearest_index("cycle_time_min", p).agg(), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
+    return f.groupBy("hex").agg(F.count("*").alias("n"), mean, *(F.round(F.max(p), 6).alias(p) for p in ("p10", "p50", "p90")))
 
 
 @query("agg10_merge_per_hex", f"{FX}, {SEG} SELECT hex, count(*) AS n, round(sum(len_ft), 2) AS len_ft FROM seg GROUP BY hex")
@@ -426,10 +420,8 @@ def agg10(spark, sf_dir):
 def agg33(spark, sf_dir):
     s = seqs.segments(analog.fixes(spark, sf_dir))
     s = s.withColumn("pos", F.when(F.col("len_ft") > 0, F.col("len_ft")))
-    w = Window.partitionBy("hex")
-    median = F.element_at(F.sort_array(F.collect_list("pos").over(w)), (F.floor(F.count("pos").over(w) / 2) + 1).cast("int"))
     ratio = F.col("len_ft") / F.col("med")
-    return s.withColumn("med", median).select("seq", F.when(ratio < 2, "excellent").when(ratio < 5, "good").otherwise("poor").alias("quality"))
+    return nearest_index(s, "pos", med=0.5).select("seq", F.when(ratio < 2, "excellent").when(ratio < 5, "good").otherwise("poor").alias("quality"))
 
 
 @query("agg34_altitude_stats", f"{FX}, {SEG} SELECT hex, round(min(alt - {FIELD_FT}), 3) AS low, round(max(alt - {FIELD_FT}), 3) AS high, count(*) FILTER (alt - p_alt > 50) AS climbs, count(*) FILTER (alt - p_alt < -50) AS descents, count(*) FILTER (abs(alt - p_alt) <= 50) AS level FROM seg GROUP BY hex")
