@@ -2,7 +2,7 @@
 
 Texts are normalised (lower-cased A-Z, white space collapsed to single spaces) and compared as UTF-8
 bytes. A benchmark item is split into segments of at most ``SEGMENT`` bytes, overlapping by half, so
-that long items are also caught in part. A segment of m bytes that occurs in a text with at most
+that every part of a long item of one and a half segments holds a whole one. A segment of m bytes that occurs in a text with at most
 e = floor(RATE * m) edits shares at least m + 1 - Q (e + 1) of its q-grams with a region of the text, on
 diagonals (place in the text minus place in the segment) that differ by at most e.
 
@@ -94,18 +94,20 @@ class Index:
         return np.repeat(at, n), self.segment[entry], self.place[entry]
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the regions of the normalised text that verify, best per item and place."""
+        """(item, start, end, edits) of the passages of the normalised text that verify. Overlapping matches of one
+        item's segments are one passage, with the most edits of any of them."""
         body = normalise(text)
         data = np.frombuffer(body, np.uint8)
         found: list[tuple[int, int, int, int]] = []
         for s in self.short:
             item, _, segment = self.segments[s]
             at = body.find(segment) if segment else -1
-            if at >= 0:
+            while at >= 0:
                 found.append((item, at, at + len(segment), 0))
+                at = body.find(segment, at + len(segment))
         place, segment, own = self.hits(data)
         if not len(place):
-            return found
+            return sorted(found)
         diagonal = place - own + SEGMENT
         width = self.edits[segment] + 1
         band = diagonal // width
@@ -124,12 +126,14 @@ class Index:
             if cost <= e:
                 low, _ = align(pattern[::-1], body[region][:end][::-1], e)
                 found.append((item, region.start + end - low, region.start + end, cost))
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for row in found:
-            key = (row[0], row[2] // max(1, SEGMENT // 4))
-            if key not in best or row[3] < best[key][3]:
-                best[key] = row
-        return sorted(best.values())
+        passages: list[tuple[int, int, int, int]] = []
+        for item, start, end, cost in sorted(found):
+            if passages and passages[-1][0] == item and start < passages[-1][2]:
+                _, first, last, most = passages[-1]
+                passages[-1] = (item, first, max(last, end), max(most, cost))
+            else:
+                passages.append((item, start, end, cost))
+        return passages
 
 
 def align(pattern: bytes, region: bytes, budget: int) -> tuple[int, int]:

@@ -28,3 +28,17 @@ def test_full_budget_of_insertions_and_deletions_is_found_at_every_offset(size,
                     del body[p]
             found = index.matches("." * offset + "".join(body) + "." * 30)
             assert [m[0] for m in found] and all(m[0] == 7 and m[3] <= e for m in found)
+
+
+def test_every_place_of_an_item_is_a_passage():
+    index = decontaminate.Index([(1, "tiny item"), (2, "a longer passage of the benchmark that occurs more than once")])
+    text = "x tiny item y tiny item z a longer passage of the benchmark that occurs more than once, a longer passage of the benchmark that occurs more than once"
+    found = index.matches(text)
+    assert [m[0] for m in found] == [1, 1, 2, 2]
+    assert all(text[a:b] == {1: "tiny item", 2: "a longer passage of the benchmark that occurs more than once"}[i] and e == 0 for i, a, b, e in found)
+
+
+def test_a_long_item_copied_whole_is_one_passage():
+    body = " ".join(f"word{i * 7919 % 1000}" for i in range(300))
+    found = decontaminate.Index([(1, body)]).matches(f"before {body} after")
+    assert [(m[0], m[3]) for m in found] == [(1, 0)] and found[0][2] - found[0][1] == len(body)
