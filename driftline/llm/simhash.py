@@ -179,7 +179,7 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, size: int
     low = f"(print & {(1 << size) - 1})" if size < 64 else "print"
     turned = F.expr(f"if(turn = 0, shiftleft(print, {64 - size}), shiftleft(print, turn + {64 - size}) | shiftleft(shiftrightunsigned({low}, {size} - turn), {64 - size}))")
     bits = lambda at, n: F.expr(f"cast(shiftrightunsigned(turned, {64 - at - n}) & {(1 << n) - 1} as int)")
-    cells = prints.select("print").distinct().select("print", turns).withColumn("turned", turned)
+    cells = cut(prints.select("print").distinct()).select("print", turns).withColumn("turned", turned)
     own = [F.shiftrightunsigned("print", size)] if size < 64 else []
     cells = cells.select(F.xxhash64(*own, "turn", bits(0, width)).alias("cell"), F.lit(-1).alias("side"), F.lit(0).alias("used"), "print", "turned")
     near = F.array(*(F.lit(v) for v in range(1 << _LEVEL) if v.bit_count() <= budget))
@@ -187,7 +187,7 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, size: int
     while True:
         crowded = None
         if depth + _LEVEL <= 64:
-            cells = cut(cells)
+            cells = cells if edges is None else cut(cells)  # at first they follow from the distinct fingerprints
             crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("cell")
             crowded = crowded if crowded.limit(1).count() else None
         now = cells if crowded is None else cells.join(crowded, "cell", "left_anti")
