@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, kernels
-from .sequences import by
+from .sequences import by, sessions
 
 SCHEMA = "hex long, seq long, lat double, lon double"
 
 
-def thin(fixes: DataFrame, tolerance: float, span: int = 20_000) -> DataFrame:
-    """Douglas-Peucker per aircraft, on stretches of at most ``span`` fixes, so a long path is several tasks' work."""
-    rows = fixes.withColumn("part", F.floor((F.row_number().over(by()) - 1) / span))
+def thin(fixes: DataFrame, tolerance: float, gap_s: float = 60.0) -> DataFrame:
+    """Douglas-Peucker on every flight: a path is split where its aircraft is silent for longer than ``gap_s``, however
+    long the path is, so an aircraft is many tasks' work."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_ms", "seq"])
         return pdf[kernels.douglas_peucker(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), tolerance)][["hex", "seq", "lat", "lon"]]
 
-    return rows.groupBy("hex", "part").applyInPandas(work, SCHEMA)
+    return sessions(fixes, gap_s).groupBy("hex", "flight").applyInPandas(work, SCHEMA)
 
 
 def thin_radial(fixes: DataFrame, degrees: float) -> DataFrame:
-    """Keeps a fix if it is farther than ``degrees`` from the last one kept."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_ms", "seq"])
-        lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
-        kept, last = [], None
-        for i in range(len(lat)):
-            if last is None or np.hypot(lat[i] - lat[last], lon[i] - lon[last]) > degrees:
-                kept.append(i)
-                last = i
-        return pdf.iloc[kept][["hex", "seq", "lat", "lon"]]
-
-    return fixes.groupBy("hex").applyInPandas(work, SCHEMA)
+    """Keeps a fix if it is farther than ``degrees`` from the last one kept. Fixes pass in order, a batch at a time;
+    only the last one kept is carried on."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = last = None
+        for pdf in batches:
+            kept = []
+            for i, (hex_, lat, lon) in enumerate(zip(pdf["hex"].tolist(), pdf["lat"].tolist(), pdf["lon"].tolist(), strict=True)):
+                if hex_ != now or math.hypot(lat - last[0], lon - last[1]) > degrees:
+                    kept.append(i)
+                    now, last = hex_, (lat, lon)
+            yield pdf.iloc[kept][["hex", "seq", "lat", "lon"]]
+
+    return fixes.repartition("hex").sortWithinPartitions("hex", "t_ms", "seq").mapInPandas(work, SCHEMA)
 
 
 def chaikin(fixes: DataFrame) -> DataFrame:

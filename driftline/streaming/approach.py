@@ -38,6 +38,13 @@ class Visit:
         return None
 
 
+def distances(rows: pd.DataFrame, lat0: float, lon0: float) -> np.ndarray:
+    return np.hypot((rows["lat"] - lat0) * 60, (rows["lon"] - lon0) * 60 * np.cos(np.radians((rows["lat"] + lat0) / 2)))
+
+
+COLUMNS = ["hex", "entered", "closest_ts", "closest_nm", "fired"]
+
+
 def track(fixes: DataFrame, lat0: float, lon0: float, enter_nm: float = 4.0, depart_m: float = 200.0, cooldown_s: float = 120.0) -> DataFrame:
     """Reports from a stream of fixes (hex, ts_s, lat, lon): keyed state, one report when a visit ends."""
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -47,23 +54,26 @@ def track(fixes: DataFrame, lat0: float, lon0: float, enter_nm: float = 4.0, dep
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         visit = Visit(state.get if state.exists else None, enter_nm, depart_nm, cooldown_s)
         rows = pd.concat(list(batches)).sort_values("ts_s")
-        nm = np.hypot((rows["lat"] - lat0) * 60, (rows["lon"] - lon0) * 60 * np.cos(np.radians((rows["lat"] + lat0) / 2)))
-        out = [(key[0], *r) for ts, d in zip(rows["ts_s"], nm, strict=True) if (r := visit.see(float(ts), float(d)))]
+        out = [(key[0], *r) for ts, d in zip(rows["ts_s"], distances(rows, lat0, lon0), strict=True) if (r := visit.see(float(ts), float(d)))]
         state.update(visit.state())
-        yield pd.DataFrame(out, columns=["hex", "entered", "closest_ts", "closest_nm", "fired"])
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     return fixes.groupBy("hex").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def track_batch(fixes: DataFrame, lat0: float, lon0: float, enter_nm: float = 4.0, depart_m: float = 200.0, cooldown_s: float = 120.0) -> DataFrame:
-    """The same reports from stored fixes."""
+    """The same reports from stored fixes, which pass in order, a batch at a time; only the visit is carried on."""
     depart_nm = depart_m / 1852.0
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ts_s"])
-        visit = Visit(None, enter_nm, depart_nm, cooldown_s)
-        nm = np.hypot((rows["lat"] - lat0) * 60, (rows["lon"] - lon0) * 60 * np.cos(np.radians((rows["lat"] + lat0) / 2)))
-        out = [(pdf["hex"].iloc[0], *r) for ts, d in zip(rows["ts_s"], nm, strict=True) if (r := visit.see(float(ts), float(d)))]
-        return pd.DataFrame(out, columns=["hex", "entered", "closest_ts", "closest_nm", "fired"])
-
-    return fixes.groupBy("hex").applyInPandas(work, OUT)
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = visit = None
+        for pdf in batches:
+            out = []
+            for hex_, ts, d in zip(pdf["hex"], pdf["ts_s"], distances(pdf, lat0, lon0), strict=True):
+                if hex_ != now:
+                    now, visit = hex_, Visit(None, enter_nm, depart_nm, cooldown_s)
+                if r := visit.see(float(ts), float(d)):
+                    out.append((hex_, *r))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return fixes.repartition("hex").sortWithinPartitions("hex", "ts_s").mapInPandas(work, OUT)

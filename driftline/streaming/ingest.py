@@ -1,18 +1,21 @@
 """Continuous capture: feed messages become validated fixes, classified as they arrive and kept by day.
 
-The stream is append-only and stateless but for duplicate suppression; everything that needs order
+The stream is append-only and keeps state for suppressing repeats only; everything that needs order
 (bands, cycles) is derived from the stored fixes in batch, so a day is never classified twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
 
+REGISTRATION = re.compile("N[0-9]{1,5}[A-Z]{0,2}")  # fixed values: the form of a national registration
 FEED = "ac array<struct<hex: string, r: string, flight: string, lat: double, lon: double, alt_baro: string, gs: double, track: double>>, now bigint"
 
 
@@ -42,9 +45,41 @@ def parse(messages: DataFrame) -> DataFrame:
     return rows.filter("lat is not null and lon is not null and alt > 0 and alt < 10000")
 
 
-def suppress_repeats(fixes: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """Drops a fix whose aircraft was already seen at that very place within the watermark."""
-    return fixes.withWatermark("ts", within).dropDuplicatesWithinWatermark(["hex", "lat", "lon", "alt"])
+def suppress_repeats(fixes: DataFrame, late: str = "1 hour", silent_ms: int = 86_400_000) -> DataFrame:
+    """A stream's fixes without those at the very place of the aircraft's fix before, on the same (UTC) day.
+
+    State is kept by aircraft: the last place, its day and the registration; a new day begins anew, and state goes
+    once the watermark, ``late`` behind, is ``silent_ms`` past the last fix. A tail that only a call sign or the hex told gives way for good, that day, to
+    a registration once one is seen.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = fixes.columns
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
+        lat, lon, day, tail = state.get if state.exists else (None, None, None, None)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        kept, tails = [], []
+        for i, (a, b, ts, own) in enumerate(zip(rows["lat"].tolist(), rows["lon"].tolist(), rows["ts"], rows["tail"].tolist(), strict=True)):
+            today = ts.value // 86_400_000_000_000
+            if today != day:
+                lat = lon = tail = None
+            if own and REGISTRATION.fullmatch(own):
+                tail = tail or own
+            if (a, b) != (lat, lon):
+                kept.append(i)
+                tails.append(tail or own)
+            lat, lon, day = a, b, today
+        state.update((lat, lon, day, tail))
+        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].value // 1_000_000), state.getCurrentWatermarkMs()) + silent_ms)
+        yield rows.iloc[kept].assign(tail=tails)[names]
+
+    keyed = fixes.withWatermark("ts", late).groupBy("hex")
+    return keyed.applyInPandasWithState(step, fixes.schema, "lat double, lon double, day bigint, tail string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def classify(fixes: DataFrame, polygons: list) -> DataFrame:

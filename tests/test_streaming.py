@@ -20,10 +20,12 @@ def test_capture_equals_batch(spark, tmp_path):
     polygons = list(analog.ZONES.values())
     fixes = ingest.classify(ingest.suppress_repeats(ingest.parse(ingest.read_feed(spark, str(tmp_path / "in")))), polygons)
     ingest.capture(fixes, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    batch = ingest.classify(ingest.parse(spark.read.schema(ingest.FEED).json(str(tmp_path / "in"))), polygons).dropDuplicates(["hex", "lat", "lon", "alt"])
+    batch = ingest.classify(ingest.parse(spark.read.schema(ingest.FEED).json(str(tmp_path / "in"))), polygons)
+    first = batch.groupBy("hex", "lat", "lon").agg(F.min("ts").alias("ts"))  # nothing moves
+    batch = batch.join(first, ["hex", "lat", "lon", "ts"])
     columns = ["hex", "tail", "lat", "lon", "alt", "sev"]
     stored = spark.read.parquet(str(tmp_path / "out")).select(columns)
-    assert stored.count() == 5
+    assert stored.count() == 2
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, batch.select(columns).collect()))
     assert {r["tail"] for r in stored.collect()} == {"N123", "X1"}
 
@@ -69,3 +71,16 @@ def test_sessions_split_on_silence(spark):
     rows = [("a", s) for s in (0, 60, 2000, 2100)]
     df = spark.createDataFrame(rows, "hex string, s long").withColumn("ts", F.timestamp_seconds("s")).withColumn("alt", F.lit(1.0))
     assert ingest.flight_sessions(df).count() == 2
+
+
+def test_repeats_are_of_the_fix_before_on_the_same_day(spark, tmp_path):
+    day = 1_700_006_400  # a midnight
+    seen = [(0, 1.0, "X1"), (5, 1.0, "X1"), (10, 2.0, "N12AB"), (15, 1.0, "X1"), (20, 1.0, "X1"), (86_400, 1.0, "X1"), (86_405, 1.0, "X1")]
+    for part, rows in (("a", seen[:4]), ("b", seen[4:])):
+        df = spark.createDataFrame([("h", tail, day + s, lat, 0.0, 500.0) for s, lat, tail in rows], "hex string, tail string, s long, lat double, lon double, alt double")
+        df.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.parquet(str(tmp_path / "in" / part))
+        stream = spark.readStream.schema("hex string, tail string, lat double, lon double, alt double, ts timestamp").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        ingest.suppress_repeats(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["s"] - day, r["lat"], r["tail"]) for r in spark.read.parquet(str(tmp_path / "out")).withColumn("s", F.unix_timestamp("ts")).collect())
+    assert got == [(0, 1.0, "X1"), (10, 2.0, "N12AB"), (15, 1.0, "N12AB"), (86_400, 1.0, "X1")]
+
