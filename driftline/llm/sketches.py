@@ -14,7 +14,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +85,8 @@ def merge(sketches: DataFrame, by: list[str], column: str = "fingerprint", k: in
     """One sketch for each group of rows, in two steps so that no task holds a large group's parts at once."""
 
     def least(key, pdf):
+        import pandas as pd
+
         best = np.zeros(0, np.uint64)
         for text in pdf[column]:
             best = np.unique(np.concatenate([best, decode(text)]))[:k]
@@ -135,29 +136,34 @@ def _pair_rows(k: int, shingle: int):
     return run
 
 
-def _dealer(bounds: np.ndarray, cuts: np.ndarray, heads: list[tuple[int, int, int]] = ()):
-    """Of key and code: the range, counted from the greatest key, range i of keys being cut into cuts[i] by code;
-    and, for the rows of heads (code, key, range; sorted), the range that gets a copy (else -1)."""
+def _dealer(bounds: np.ndarray, cuts: np.ndarray, heads: list[tuple[int, int, int]] = (), tags: list[int] = ()):
+    """Rows (key, code and others) with their range, counted from the greatest key, range i of keys being cut into
+    cuts[i] by code; copied is 1 in the second row of each of heads (code, key, range), which goes to that range."""
     offsets = np.cumsum(cuts) - cuts
     codes, keys, targets = (np.array([h[i] for h in heads], np.int64) for i in range(3))
-
-    @F.pandas_udf("range int, target int")
-    def deal(key: pd.Series, code: pd.Series) -> pd.DataFrame:
-        k, c = key.to_numpy(), code.to_numpy()
-        own = len(bounds) - np.searchsorted(bounds, k, "right")
-        part = np.minimum(((c / 2.0**64 + 0.5) * cuts[own]).astype(np.int64), cuts[own] - 1)
-        target = np.full(len(k), -1, np.int64)
-        for i in np.flatnonzero(np.isin(c, codes)):
-            for j in range(int(np.searchsorted(codes, c[i])), len(codes)):
-                if codes[j] != c[i]:
-                    break
-                if keys[j] == k[i]:
-                    target[i] = targets[j]
-        return pd.DataFrame({"range": offsets[own] + part, "target": target})
+    tag = np.array(tags, np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches) if heads else batches:
+            k, c = batch.column("key").to_numpy(), batch.column("code").to_numpy()
+            own = len(bounds) - np.searchsorted(bounds, k, "right")
+            part = np.minimum(((c / 2.0**64 + 0.5) * cuts[own]).astype(np.int64), cuts[own] - 1)
+            row, to = np.arange(len(k)), offsets[own] + part
+            near = np.flatnonzero(np.isin(c, codes))
+            more = [(i, t) for i in near.tolist() for t in targets[(codes == c[i]) & (keys == k[i])].tolist()]
+            again = np.array(more, np.int64).reshape(-1, 2)
+            row, to = np.concatenate([row, again[:, 0]]), np.concatenate([to, again[:, 1]])
+            copied = (np.arange(len(row)) >= len(k)).astype(np.int32)
+            columns = [batch.column(n).take(pa.array(row)) for n in batch.schema.names]
+            extra = [pa.array(to.astype(np.int32)), pa.array(copied), pa.array(tag[to] if len(tag) else to)]
+            yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*batch.schema.names, "bucket", "copied", "tag"])
 
     return deal
 
 
+_DEALT = "key long, code long, bucket int, copied int, tag long"
+
+
 def _tags(docs: DataFrame, n: int) -> list[int]:
     """For each of n partitions a number that Spark's hash partitioning sends there."""
     ids = docs.sparkSession.range(64 * n).select(F.col("id").cast("int").alias("id"))
@@ -183,21 +189,20 @@ def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
     frequent = {int(b) + 1 for b, after in zip(bounds, bounds[1:], strict=False) if b == after}  # ends the range of a frequent id
     bounds = np.array(sorted({int(b) for b in bounds} | frequent), np.int64)
     whole = np.ones(len(bounds) + 1, np.int64)
-    found = rows.groupBy(_dealer(bounds, whole)("key", "code")["range"].alias("range")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    small = rows.select("key", "code")
+    found = small.mapInArrow(_dealer(bounds, whole), _DEALT).groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
     total = sum(r["n"] for r in found)
     cuts = whole.copy()
     for r in found:
         if r["low"] == r["high"]:
-            cuts[r["range"]] = max(1, r["n"] * n // total)
+            cuts[r["bucket"]] = max(1, r["n"] * n // total)
     first = F.max(F.struct("key", F.bitwise_not("code").alias("code")))
-    heads = sorted((r["range"], r["first"]["key"], ~r["first"]["code"]) for r in rows.groupBy(_dealer(bounds, cuts)("key", "code")["range"].alias("range")).agg(first.alias("first")).collect())
+    firsts = small.mapInArrow(_dealer(bounds, cuts), _DEALT).groupBy("bucket").agg(first.alias("first")).collect()
+    heads = sorted((r["bucket"], r["first"]["key"], ~r["first"]["code"]) for r in firsts)
     before = [(code, key, heads[i - 1][0]) for i, (_, key, code) in enumerate(heads)]  # the first range's head goes to the last
-    places = F.array(*(F.struct(F.col(f"place.{c}").alias("bucket"), F.lit(i).alias("copied")) for i, c in enumerate(("range", "target"))))
-    dealt = rows.withColumn("place", _dealer(bounds, cuts, sorted(before))("key", "code")).withColumn("place", F.explode(places))
-    dealt = dealt.select("doc_id", "text", "key", "code", "place.bucket", "place.copied").filter("bucket >= 0")
     size = max(n, int(cuts.sum()))
-    tags = _tags(docs, size)
-    dealt = dealt.withColumn("tag", F.get(F.array(*map(F.lit, tags)), F.col("bucket")))
+    dealt = rows.select("doc_id", "text", "key", "code").mapInArrow(_dealer(bounds, cuts, before, _tags(docs, size)), "doc_id long, text string, " + _DEALT)
+    dealt = dealt.withColumn("tag", F.col("tag").cast("int"))
     return (
         dealt.repartition(size, "tag")
         .sortWithinPartitions("bucket", "copied", F.desc("key"), "code")
