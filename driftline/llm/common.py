@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the cluster's shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (single-machine
-    tests) a temporary one is used.
+    The folder is the session's ``spark.checkpoint.dir``; only on one machine (a master ``local``, as in
+    tests), where that is unset, a temporary one is used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
