@@ -136,32 +136,15 @@ def _pair_rows(k: int, shingle: int):
     return run
 
 
-def _dealer(bounds: np.ndarray, cuts: np.ndarray, heads: list[tuple[int, int, int]] = (), tags: list[int] = ()):
-    """Rows (key, code and others) with their range, counted from the greatest key, range i of keys being cut into
-    cuts[i] by code; copied is 1 in the second row of each of heads (code, key, range), which goes to that range."""
-    offsets = np.cumsum(cuts) - cuts
-    codes, keys, targets = (np.array([h[i] for h in heads], np.int64) for i in range(3))
-    tag = np.array(tags, np.int64)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches) if heads else batches:
-            k, c = batch.column("key").to_numpy(), batch.column("code").to_numpy()
-            own = len(bounds) - np.searchsorted(bounds, k, "right")
-            part = np.minimum(((c / 2.0**64 + 0.5) * cuts[own]).astype(np.int64), cuts[own] - 1)
-            row, to = np.arange(len(k)), offsets[own] + part
-            near = np.flatnonzero(np.isin(c, codes))
-            more = [(i, t) for i in near.tolist() for t in targets[(codes == c[i]) & (keys == k[i])].tolist()]
-            again = np.array(more, np.int64).reshape(-1, 2)
-            row, to = np.concatenate([row, again[:, 0]]), np.concatenate([to, again[:, 1]])
-            copied = (np.arange(len(row)) >= len(k)).astype(np.int32)
-            columns = [batch.column(n).take(pa.array(row)) for n in batch.schema.names]
-            extra = [pa.array(to.astype(np.int32)), pa.array(copied), pa.array(tag[to] if len(tag) else to)]
-            yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*batch.schema.names, "bucket", "copied", "tag"])
-
-    return deal
-
-
-_DEALT = "key long, code long, bucket int, copied int, tag long"
+def _range(bounds: np.ndarray, cuts: np.ndarray) -> F.Column:
+    """Of key and code: the range, counted from the greatest key; range i of keys is cut into cuts[i] by code."""
+    if not len(bounds):
+        own = F.lit(0)
+    else:
+        own = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b > F.col("key")))
+    pick = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), own)
+    share = F.floor((F.col("code") / F.lit(2.0**64) + 0.5) * pick(cuts))
+    return (pick(np.cumsum(cuts) - cuts) + F.least(share, pick(cuts) - 1)).cast("int")
 
 
 def _tags(docs: DataFrame, n: int) -> list[int]:
@@ -189,20 +172,22 @@ def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
     frequent = {int(b) + 1 for b, after in zip(bounds, bounds[1:], strict=False) if b == after}  # ends the range of a frequent id
     bounds = np.array(sorted({int(b) for b in bounds} | frequent), np.int64)
     whole = np.ones(len(bounds) + 1, np.int64)
-    small = rows.select("key", "code")
-    found = small.mapInArrow(_dealer(bounds, whole), _DEALT).groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    found = rows.groupBy(_range(bounds, whole).alias("bucket")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
     total = sum(r["n"] for r in found)
     cuts = whole.copy()
     for r in found:
         if r["low"] == r["high"]:
             cuts[r["bucket"]] = max(1, r["n"] * n // total)
     first = F.max(F.struct("key", F.bitwise_not("code").alias("code")))
-    firsts = small.mapInArrow(_dealer(bounds, cuts), _DEALT).groupBy("bucket").agg(first.alias("first")).collect()
+    firsts = rows.groupBy(_range(bounds, cuts).alias("bucket")).agg(first.alias("first")).collect()
     heads = sorted((r["bucket"], r["first"]["key"], ~r["first"]["code"]) for r in firsts)
-    before = [(code, key, heads[i - 1][0]) for i, (_, key, code) in enumerate(heads)]  # the first range's head goes to the last
+    before = [(key, code, heads[i - 1][0]) for i, (_, key, code) in enumerate(heads)]  # the first range's head goes to the last
     size = max(n, int(cuts.sum()))
-    dealt = rows.select("doc_id", "text", "key", "code").mapInArrow(_dealer(bounds, cuts, before, _tags(docs, size)), "doc_id long, text string, " + _DEALT)
-    dealt = dealt.withColumn("tag", F.col("tag").cast("int"))
+    targets = docs.sparkSession.createDataFrame(before, "key long, code long, target int")  # one row for each range
+    places = F.array(F.struct(F.col("range").alias("bucket"), F.lit(0).alias("copied")), F.struct(F.col("target").alias("bucket"), F.lit(1).alias("copied")))
+    dealt = rows.withColumn("range", _range(bounds, cuts)).join(F.broadcast(targets), ["key", "code"], "left").withColumn("place", F.explode(places))
+    dealt = dealt.select("doc_id", "text", "key", "code", "place.bucket", "place.copied").filter("bucket is not null")
+    dealt = dealt.withColumn("tag", F.get(F.array(*map(F.lit, _tags(docs, size))), F.col("bucket")))
     return (
         dealt.repartition(size, "tag")
         .sortWithinPartitions("bucket", "copied", F.desc("key"), "code")
