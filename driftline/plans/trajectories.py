@@ -404,10 +404,10 @@ def agg15(spark, sf_dir):
 _PCT = lambda p: f"list_sort(list(cycle_time_min))[CAST(least(floor(count(*) * {p}), count(*) - 1) AS BIGINT) + 1]"
 
 
-@query("agg11_flight_stats", f"{FX}, {CYCLES} SELECT hex, count(*) AS n, floor(avg(cycle_time_min) * 10 + 0.5) / 10 AS mean_min, round({_PCT(0.1)}, 6) AS p10, round({_PCT(0.5)}, 6) AS p50, round({_PCT(0.9)}, 6) AS p90 FROM cyc WHERE cycle_time_min > 0 GROUP BY hex")
+@query("agg11_flight_stats", f"{FX}, {CYCLES} SELECT hex, count(*) AS n, floor(round(avg(cycle_time_min), 6) * 10 + 0.5) / 10 AS mean_min, round({_PCT(0.1)}, 6) AS p10, round({_PCT(0.5)}, 6) AS p50, round({_PCT(0.9)}, 6) AS p90 FROM cyc WHERE cycle_time_min > 0 GROUP BY hex")
 def agg11(spark, sf_dir):
     f = nearest_index(flights(spark, sf_dir).filter("cycle_time_min > 0"), "cycle_time_min", p10=0.1, p50=0.5, p90=0.9)
-    mean = (F.floor(F.avg("cycle_time_min") * 10 + 0.5) / 10).alias("mean_min")
+    mean = (F.floor(F.round(F.avg("cycle_time_min"), 6) * 10 + 0.5) / 10).alias("mean_min")
     return f.groupBy("hex").agg(F.count("*").alias("n"), mean, *(F.round(F.max(p), 6).alias(p) for p in ("p10", "p50", "p90")))
 
 
