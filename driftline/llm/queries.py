@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, language, packing, pii, quality, quotes, simhash, sketches, substring_dedup
+from . import centroids, context_tree, decontaminate, language, packing, pii, quality, quotes, simhash, sketches, substring_dedup, whitening
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,9 +70,12 @@ QUERIES = {
         op8_lm_score,
         op9_pii,
         op10_quality,
+        op12_whitening,
+        op13_centroids,
     )
 }
 ORACLE: dict[str, str] = {
+    "op13_centroids": centroids.oracle(),
     "op1_substring_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 w AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
