@@ -163,6 +163,12 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     return _encoders[path].texts(texts)
 
 
+def splits_at_space(path: str) -> bool:
+    """Whether the ids of a text are those of its white-space separated words in a row."""
+    token_bytes([], path)
+    return _encoders[path].encoder is not None
+
+
 def _piece_rows(path: str, capacity: int, with_ids: bool):
     end = np.array([END], "<u4").tobytes()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, context_tree, decontaminate, language, packing, pii, quality, quotes, simhash, sketches, substring_dedup, whitening
+from . import centroids, chunk_codec, context_tree, decontaminate, language, packing, pii, quality, quotes, simhash, sketches, substring_dedup, whitening
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op8_lm_score,
         op9_pii,
         op10_quality,
+        op11_chunk_bpe,
         op12_whitening,
         op13_centroids,
     )
