@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import sequences as seqs
 from ..sources import analog, stores
-from ..sources.analog import LAT0, LON0, with_sql
+from ..sources.analog import FIELD_FT, LAT0, LON0, with_sql
 from ..streaming import approach, ingest
 from .registry import query
-from .scalars import CLASSED, classified
+from .scalars import _HAV, CLASSED, classified
 
 FX = with_sql("fixes")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -49,23 +49,45 @@ def src15(spark, sf_dir):
     return stores.catalog_probe(spark, {t: analog.table(spark, sf_dir, t) for t in TABLES})
 
 
-@query("snk02_random_key")
+_RAND = "('0x' || substr(md5(src), 1, 8))::UBIGINT % 1000000"
+
+
+@query("snk02_random_key", f"{with_sql('tracks')} SELECT src, CAST({_RAND} AS BIGINT) AS rand_key FROM tracks")
 def snk02(spark, sf_dir):
-    return stores.with_random_key(analog.tracks(spark, sf_dir).select("src"), "src")
+    """Tracks written in four transactions with their sampling key, and read back."""
+    path = stores.shared_folder(spark, "inserted")
+    stores.write_parts(stores.with_random_key(analog.tracks(spark, sf_dir).select("src"), "src"), path, "src", 8, at_once=2)
+    return stores.read_parts(spark, path, "src string, rand_key long")
 
 
-@query("snk03_resume", f"{with_sql('tracks')} SELECT track_id FROM tracks WHERE track_id % 3 <> 0")
+@query("snk03_resume", f"{with_sql('tracks')} SELECT track_id, year, worst, seg_total, round(len_total_ft, 2) AS len_total_ft FROM tracks")
 def snk03(spark, sf_dir):
-    t = analog.tracks(spark, sf_dir).select("track_id")
-    return stores.remaining(t, t.filter("track_id % 3 = 0"), "track_id")
+    """Classified tracks, written by a run that ends half-way and a second one that resumes it, and read back."""
+    t = analog.tracks(spark, sf_dir).select("track_id", "year", "worst", "seg_total", F.round("len_total_ft", 2).alias("len_total_ft"))
+    path = stores.shared_folder(spark, "resumed")
+    stores.write_parts(t, path, "track_id", 8, at_once=2, most=4)
+    stores.write_parts(t, path, "track_id", 8)
+    return stores.read_parts(spark, path, "track_id long, year int, worst int, seg_total long, len_total_ft double")
+
+
+def _replayed(spark, sf_dir, name, rows, keys, order):
+    """rows (with t_ms and day) flushed in three batches of time, the second one twice."""
+    path = stores.shared_folder(spark, name)
+    third = (F.col("t_ms") / 864_000).cast("int")  # ten days
+    for batch in (0, 1, 1, 2):
+        own = rows.filter(F.least(third, F.lit(2)) == batch).drop("t_ms")
+        stores.flush_days(own, batch, path, keys, order)
+    return path
 
 
-@query("snk05_latest_flush", f"{FX} SELECT CAST(floor(t_ms / 86400.0) AS BIGINT) AS day, hex, max(seq) AS seq FROM fixes GROUP BY 1, 2")
+@query("snk05_latest_flush", f"{FX} SELECT CAST(floor(t_ms / 864000.0) AS BIGINT) AS day, hex, arg_max(seq, t_ms * 1000000 + seq) AS seq, count(DISTINCT NULL) AS n FROM fixes GROUP BY 1, 2".replace(", count(DISTINCT NULL) AS n", ""))
 def snk05(spark, sf_dir):
-    f = analog.fixes(spark, sf_dir).select(F.floor(F.col("t_ms") / 86400).cast("long").alias("day"), "hex", "seq")
-    old, new = f.filter("seq % 2 = 0"), f.filter("seq % 2 = 1")
-    w = stores.upsert(old, new, ["day", "hex"], ["seq"])
-    return w.select("day", "hex", "seq")
+    """The latest fix of each aircraft and period of ten days, from snapshots that batches overwrite."""
+    f = analog.fixes(spark, sf_dir).select("hex", "seq", "t_ms", F.col("t_ms").alias("at"), F.floor(F.col("t_ms") / 864_000).cast("long").alias("day"))
+    latest = f.withColumn("_n", F.row_number().over(Window.partitionBy("day", "hex").orderBy(F.desc("t_ms"), F.desc("seq")))).filter("_n = 1").drop("_n")
+    path = _replayed(spark, sf_dir, "flushed", latest, ["hex"], ["at", "seq"])
+    stores.remove_superseded(spark, path)
+    return stores.read_days(spark, path, "hex long, seq long, at long").select("day", "hex", "seq")
 
 
 _SCORE_DOC = "CASE doc_id % 4 WHEN 0 THEN CAST(doc_id % 11 AS DOUBLE) WHEN 1 THEN CAST(doc_id % 9 AS DOUBLE) WHEN 2 THEN CAST(doc_id % 10 AS DOUBLE) ELSE CASE doc_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 5 ELSE 3 END END::DOUBLE"
@@ -106,10 +128,25 @@ def agg35(spark, sf_dir):
     return analog.fixes(spark, sf_dir).select("seq", F.round(F.min("alt").over(seqs.by().rowsBetween(-19, 0)), 4).alias("sustained"))
 
 
-@query("cmp13_auto_report")
+#: fixes of one aircraft are hours apart here, so silence and cool-down are as well
+LIMITS = approach.Limits(cooldown_s=40_000.0, silent_s=30_000.0)
+_SLANT = f"greatest(100.0, sqrt(pow(m * 3.28084, 2) + pow(greatest(1.0, alt - {FIELD_FT}), 2)))"
+_AP = f"""WITH RECURSIVE {with_sql('fixes', 'aircraft').removeprefix('WITH ')}, ap AS (SELECT hex, ts_s, seq, m, 95.0 - 25.0 * log10({_SLANT} / 100) AS level
+  FROM (SELECT CAST(hex AS VARCHAR) AS hex, CAST(t_ms AS DOUBLE) AS ts_s, seq, alt, 2 * 6371000.0 * asin(least(1.0, sqrt({_HAV}))) AS m FROM fixes JOIN aircraft ON tail = hex WHERE type <> 'GLID'))"""
+
+
+def approaching(spark, sf_dir):
+    """Fixes of aircraft with engines, their distance from the field and the level expected there."""
+    powered = analog.aircraft(spark, sf_dir).filter("type <> 'GLID'").select(F.col("tail").alias("hex"))
+    f = analog.fixes(spark, sf_dir).join(powered, "hex").select(F.col("hex").cast("string").alias("hex"), F.col("t_ms").cast("double").alias("ts_s"), "seq", "lat", "lon", "alt")
+    slant = F.greatest(F.lit(100.0), F.hypot(F.col("m") * 3.28084, F.greatest(F.lit(1.0), F.col("alt") - FIELD_FT)))
+    return approach.measured(f, LAT0, LON0).withColumn("level", 95.0 - 25.0 * F.log10(slant / 100))
+
+
+@query("cmp13_auto_report", f"{_AP}, {approach.oracle('ap', LIMITS)} SELECT hex, entered, closest_ts, round(closest_m, 3) AS closest_m, round(peak, 6) AS peak, fired FROM rp")
 def cmp13(spark, sf_dir):
-    f = analog.fixes(spark, sf_dir).select(F.col("hex").cast("string").alias("hex"), F.col("t_ms").cast("double").alias("ts_s"), "lat", "lon")
-    return approach.track_batch(f, LAT0, LON0)
+    r = approach.track_batch(approaching(spark, sf_dir), LIMITS)
+    return r.select("hex", "entered", "closest_ts", F.round("closest_m", 3).alias("closest_m"), F.round("peak", 6).alias("peak"), "fired")
 
 
 def timed(spark, sf_dir):
@@ -138,6 +175,10 @@ def str08(spark, sf_dir):
     return ingest.rolling_low(levels).select("source", "window.start", "sustained")
 
 
-@query("str05_incremental_classification", f"{CLASSED} SELECT seq, sev FROM classed")
+@query("str05_incremental_classification", f"{CLASSED} SELECT CAST(floor(t_ms / 86400.0) AS BIGINT) AS day, seq, sev FROM classed")
 def str05(spark, sf_dir):
-    return ingest.classify(analog.fixes(spark, sf_dir).withColumn("ts", F.timestamp_seconds("t_ms")), list(analog.ZONES.values())).select("seq", "sev")
+    """Fixes classified in the batch that brings them and merged into their day's snapshot; stored ones aren't classified again."""
+    f = ingest.classify(analog.fixes(spark, sf_dir).withColumn("ts", F.timestamp_seconds("t_ms")), list(analog.ZONES.values()))
+    rows = f.select("hex", "seq", "sev", "t_ms", F.floor(F.col("t_ms") / 86400).cast("long").alias("day"))
+    path = _replayed(spark, sf_dir, "classified", rows, ["hex", "seq"], ["sev"])
+    return stores.read_days(spark, path, "hex long, seq long, sev int").select("day", "seq", "sev")

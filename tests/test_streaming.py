@@ -54,17 +54,52 @@ def test_failover_takes_the_first_usable_feed(spark):
     assert got == {(1, "b"), (2, "a")}
 
 
-def test_approach_reports_once_per_visit(spark, tmp_path):
-    path = [(40.2 - i * 0.01, float(i * 20)) for i in range(20)] + [(40.0 + i * 0.01, float(400 + i * 20)) for i in range(20)]
-    rows = [(h, t, lat, -105.0) for h in ("a", "b") for lat, t in path]
-    df = spark.createDataFrame(rows, "hex string, ts_s double, lat double, lon double")
-    batch = approach.track_batch(df, 40.0, -105.0).collect()
-    assert len(batch) == 2 and all(abs(r["closest_nm"]) < 0.7 for r in batch)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = approach.track(stream, 40.0, -105.0).writeStream.format("memory").queryName("reports").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {tuple(r) for r in spark.sql("select * from reports").collect()} == {tuple(r) for r in batch}
+FIXES = "hex string, ts_s double, seq bigint, lat double, lon double"
+
+
+def visits(rng, n):
+    """Aircraft that circle, pass, stop near the point or stay away, in order of time."""
+    rows = []
+    for h in range(n):
+        ts, far = 1000.0 * rng.random(), 8.0
+        for i in range(60):
+            far = max(0.0, far + rng.choice([-1.5, -0.6, -0.1, 0.05, 0.7, 1.6]))
+            rows.append((f"h{h}", round(ts, 1), h * 1000 + i, 40.0 + far / 60, -105.0))
+            ts += rng.choice([5.0, 20.0, 20.0, 60.0, 89.0, 90.0, 300.0])
+    return sorted(rows, key=lambda r: (r[1], r[2]))
+
+
+def test_approaches_of_a_stream_are_those_of_a_batch(spark, tmp_path):
+    import random
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = visits(random.Random(3), 12)
+    frame = lambda r: approach.measured(spark.createDataFrame(r, FIXES), 40.0, -105.0, F.pmod(F.col("seq"), F.lit(7)).cast("double"))
+    batch = sorted(map(tuple, approach.track_batch(frame(rows).repartition(3)).collect()))
+    rng, parts = random.Random(4), [rows[i : i + 150] for i in range(0, len(rows), 150)]
+    for i in range(len(parts) - 1):  # neighbours within a batch's edge change places: late, but not too late
+        if parts[i][-1][1] - parts[i + 1][0][1] < 50 and parts[i + 1][0][1] > parts[i][-3][1]:
+            parts[i][-1], parts[i + 1][0] = parts[i + 1][0], parts[i][-1]
+    parts.append([("last", rows[-1][1] + 10_000.0, 0, 50.0, -105.0)])  # only moves the watermark
+    parts.append([("last", rows[-1][1] + 90_000.0, 1, 50.0, -105.0)])
+    for i, own in enumerate(parts):
+        rng.shuffle(own)
+        frame(own).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:03d}"))
+        stream = spark.readStream.schema(frame(own).schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        query = approach.track(stream, late="5 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        query = query.outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == batch and len(batch) > 20
+    left = sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"])
+    assert left <= 6  # only what the last, distant aircraft waits with
+
+
+def test_a_silent_visit_ends_and_a_visit_in_the_cool_down_is_dropped(spark):
+    near, away = (40.01, -105.0), (41.0, -105.0)
+    path = [(0, near), (30, (40.001, -105.0)), (500, away), (1000, near), (1010, away), (1020, near), (1030, away), (1200, near), (1210, away), (1240, away)]
+    rows = [("a", float(t), i, *at) for i, (t, at) in enumerate(path)]
+    out = approach.track_batch(approach.measured(spark.createDataFrame(rows, FIXES), 40.0, -105.0)).collect()
+    assert [(r["entered"], r["closest_ts"], r["fired"], r["peak"]) for r in out] == [(0.0, 30.0, 120.0, None), (1000.0, 1000.0, 1010.0, None), (1200.0, 1200.0, 1210.0, None)]
 
 
 def test_sessions_split_on_silence(spark):
