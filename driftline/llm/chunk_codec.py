@@ -103,23 +103,28 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", *_KEYS)), blob], names=["doc_id", *_KEYS, "blob"])
 
 
-def _read(blobs: list[bytes]) -> pa.Array:
+def _opened():
     import zstandard
 
-    opened = zstandard.ZstdDecompressor().decompress
-    return pa.array([opened(b) for b in blobs], pa.binary())
+    return zstandard.ZstdDecompressor().decompress
+
+
+def _read(blobs: list[bytes]) -> pa.Array:
+    return pa.array(list(map(_opened(), blobs)), pa.binary())
 
 
 def _first_encoded(path: str):
     """Ids of the chunks that this row is the first to have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = not splits_at_space(path)
+        import zstandard
+
+        whole, press = not splits_at_space(path), zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "blob", 1 << 19):
             own = chunks(_read(batch.column("blob").to_pylist()), whole)
             take = [(text[x["seq"]], x["h1"], x["h2"]) for text, marks in zip(own, batch.column("take").to_pylist(), strict=True) for x in marks]
             raw, h1, h2 = zip(*take, strict=True)
-            ids = token_bytes([c.decode() for c in raw], path)
+            ids = [press(x) for x in token_bytes([c.decode() for c in raw], path)]
             yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ids, pa.binary())], names=[*_CHUNK, "ids"])
 
     return run
@@ -175,11 +180,11 @@ def decoded(ids: list[int], path: str) -> str:
 
 def _finished(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, (decimal, _, _) = not splits_at_space(path), _names(path)
+        whole, (decimal, _, _), opened = not splits_at_space(path), _names(path), _opened()
         for batch in slices(batches, "blob", 1 << 19):
             own = chunks(_read(batch.column("blob").to_pylist()), whole)
             texts = [[c.decode() for c in text] for text in own]
-            shared = [{x["seq"]: x["ids"] for x in have or ()} for have in batch.column("have").to_pylist()]
+            shared = [{x["seq"]: opened(x["ids"]) for x in have or ()} for have in batch.column("have").to_pylist()]
             alone = [c for text, have in zip(texts, shared, strict=True) for k, c in enumerate(text) if k not in have]
             rest = iter(token_bytes(alone, path))
             each = [[have[k] if k in have else next(rest) for k in range(len(text))] for text, have in zip(texts, shared, strict=True)]
@@ -206,8 +211,9 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
     keys = (F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
     rows = docs.select("doc_id", "text", *keys, F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     occurrences = rows.select(*_KEYS, "n", "text").mapInArrow(_occurrences(path), "k1 long, k2 long, n int, seq int, h1 long, h2 long")
-    moved = rows.select("doc_id", *_KEYS, "text").mapInArrow(_pressed, f"doc_id {kind}, k1 long, k2 long, blob binary")
+    moved = rows.select("doc_id", *_KEYS, "text").mapInArrow(_pressed, f"doc_id {kind}, k1 long not null, k2 long not null, blob binary not null")
     shared = occurrences.groupBy(*_CHUNK).agg(F.count("*").alias("times"), F.min(F.struct(*_KEYS, "n", "seq")).alias("first")).filter("times > 1")
+    # keys that can't be null keep joins from adding filters, so both joins take one exchange of the texts;
     # n and ids among the keys: joins then shuffle for themselves, and adaptive execution can split them
     firsts = shared.select("first.*", *_CHUNK).groupBy(*_KEYS, "n").agg(F.collect_list(F.struct("seq", *_CHUNK)).alias("take"))
     encoded = moved.join(firsts.drop("n"), _KEYS).mapInArrow(_first_encoded(path), "h1 long, h2 long, ids binary").distinct()
