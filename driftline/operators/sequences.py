@@ -178,24 +178,6 @@ def sessions(fixes: DataFrame, gap: float) -> DataFrame:
     return islands(fixes, F.col("t_ms") - F.lag("t_ms").over(by()) > gap, "flight")
 
 
-def touch_and_go(fixes: DataFrame, field_ft: float, low: float = 250.0, high: float = 800.0) -> DataFrame:
-    """Low passes: from the first fix below ``low`` above the field until one above ``high``; one row per pass
-    with its first lowest fix, when it began and when it was over (null if it never was).
-    """
-    agl = F.col("alt") - field_ft
-    event = F.when(agl < low, "low").when(agl > high, "high")
-    rows = fixes.withColumn("agl", agl).withColumn("state", F.last(event, ignorenulls=True).over(by()))
-    rows = islands(rows, changed("state"), "pass").withColumn("after", F.lead("t_ms").over(by()))
-    least = F.struct("agl", "t_ms", "seq")
-    return rows.filter("state = 'low'").groupBy("hex", "pass").agg(
-        F.min("t_ms").alias("t_from"),
-        F.min("agl").alias("bottom_ft"),
-        F.min(least)["t_ms"].alias("bottom_ts"),
-        F.max_by("after", place()).alias("t_over"),
-        F.count("*").alias("n"),
-    )
-
-
 def last_fixes(fixes: DataFrame, n: int) -> DataFrame:
     """Each aircraft's last n fixes with ``back`` = 1 for the latest."""
     back = Window.partitionBy("hex").orderBy(F.desc("t_ms"), F.desc("seq"))

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import rasters, relations, scalars, stores, trajectories  # noqa: F401
+from . import boards, rasters, relations, scalars, stores, trajectories  # noqa: F401

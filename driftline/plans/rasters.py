@@ -12,7 +12,7 @@ from ..sources.analog import FIELD_FT, GRID, GRID_COLS, GRID_ROWS, LAT0, LON0, w
 from .registry import query
 from .relations import _SCORED_SQL, _board_sql, flown, leaderboard, notification_state, score_board
 from .scalars import _ALONG, _FT, _NM, _UP, CELL_SQL, CLASSED, GRADE_SQL, TIER_SQL, classified, nearest_zone, segment_sql, with_density
-from .trajectories import CSEG, CYCLES, GROUND, INTENT, INTENT_RULE_SQL, LAGS, MERGED, SEG, W, flights, intent, intent_rule, runs_sql
+from .trajectories import CSEG, GROUND, LAGS, MERGED, SEG, W, flights, runs_sql
 
 FX = with_sql("fixes")
 PG = with_sql("fixes", "pop_grid")
@@ -342,23 +342,9 @@ im AS (SELECT hex, sum(coalesce(density, 0.0) * len_ft) / 1e9 AS load FROM (SELE
 sc AS (SELECT im.hex, CAST(floor(100 * exp(-load / 40.0) + 0.5) AS INT) AS quiet, CAST(floor(100 * exp(-coalesce(n, 0) / 40.0) + 0.5) AS INT) AS zones, CAST(floor(100 * exp(-coalesce(c, 0) / 40.0) + 0.5) AS INT) AS voices FROM im LEFT JOIN lc USING (hex) LEFT JOIN cc USING (hex))"""
 
 
-@query("cmp01_flight_score", f"{_CMP} SELECT hex, quiet, zones, voices, (quiet + zones + voices) / 3.0::DOUBLE AS overall, {TIER_SQL('((quiet + zones + voices) / 3.0::DOUBLE)')} AS tier FROM sc")
-def cmp01(spark, sf_dir):
-    """Three loads per aircraft (population, zones, complaints) as scores, their mean and tier."""
-    s = seqs.segments(analog.fixes(spark, sf_dir))
-    mid = s.select("hex", "len_ft", ((F.col("lat") + F.col("p_lat")) / 2).alias("lat"), ((F.col("lon") + F.col("p_lon")) / 2).alias("lon"))
-    load = with_density(mid, analog.pop_grid(spark, sf_dir), False).groupBy("hex").agg((F.sum(F.col("density") * F.col("len_ft")) / 1e9).alias("load"))
-    n = classified(spark, sf_dir).filter("sev > 0").groupBy("hex").agg(F.count("*").alias("n"))
-    c = analog.complaints(spark, sf_dir).groupBy(F.col("tail").alias("hex")).agg(F.count("*").alias("c"))
-    j = load.join(n, "hex", "left").join(c, "hex", "left").fillna(0, ["n", "c"])
-    scores = [scoring.load_score(F.col(x).cast("double"), 40.0).alias(y) for x, y in (("load", "quiet"), ("n", "zones"), ("c", "voices"))]
-    out = j.select("hex", *scores).withColumn("overall", (F.col("quiet") + F.col("zones") + F.col("voices")) / 3.0)
-    return out.withColumn("tier", scoring.tier(F.col("overall")))
-
-
 _CLASSED_ALL = with_sql("fixes", "zone_edges", "pop_grid", "aircraft") + ", " + _CLS_TAIL
 _IMPACT_TAIL = _MID[_MID.index("ms AS (") :].replace("FROM seg)", f"FROM (SELECT *, {_FT('p_lat', 'p_lon', 'lat', 'lon')} AS len_ft FROM (SELECT *, {LAGS} FROM fixes) WHERE p_t_ms IS NOT NULL))")
-_BASES = "base IN ('CANADA', 'CHINA', 'FRANCE', 'KENYA', 'PERU', 'UNITED STATES')"
+_BASES = "base IN ('NATION_2', 'NATION_3', 'NATION_7', 'NATION_11', 'NATION_19', 'NATION_20')"
 _LIVE = f"""{_CLASSED_ALL}, {CSEG}, {MERGED}, {_IMPACT_TAIL},
 fl AS (SELECT hex, count(*) AS flights FROM merged WHERE landing_ts IS NOT NULL GROUP BY 1),
 ln AS (SELECT hex, sum(len_ft) / 6076.12 AS total, coalesce(sum(len_ft) FILTER (seg_sev = 3), 0) / 6076.12 AS red, coalesce(sum(len_ft) FILTER (seg_sev = 2), 0) / 6076.12 AS orange, coalesce(sum(len_ft) FILTER (seg_sev = 1), 0) / 6076.12 AS yellow FROM cseg GROUP BY 1),
@@ -381,32 +367,6 @@ def agg08(spark, sf_dir):
     return score_board(sums, 1.5).select("k", "flights", F.round("exc", 6).alias("exc"), F.round("index", 4).alias("idx"), F.round("score", 6).alias("score"))
 
 
-_SITE = f"si AS (SELECT seq, arg_min(code, {_NM('f.lat', 'f.lon', 'a.lat', 'a.lon')}) AS site FROM fixes f CROSS JOIN airports a WHERE {_NM('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 3 GROUP BY seq)"
-_LAND = f"{with_sql('fixes', 'airports')}, {CYCLES}, {_SITE}, ld AS (SELECT flight_id, any_value(c.hex) AS hex, any_value(landing_ts) AS landing_ts, arg_max(seq, f.t_ms * 1000000 + f.seq) AS seq FROM cyc c JOIN fixes f ON f.hex = c.hex AND f.t_ms <= landing_ts GROUP BY 1)"
-
-
-def landings(spark, sf_dir):
-    """Completed flights with their last fix and the site it is at."""
-    landed = flights(spark, sf_dir).filter("landing_ts is not null").select("hex", "flight_id", "landing_ts")
-    at = joins.as_of(landed, analog.fixes(spark, sf_dir), "hex", "landing_ts", "t_ms", ["seq", "lat", "lon"])
-    at = at.select("flight_id", "hex", "landing_ts", F.col("r_seq").alias("seq"), F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"))
-    return joins.nearest_site(at, analog.airports(spark, sf_dir), 3.0)
-
-
-@query("cmp02_recent_landings", f"{_LAND} SELECT flight_id, hex, site, CASE WHEN count(*) OVER (PARTITION BY hex, site) >= 2 THEN 'home' ELSE 'visitor' END AS status FROM ld JOIN si USING (seq)")
-def cmp02(spark, sf_dir):
-    from pyspark.sql import Window
-
-    status = F.when(F.count("*").over(Window.partitionBy("hex", "site")) >= 2, "home").otherwise("visitor")
-    return landings(spark, sf_dir).filter("site is not null").select("flight_id", "hex", "site", status.alias("status"))
-
-
-@query("cmp03_landings_at_airport", f"{_LAND} SELECT flight_id, {GRADE_SQL('((landing_ts % 100) / 40.0)')} AS grade FROM ld JOIN si USING (seq) WHERE site = 12 ORDER BY landing_ts DESC, flight_id LIMIT 40")
-def cmp03(spark, sf_dir):
-    at = landings(spark, sf_dir).filter("site = 12").orderBy(F.desc("landing_ts"), "flight_id").limit(40)
-    return at.select("flight_id", scoring.impact_grade(F.col("landing_ts") % 100 / 40.0).alias("grade"))
-
-
 @query("cmp04_missions", f"{with_sql('fixes', 'aircraft')}, {MERGED} SELECT base, count(*) AS missions, CAST(sum(legs) AS BIGINT) AS legs FROM merged JOIN aircraft ON hex = tail WHERE origin = 'local' GROUP BY base")
 def cmp04(spark, sf_dir):
     """Merged flights by base; the scope is applied to aircraft before their fixes are ordered."""
@@ -416,22 +376,6 @@ def cmp04(spark, sf_dir):
     return m.join(a, "hex").groupBy("base").agg(F.count("*").alias("missions"), F.sum("legs").alias("legs"))
 
 
-@query("cmp05_intent_board", f"{FX}, {INTENT} SELECT hex, {INTENT_RULE_SQL} AS intent, round(orbit_nm, 5) AS nm FROM intent WHERE orbit_nm <= 6")
-def cmp05(spark, sf_dir):
-    return intent(spark, sf_dir).filter("orbit_nm <= 6").select("hex", intent_rule().alias("intent"), F.round("orbit_nm", 5).alias("nm")).orderBy("nm")
-
-
-_L5 = "lf AS (SELECT hex, arg_max(alt, t_ms * 1000000 + seq) AS alt, arg_max(seq, t_ms * 1000000 + seq) AS seq FROM fixes GROUP BY hex)"
-
-
-@query("cmp06_active_tow", f"{FX}, {_L5} SELECT hex, seq, alt > {GROUND} AS airborne, round(CASE WHEN alt - {FIELD_FT} < 2000 THEN (2000 - (alt - {FIELD_FT})) / 500 * 60 + 180 ELSE (alt - {FIELD_FT}) / 800 * 60 + 60 END, 4) AS eta_s FROM lf")
-def cmp06(spark, sf_dir):
-    last = analog.fixes(spark, sf_dir).groupBy("hex").agg(F.max_by(F.struct("alt", "seq"), seqs.place()).alias("l")).select("hex", "l.alt", "l.seq")
-    agl = F.col("alt") - FIELD_FT
-    eta = F.when(agl < 2000, (2000 - agl) / 500 * 60 + 180).otherwise(agl / 800 * 60 + 60)
-    return last.select("hex", "seq", (F.col("alt") > GROUND).alias("airborne"), F.round(eta, 4).alias("eta_s"))
-
-
 @query("cmp07_segments", f"{CLASSED}, {runs_sql(f'(SELECT *, sev IS DISTINCT FROM lag(sev) OVER {W} OR zone IS DISTINCT FROM lag(zone) OVER {W} AS ch FROM classed)', 'ch')} SELECT hex, run, sev, zone, min(t_ms) AS t_from, max(t_ms) AS t_to FROM runs WHERE hex = 7 GROUP BY ALL HAVING bool_or({_NM('lat', 'lon', LAT0, LON0)} <= 5)")
 def cmp07(spark, sf_dir):
     """Runs of class and zone of one aircraft that come within five miles; the filter precedes the windows."""

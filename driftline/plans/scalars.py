@@ -307,10 +307,10 @@ def sca43(spark, sf_dir):
     return analog.table(spark, sf_dir, "customer").select("c_custkey", scoring.tail_number(registration, F.col("c_name"), F.lit("x")).alias("tail"))
 
 
-@query("flt01_filter_builder", f"{with_sql('tracks', 'aircraft')} SELECT track_id FROM tracks JOIN aircraft USING (tail) WHERE year = 1997 AND base IN ('FRANCE', 'CHINA') AND school = 'MACHINERY' AND start_hour >= 6 AND start_hour < 20")
+@query("flt01_filter_builder", f"{with_sql('tracks', 'aircraft')} SELECT track_id FROM tracks JOIN aircraft USING (tail) WHERE year = 1997 AND base IN ('NATION_2', 'NATION_7', 'NATION_11', 'NATION_19') AND school = 'MACHINERY' AND start_hour >= 6 AND start_hour < 20")
 def flt01(spark, sf_dir):
     rows = analog.tracks(spark, sf_dir).join(analog.aircraft(spark, sf_dir), "tail")
-    return rows.filter(track_filter(year=1997, bases=["FRANCE", "CHINA"], school="MACHINERY", hours=(6, 20))).select("track_id")
+    return rows.filter(track_filter(year=1997, bases=["NATION_2", "NATION_7", "NATION_11", "NATION_19"], school="MACHINERY", hours=(6, 20))).select("track_id")
 
 
 def track_filter(year=None, bases=None, school=None, purpose=None, hours=None):

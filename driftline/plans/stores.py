@@ -123,11 +123,6 @@ def sca27(spark, sf_dir):
     return polymorphic(spark, sf_dir).select("doc_id", lat.alias("lat"), lon.alias("lon"))
 
 
-@query("agg35_band_means", f"{FX} SELECT seq, round(min(alt) OVER (PARTITION BY hex ORDER BY t_ms, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS sustained FROM fixes")
-def agg35(spark, sf_dir):
-    return analog.fixes(spark, sf_dir).select("seq", F.round(F.min("alt").over(seqs.by().rowsBetween(-19, 0)), 4).alias("sustained"))
-
-
 #: fixes of one aircraft are hours apart here, so silence and cool-down are as well
 LIMITS = approach.Limits(cooldown_s=40_000.0, silent_s=30_000.0)
 _SLANT = f"greatest(100.0, sqrt(pow(m * 3.28084, 2) + pow(greatest(1.0, alt - {FIELD_FT}), 2)))"
@@ -169,12 +164,6 @@ def str07(spark, sf_dir):
     return ingest.recent(timed(spark, sf_dir), "1970-01-24 03:33:20").select("seq")
 
 
-@query("str08_rolling_low")
-def str08(spark, sf_dir):
-    levels = timed(spark, sf_dir).select("ts", F.col("hex").alias("source"), (F.col("alt") / 100).alias("db"))
-    return ingest.rolling_low(levels).select("source", "window.start", "sustained")
-
-
 @query("str05_incremental_classification", f"{CLASSED} SELECT CAST(floor(t_ms / 86400.0) AS BIGINT) AS day, seq, sev FROM classed")
 def str05(spark, sf_dir):
     """Fixes classified in the batch that brings them and merged into their day's snapshot; stored ones aren't classified again."""

@@ -142,24 +142,6 @@ def win13(spark, sf_dir):
     return rows.groupBy("hex", "flight").agg(F.min("t_ms").alias("t_from"), F.max("t_ms").alias("t_to"), F.count("*").alias("n"))
 
 
-TNG = f"""s0 AS (SELECT *, alt - {FIELD_FT} AS agl, lead(t_ms) OVER {W} AS after, last_value(CASE WHEN alt - {FIELD_FT} < 250 THEN 'low' WHEN alt - {FIELD_FT} > 800 THEN 'high' END IGNORE NULLS) OVER {W} AS state FROM fixes),
-{runs_sql(f'(SELECT *, state IS DISTINCT FROM lag(state) OVER {W} AS ch FROM s0)', 'ch', 'pass')},
-tng AS (SELECT hex, pass, min(t_ms) AS t_from, round(min(agl), 4) AS bottom_ft, arg_min(t_ms, agl * 1e10 + t_ms) AS bottom_ts, last(after ORDER BY t_ms, seq) AS t_over, count(*) AS n FROM runs WHERE state = 'low' GROUP BY 1, 2)"""
-
-
-@query("win14_touch_and_go", f"{FX}, {TNG} SELECT hex, pass, t_from, bottom_ft, bottom_ts, t_over FROM tng WHERE t_over - bottom_ts <= 90 AND (t_over // 3600) % 24 NOT BETWEEN 5 AND 16")
-def win14(spark, sf_dir):
-    t = seqs.touch_and_go(analog.fixes(spark, sf_dir), FIELD_FT)
-    hour = F.floor(F.col("t_over") / 3600) % 24
-    t = t.filter((F.col("t_over") - F.col("bottom_ts") <= 90) & ((hour >= 17) | (hour < 5)))
-    return t.select("hex", "pass", "t_from", F.round("bottom_ft", 4).alias("bottom_ft"), "bottom_ts", "t_over")
-
-
-@query("win15_low_passes", f"{FX}, {TNG} SELECT * FROM tng")
-def win15(spark, sf_dir):
-    return seqs.touch_and_go(analog.fixes(spark, sf_dir), FIELD_FT).withColumn("bottom_ft", F.round("bottom_ft", 4))
-
-
 @query("win16_descents", f"{FX} SELECT hex, count(*) FILTER (ph AND NOT h) AS descents, count(*) FILTER (NOT ph AND h) AS climbs FROM (SELECT hex, alt > 5588 AS h, lag(alt > 5588) OVER {W} AS ph FROM fixes) GROUP BY hex")
 def win16(spark, sf_dir):
     f = analog.fixes(spark, sf_dir).withColumn("h", F.col("alt") > 5588)
@@ -185,56 +167,6 @@ def win18(spark, sf_dir):
     return s.groupBy("hex").agg(*(F.max_by(c, seqs.place()).alias(c) for c in ("seq", "lat", "knots", "fpm")))
 
 
-INTENT = f"""{LAST(90)}, ls AS (SELECT *, {_NM('lat', 'lon', LAT0, LON0)} AS d, {_NM(f'lag(lat) OVER {W}', f'lag(lon) OVER {W}', 'lat', 'lon')} AS step, lag(alt) OVER {W} AS p_alt FROM lastn),
-intent AS (SELECT hex, count(*) AS n, (arg_max(d, back) - arg_min(d, back)) / nullif(arg_max(d, back), 0) * 100 AS closure_pct, sum(greatest(alt - p_alt, 0)) AS climb_ft, stddev_pop(alt) AS alt_sd, sum(step) AS path_nm, avg(d) AS orbit_nm,
-  {_NM('arg_max(lat, back)', 'arg_max(lon, back)', 'arg_min(lat, back)', 'arg_min(lon, back)')} / nullif(sum(step), 0) AS directness FROM ls GROUP BY hex)"""
-
-
-def intent(spark, sf_dir):
-    """Movement features of each aircraft's last 90 fixes."""
-    f = seqs.last_fixes(analog.fixes(spark, sf_dir), 90)
-    la, lo = F.lag("lat").over(seqs.by()), F.lag("lon").over(seqs.by())
-    f = f.withColumns({"d": geo.planar_nm(F.col("lat"), F.col("lon"), LAT0, LON0), "step": geo.planar_nm(la, lo, F.col("lat"), F.col("lon")), "p_alt": F.lag("alt").over(seqs.by())})
-    old, new = (lambda c: F.max_by(c, "back")), (lambda c: F.min_by(c, "back"))
-    g = f.groupBy("hex").agg(
-        F.count("*").alias("n"),
-        ((old("d") - new("d")) / F.nullif(old("d"), F.lit(0.0)) * 100).alias("closure_pct"),
-        F.sum(F.greatest(F.col("alt") - F.col("p_alt"), F.when(F.col("p_alt").isNotNull(), 0.0))).alias("climb_ft"),
-        F.stddev_pop("alt").alias("alt_sd"),
-        F.sum("step").alias("path_nm"),
-        F.avg("d").alias("orbit_nm"),
-        *(c.alias(n) for c, n in ((old("lat"), "lat0"), (old("lon"), "lon0"), (new("lat"), "lat1"), (new("lon"), "lon1"))),
-    )
-    return g.withColumn("directness", geo.planar_nm(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")) / F.nullif(F.col("path_nm"), F.lit(0.0))).drop("lat0", "lon0", "lat1", "lon1")
-
-
-_ROUND = ("closure_pct", "climb_ft", "alt_sd", "path_nm", "orbit_nm", "directness")
-
-
-@query("win19_intent_features", f"{FX}, {INTENT} SELECT hex, n, {', '.join(f'round({c}, 5) AS {c}' for c in _ROUND)} FROM intent")
-def win19(spark, sf_dir):
-    return intent(spark, sf_dir).select("hex", "n", *(F.round(c, 5).alias(c) for c in _ROUND))
-
-
-INTENT_RULE_SQL = "CASE WHEN closure_pct > 50 AND alt_sd > 1500 THEN 'inbound' WHEN closure_pct < -50 THEN 'outbound' WHEN directness < 0.005 AND orbit_nm < 7 THEN 'orbit' WHEN alt_sd < 1700 THEN 'cruise' ELSE 'manoeuvre' END"
-
-
-def intent_rule():
-    """The first movement rule that holds."""
-    c = F.col
-    return F.when((c("closure_pct") > 50) & (c("alt_sd") > 1500), "inbound").when(c("closure_pct") < -50, "outbound").when((c("directness") < 0.005) & (c("orbit_nm") < 7), "orbit").when(c("alt_sd") < 1700, "cruise").otherwise("manoeuvre")
-
-
-@query("win20_intent_rules", f"{FX}, {INTENT} SELECT hex, {INTENT_RULE_SQL} AS intent FROM intent")
-def win20(spark, sf_dir):
-    return intent(spark, sf_dir).select("hex", intent_rule().alias("intent"))
-
-
-@query("agg16_intent_groups", f"{FX}, {INTENT} SELECT {INTENT_RULE_SQL} AS intent, count(*) AS n FROM intent GROUP BY 1")
-def agg16(spark, sf_dir):
-    return intent(spark, sf_dir).groupBy(intent_rule().alias("intent")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "intent")
-
-
 @query("win21_eta", f"{FX}, {LAST(1)} SELECT hex, round(CASE WHEN alt - {FIELD_FT} < 2000 THEN (2000 - (alt - {FIELD_FT})) / 500 * 60 + 180 ELSE (alt - {FIELD_FT}) / 800 * 60 + 60 END, 4) AS eta_s FROM lastn")
 def win21(spark, sf_dir):
     agl = F.col("alt") - FIELD_FT
@@ -320,11 +252,6 @@ def win30(spark, sf_dir):
     return s.withColumn("b", b).select("seq", F.round(F.degrees(F.atan2(F.avg(F.sin("b")).over(w), F.avg(F.cos("b")).over(w))), 5).alias("heading"))
 
 
-@query("win31_cumulative_length", f"{FX}, {SEG} SELECT seq, round(sum(len_ft) OVER {W}, 2) AS so_far_ft FROM seg")
-def win31(spark, sf_dir):
-    return seqs.segments(analog.fixes(spark, sf_dir)).select("seq", F.round(F.sum("len_ft").over(seqs.by()), 2).alias("so_far_ft"))
-
-
 @query(
     "win32_resample",
     f"""{FX}, {SEG}, c AS (SELECT *, sum(len_ft) OVER {W} AS b FROM seg), d AS (SELECT *, b - len_ft AS a FROM c WHERE len_ft > 0),
@@ -401,16 +328,6 @@ def agg15(spark, sf_dir):
     return b.groupBy("hex", "sev").agg(F.count("*").alias("runs"), F.sum("n").alias("points"), F.max("n").alias("longest"))
 
 
-_PCT = lambda p: f"list_sort(list(cycle_time_min))[CAST(least(floor(count(*) * {p}), count(*) - 1) AS BIGINT) + 1]"
-
-
-@query("agg11_flight_stats", f"{FX}, {CYCLES} SELECT hex, count(*) AS n, floor(round(avg(cycle_time_min), 6) * 10 + 0.5) / 10 AS mean_min, round({_PCT(0.1)}, 6) AS p10, round({_PCT(0.5)}, 6) AS p50, round({_PCT(0.9)}, 6) AS p90 FROM cyc WHERE cycle_time_min > 0 GROUP BY hex")
-def agg11(spark, sf_dir):
-    f = nearest_index(flights(spark, sf_dir).filter("cycle_time_min > 0"), "cycle_time_min", p10=0.1, p50=0.5, p90=0.9)
-    mean = (F.floor(F.round(F.avg("cycle_time_min"), 6) * 10 + 0.5) / 10).alias("mean_min")
-    return f.groupBy("hex").agg(F.count("*").alias("n"), mean, *(F.round(F.max(p), 6).alias(p) for p in ("p10", "p50", "p90")))
-
-
 @query("agg10_merge_per_hex", f"{FX}, {SEG} SELECT hex, count(*) AS n, round(sum(len_ft), 2) AS len_ft FROM seg GROUP BY hex")
 def agg10(spark, sf_dir):
     return seqs.segments(analog.fixes(spark, sf_dir)).groupBy("hex").agg(F.count("*").alias("n"), F.round(F.sum("len_ft"), 2).alias("len_ft"))

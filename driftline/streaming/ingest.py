@@ -110,8 +110,11 @@ def flight_sessions(fixes: DataFrame, gap: str = "15 minutes", late: str = "1 ho
 
 
 def rolling_low(levels: DataFrame, late: str = "1 minute") -> DataFrame:
-    """The least level of every five seconds, each second."""
-    return levels.withWatermark("ts", late).groupBy(F.window("ts", "5 seconds", "1 second"), "source").agg(F.min("db").alias("sustained"))
+    """The least and the upper median level of every five seconds, each second; a window holds what a meter sends meanwhile."""
+    sorted_ = F.sort_array(F.collect_list("db"))
+    middle = F.element_at(sorted_, (F.floor(F.size(sorted_) / 2) + 1).cast("int"))
+    windows = levels.withWatermark("ts", late).groupBy(F.window("ts", "5 seconds", "1 second"), "source")
+    return windows.agg(F.count("*").alias("n"), F.min("db").alias("sustained"), middle.alias("median"))
 
 
 def recent(fixes: DataFrame, now, trail_hours: float = 3, flagged_hours: float = 24) -> DataFrame:
