@@ -39,7 +39,7 @@ tg AS (SELECT b.hex, start_idx, bottom_idx, end_idx, ascent_idx, a.t_ms - i.t_ms
   FROM bottoms b LEFT JOIN climbs USING (hex, start_idx) JOIN i0 i ON i.hex = b.hex AND i.idx = bottom_idx LEFT JOIN i0 a ON a.hex = b.hex AND a.idx = ascent_idx)"""
 
 
-_LOCAL = "floor((bottom_ts - 25200) % 86400 / 3600.0)"
+_LOCAL = "floor((bottom_ts + 61200) % 86400 / 3600.0)"
 
 
 @query("win14_touch_and_go", f"{FX}, {_passes_sql('fixes', str(FIELD_FT))} SELECT hex, start_idx, end_idx, round(bottom_agl, 4) AS bottom_agl, gap_s FROM tg WHERE gap_s <= {_GAP} AND ({_LOCAL} >= 17 OR {_LOCAL} < 5) AND {_NM('lat', 'lon', LAT0, LON0)} <= 4")

@@ -260,13 +260,6 @@ def ras04(spark, sf_dir):
     return b.withColumn("value", F.round("value", 4))
 
 
-@query("ras05_blob_pipeline", f"{_BLOB_SQL} SELECT row, col, round(sum(180.0 / (pi() * radius * radius) * (1 - d2)), 4) AS value FROM bc WHERE d2 < 1 AND hour >= 7 AND hour < 19 GROUP BY 1, 2")
-def ras05(spark, sf_dir):
-    items = _blob_items(spark, sf_dir).filter(scoring.in_hours(F.col("hour"), 7, 19))
-    b = raster.blobs(items, ROW(), COL(), F.lit(180.0), F.col("radius"), F.col("heading"), 1.4, 6, GRID_ROWS, GRID_COLS)
-    return b.withColumn("value", F.round("value", 4))
-
-
 def _box_sql(source: str, radius: int) -> str:
     return f"""h1 AS (SELECT row, t AS col, sum(value) / (least({GRID_COLS - 1}, t + {radius}) - greatest(0, t - {radius}) + 1) AS value FROM {source} JOIN range({GRID_COLS}) r(t) ON t BETWEEN col - {radius} AND col + {radius} GROUP BY 1, 2),
 bl AS (SELECT t AS row, col, sum(value) / (least({GRID_ROWS - 1}, t + {radius}) - greatest(0, t - {radius}) + 1) AS value FROM h1 JOIN range({GRID_ROWS}) r(t) ON t BETWEEN row - {radius} AND row + {radius} GROUP BY 1, 2)"""
@@ -325,14 +318,6 @@ def ras12(spark, sf_dir):
     return total.select("row", "col", "band", F.round(F.greatest(F.lit(30.0), F.least(F.lit(95.0), 95 - 10 * F.col("band") + F.col("total") / 25 / 100)), 5).alias("dba"))
 
 
-@query("ras13_calibrated_raster")
-def ras13(spark, sf_dir):
-    """Blobs at uniform arc-length samples of every path, over calibrated bounds."""
-    r = seqs.resample(analog.fixes(spark, sf_dir), 30000.0)
-    b = raster.blobs(r, ROW(), COL(), F.lit(180.0), F.lit(2.0), F.lit(0.0), 1.0, 3, GRID_ROWS, GRID_COLS)
-    return b.filter("value > 0.5")
-
-
 # --- composites --------------------------------------------------------------------------------------------
 
 _SCORE = f"""{with_sql('fixes', 'zone_edges', 'pop_grid', 'complaints')}"""

@@ -216,23 +216,11 @@ def win26(spark, sf_dir):
     return analog.fixes(spark, sf_dir).select("seq", F.round(F.avg("lat").over(w), 8).alias("lat"), F.round(F.avg("lon").over(w), 8).alias("lon"))
 
 
-@query("win27_windowed_deltas", f"{FX} SELECT seq, alt - lag(alt, 5) OVER {W} AS d5, round(avg(alt) OVER (PARTITION BY hex ORDER BY t_ms, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS mean20 FROM fixes")
-def win27(spark, sf_dir):
-    return analog.fixes(spark, sf_dir).select("seq", (F.col("alt") - F.lag("alt", 5).over(seqs.by())).alias("d5"), F.round(F.avg("alt").over(seqs.by().rowsBetween(-19, 0)), 4).alias("mean20"))
-
-
 @query("win28_best_climb", f"{FX} SELECT hex, max(c) AS best_ft FROM (SELECT hex, alt - lag(alt, 12) OVER {W} AS c FROM fixes) GROUP BY hex")
 def win28(spark, sf_dir):
     return analog.fixes(spark, sf_dir).withColumn("c", F.col("alt") - F.lag("alt", 12).over(seqs.by())).groupBy("hex").agg(F.max("c").alias("best_ft"))
 
 
-@query("win29_engine_power", f"{FX}, {SEG}, v AS (SELECT *, len_ft / dt AS fps FROM seg WHERE dt > 0), q AS (SELECT hex, list_sort(list(fps))[CAST(least(floor(count(*) * 0.95), count(*) - 1) AS BIGINT) + 1] AS p95 FROM v GROUP BY hex) SELECT seq, round(least(1.0, 0.3 + 0.5 * fps / p95 + CASE WHEN alt > p_alt THEN 0.2 ELSE 0.0 END), 6) AS power FROM v JOIN q USING (hex)")
-def win29(spark, sf_dir):
-    v = seqs.segments(analog.fixes(spark, sf_dir)).filter("dt > 0").withColumn("fps", F.col("len_ft") / F.col("dt"))
-    power = 0.3 + 0.5 * F.col("fps") / F.col("p95") + F.when(F.col("alt") > F.col("p_alt"), 0.2).otherwise(0.0)
-    return nearest_index(v, "fps", p95=0.95).select("seq", F.round(F.least(F.lit(1.0), power), 6).alias("power"))
-
-
 def nearest_index(rows, column: str, **places: float):
     """rows with, for each name, the aircraft's value at place min(floor(n p), n - 1) of its sorted values (nulls aside).
 
