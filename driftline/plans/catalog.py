@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import blobs, boards, rasters, relations, scalars, stores, trajectories  # noqa: F401
+from . import blobs, boards, rasters, relations, scalars, stores, trajectories, views  # noqa: F401

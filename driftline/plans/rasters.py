@@ -352,15 +352,6 @@ def agg08(spark, sf_dir):
     return score_board(sums, 1.5).select("k", "flights", F.round("exc", 6).alias("exc"), F.round("index", 4).alias("idx"), F.round("score", 6).alias("score"))
 
 
-@query("cmp04_missions", f"{with_sql('fixes', 'aircraft')}, {MERGED} SELECT base, count(*) AS missions, CAST(sum(legs) AS BIGINT) AS legs FROM merged JOIN aircraft ON hex = tail WHERE origin = 'local' GROUP BY base")
-def cmp04(spark, sf_dir):
-    """Merged flights by base; the scope is applied to aircraft before their fixes are ordered."""
-    a = analog.aircraft(spark, sf_dir).filter("origin = 'local'").select(F.col("tail").alias("hex"), "base")
-    f = analog.fixes(spark, sf_dir).join(a.select("hex"), "hex", "left_semi")
-    m = seqs.merge_cycles(seqs.cycles(f, GROUND), 120)
-    return m.join(a, "hex").groupBy("base").agg(F.count("*").alias("missions"), F.sum("legs").alias("legs"))
-
-
 @query("cmp07_segments", f"{CLASSED}, {runs_sql(f'(SELECT *, sev IS DISTINCT FROM lag(sev) OVER {W} OR zone IS DISTINCT FROM lag(zone) OVER {W} AS ch FROM classed)', 'ch')} SELECT hex, run, sev, zone, min(t_ms) AS t_from, max(t_ms) AS t_to FROM runs WHERE hex = 7 GROUP BY ALL HAVING bool_or({_NM('lat', 'lon', LAT0, LON0)} <= 5)")
 def cmp07(spark, sf_dir):
     """Runs of class and zone of one aircraft that come within five miles; the filter precedes the windows."""
@@ -369,33 +360,3 @@ def cmp07(spark, sf_dir):
     return runs.groupBy("hex", "run", "sev", "zone").agg(F.min("t_ms").alias("t_from"), F.max("t_ms").alias("t_to"), F.bool_or("near").alias("near")).filter("near").drop("near")
 
 
-@query("cmp08_boot", f"{with_sql('fixes', 'tracks', 'complaints', 'notifications')}, h AS (SELECT tail, count(*) AS tracks FROM tracks GROUP BY 1), l AS (SELECT hex AS tail, count(*) AS points FROM fixes GROUP BY 1), c AS (SELECT tail, count(*) AS complaints FROM complaints GROUP BY 1), s AS (SELECT tail, max(CASE action WHEN 'seen' THEN 1 WHEN 'acknowledged' THEN 2 WHEN 'resolved' THEN 3 ELSE 0 END) AS step FROM notifications GROUP BY 1) SELECT tail, coalesce(tracks, 0) AS tracks, coalesce(points, 0) AS points, coalesce(complaints, 0) AS complaints, coalesce(step, 0) AS step FROM h FULL JOIN l USING (tail) LEFT JOIN c USING (tail) LEFT JOIN s USING (tail)")
-def cmp08(spark, sf_dir):
-    h = analog.tracks(spark, sf_dir).groupBy("tail").agg(F.count("*").alias("tracks"))
-    live = analog.fixes(spark, sf_dir).groupBy(F.col("hex").alias("tail")).agg(F.count("*").alias("points"))
-    c = analog.complaints(spark, sf_dir).groupBy("tail").agg(F.count("*").alias("complaints"))
-    s = notification_state(analog.notifications(spark, sf_dir)).select("tail", "step")
-    return h.join(live, "tail", "full").join(c, "tail", "left").join(s, "tail", "left").fillna(0)
-
-
-@query("cmp09_excursion_history", f"{CLASSED}, {runs_sql(f'(SELECT *, (sev > 0) IS DISTINCT FROM lag(sev > 0) OVER {W} AS ch FROM classed)', 'ch')} SELECT hex, count(DISTINCT run) AS events, max(sev) AS worst, count(*) AS points FROM runs WHERE sev > 0 GROUP BY hex")
-def cmp09(spark, sf_dir):
-    e = seqs.excursions(classified(spark, sf_dir))
-    return e.groupBy("hex").agg(F.count("*").alias("events"), F.max("worst").alias("worst"), F.sum("n").alias("points"))
-
-
-@query("cmp11_leaderboard", f"{_board_sql('school')} SELECT k, round(score / max(score) OVER () * 100, 4) AS pct FROM board")
-def cmp11(spark, sf_dir):
-    from pyspark.sql import Window
-
-    b = leaderboard(flown(spark, sf_dir), "school")
-    return b.select(F.col("school").alias("k"), F.round(F.col("score") / F.max("score").over(Window.partitionBy()) * 100, 4).alias("pct"))  # one row per school
-
-
-@query("cmp12_track_classification", f"{CLASSED}, cs AS (SELECT *, {_FT('p_lat', 'p_lon', 'lat', 'lon')} AS len_ft, greatest(sev, ps) AS ss FROM (SELECT *, lag(sev) OVER {W} AS ps, lag(lat) OVER {W} AS p_lat, lag(lon) OVER {W} AS p_lon FROM classed) WHERE ps IS NOT NULL), {runs_sql(f'(SELECT *, sev IS DISTINCT FROM lag(sev) OVER {W} AS ch FROM classed)', 'ch')}, r AS (SELECT hex, max(run) AS runs FROM runs GROUP BY 1) SELECT hex, runs, max(ss) AS worst, round(sum(len_ft), 2) AS len_ft FROM cs JOIN r USING (hex) GROUP BY 1, 2")
-def cmp12(spark, sf_dir):
-    from .trajectories import track_stats
-
-    c = classified(spark, sf_dir)
-    runs = seqs.bands(c, bridge=False).groupBy("hex").agg(F.max("run").alias("runs"))
-    return track_stats(c, None).join(runs, "hex").select("hex", "runs", "worst", F.col("len_total_ft").alias("len_ft"))
