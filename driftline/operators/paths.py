@@ -131,24 +131,71 @@ def separated_maxima(rows: DataFrame, key: str, place: str, value: str, least: f
     return peaks.groupBy(key).applyInPandas(work, peaks.schema)
 
 
-def stitch(segments: DataFrame, key: str) -> DataFrame:
-    """Undirected segments (a, b) of one ``key`` joined into loops: (key, loop, place, node)."""
+def _joined(chains: list[list[int]]) -> list[list[int]]:
+    """Chains that share end nodes, made into longer ones; where more than two meet, they are joined in order of their nodes."""
+    ends: dict[int, list[int]] = {}
+    for i, c in enumerate(chains):
+        if c[0] != c[-1]:
+            for node in (c[0], c[-1]):
+                ends.setdefault(node, []).append(i)
+    partner: dict[tuple[int, int], int] = {}
+    for node, at in ends.items():
+        at.sort(key=lambda i: chains[i])
+        for i, j in zip(at[::2], at[1::2], strict=False):
+            if i != j:
+                partner[node, i], partner[node, j] = j, i
+    used, out = set(), [c for c in chains if c[0] == c[-1]]
+
+    def walk(i: int, node: int) -> list[int]:
+        """The nodes from ``node`` on, by chain i and those that follow."""
+        path = [node]
+        while i not in used:
+            used.add(i)
+            c = chains[i] if chains[i][0] == path[-1] else chains[i][::-1]
+            path += c[1:]
+            if (path[-1], i) not in partner:
+                break
+            i = partner[path[-1], i]
+        return path
+
+    for open_ in (True, False):  # paths from their ends first, then what is closed
+        for i, c in enumerate(chains):
+            if i not in used and c[0] != c[-1]:
+                free = [n for n in (c[0], c[-1]) if (n, i) not in partner]
+                if free or not open_:
+                    out.append(walk(i, min(free) if free else min(c[0], c[-1])))
+    return out
+
+
+def _canonical(nodes: list[int]) -> list[int]:
+    """A closed loop from its least node on, towards the lesser of its neighbours; an open one from its lesser end."""
+    if nodes[0] != nodes[-1]:
+        return nodes if nodes[0] < nodes[-1] else nodes[::-1]
+    ring = nodes[:-1]
+    at = ring.index(min(ring))
+    ring = ring[at:] + ring[:at]
+    if ring[-1] < ring[1]:
+        ring = ring[:1] + ring[:0:-1]
+    return [*ring, ring[0]]
+
+
+def stitch(segments: DataFrame, key: str, tile: str) -> DataFrame:
+    """Undirected segments (a, b) of one ``key`` joined into loops: (key, loop, place, node), a loop's number being its first node.
+
+    Segments are joined within each tile first, where most loops close, and the chains that leave their tile then across
+    tiles: so one key's group holds the chains that cross borders, not all its segments.
+    """
+    kind = dict(segments.dtypes)[key]
+    schema = f"{key} {kind}, nodes array<bigint>"
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: dict = {}
-        for i, (a, b) in enumerate(zip(pdf["a"], pdf["b"], strict=True)):
-            ends.setdefault(a, []).append((i, b))
-            ends.setdefault(b, []).append((i, a))
-        used, out, loop = set(), [], 0
-        for start in sorted(ends, key=lambda n: (len(ends[n]) != 1, n)):
-            while any(i not in used for i, _ in ends[start]):
-                node, place = start, 0
-                out.append((pdf[key].iloc[0], loop, place, node))
-                while step := min(((i, b) for i, b in ends[node] if i not in used), default=None):
-                    used.add(step[0])
-                    node, place = step[1], place + 1
-                    out.append((pdf[key].iloc[0], loop, place, node))
-                loop += 1
-        return pd.DataFrame(out, columns=[key, "loop", "place", "node"])
-
-    return segments.groupBy(key).applyInPandas(work, f"{key} {dict(segments.dtypes)[key]}, loop int, place int, node {dict(segments.dtypes)['a']}")
+        chains = _joined([list(map(int, n)) for n in pdf["nodes"]])
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(chains), "nodes": chains})
+
+    rows = segments.select(key, tile, F.array(F.col("a").cast("long"), F.col("b").cast("long")).alias("nodes"))
+    within = rows.groupBy(key, tile).applyInPandas(work, schema)
+    closed = F.element_at("nodes", 1) == F.element_at("nodes", -1)
+    across = within.filter(~closed).groupBy(key).applyInPandas(work, schema)
+    whole = F.udf(_canonical, "array<bigint>")
+    loops = within.filter(closed).unionByName(across).select(key, whole("nodes").alias("nodes"))
+    return loops.select(key, F.element_at("nodes", 1).alias("loop"), F.posexplode("nodes").alias("place", "node"))

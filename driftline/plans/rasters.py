@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
@@ -117,7 +119,8 @@ def geo10(spark, sf_dir):
     return raster.mean_blur(grid(spark, sf_dir), GRID_ROWS, GRID_COLS).withColumn("value", F.round("value", 6))
 
 
-_LEVEL = 1200.5
+_LEVEL = 930.5
+_LEVELS = (908.5, 930.5)
 
 
 @query(
@@ -132,18 +135,23 @@ def geo11(spark, sf_dir):
     return raster.marching_squares(grid(spark, sf_dir), _LEVEL)
 
 
-@query("geo12_stitch")
-def geo12(spark, sf_dir):
-    m = raster.marching_squares(grid(spark, sf_dir), _LEVEL)
+def contour_ends(g, levels):
+    """The contours' segments of each level as pairs of nodes (middles of the lattice's edges, numbered), and the strip of rows each is in."""
+    parts = [raster.marching_squares(g, level).withColumn("level", F.lit(level)) for level in levels]
+    m = functools.reduce(lambda a, b: a.unionByName(b), parts)
 
     def node(side):
         r, c = F.col("row") * 2, F.col("col") * 2
         dy = F.when(side == "n", 0).when(side == "s", 2).otherwise(1)
         dx = F.when(side == "w", 0).when(side == "e", 2).otherwise(1)
-        return (r + dy) * 10000 + c + dx
+        return ((r + dy) * 10000 + c + dx).cast("long")
+
+    return m.select("level", F.floor(F.col("row") / 8).cast("int").alias("strip"), node(F.substring("sides", 1, 1)).alias("a"), node(F.substring("sides", 2, 1)).alias("b"))
 
-    ends = m.select(F.lit(_LEVEL).alias("level"), node(F.substring("sides", 1, 1)).alias("a"), node(F.substring("sides", 2, 1)).alias("b"))
-    return paths.stitch(ends, "level")
+
+@query("geo12_stitch")
+def geo12(spark, sf_dir):
+    return paths.stitch(contour_ends(grid(spark, sf_dir), _LEVELS), "level", "strip")
 
 
 @query("win34_local_maxima")

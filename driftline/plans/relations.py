@@ -53,15 +53,6 @@ def src05(spark, sf_dir):
     return analog.tracks(spark, sf_dir).groupBy("tail").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("track_id")).alias("track_ids"))
 
 
-@query("src06_school_document", f"{AC} SELECT school, tail, type FROM aircraft WHERE school IS NOT NULL")
-def src06(spark, sf_dir):
-    """A nested document of schools and their aircraft, read back as rows."""
-    a = analog.aircraft(spark, sf_dir).filter("school is not null")
-    docs = a.groupBy("school").agg(F.to_json(F.collect_list(F.struct("tail", "type"))).alias("raw"))
-    fleet = F.from_json("raw", "array<struct<tail: bigint, type: string>>")
-    return docs.select("school", F.explode(fleet).alias("x")).select("school", "x.tail", "x.type")
-
-
 @query("src08_page", f"{TR} SELECT track_id, total FROM (SELECT track_id, count(*) OVER () AS total FROM tracks) ORDER BY track_id LIMIT 50 OFFSET 100")
 def src08(spark, sf_dir):
     t = analog.tracks(spark, sf_dir).select("track_id")

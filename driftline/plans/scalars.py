@@ -219,9 +219,21 @@ def sca30b(spark, sf_dir):
     return analog.fixes(spark, sf_dir).select("seq", scoring.rolling_id(F.concat_ws("-", "hex", "t_ms")).alias("short_id"))
 
 
-@query("sca31_signed_token")
+_KEY = b"example key"
+_PADDED = _KEY.ljust(64, b"\0")
+_PAD = lambda x: f"unhex('{bytes(b ^ x for b in _PADDED).hex()}')"
+_WEB = lambda x: f"rtrim(translate(to_base64({x}), '+/', '-_'), '=')"
+_SIGNATURE = f"substr({_WEB(f'unhex(sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(payload)))))')}, 1, 16)"
+
+
+@query("sca31_signed_token", f"{CO}, pl AS (SELECT id, tail || '|' || started AS payload FROM complaints), tk AS (SELECT *, {_WEB('encode(payload)')} || '.' || {_SIGNATURE} AS token FROM pl) SELECT id, token, CASE WHEN id % 5 = 0 THEN NULL ELSE payload END AS verified FROM tk")
 def sca31(spark, sf_dir):
-    return analog.complaints(spark, sf_dir).select("id", scoring.sign(b"example key")(F.col("id").cast("string")).alias("token"))
+    """Signed tokens of complaints, verified again; every fifth is tampered with and told."""
+    c = analog.complaints(spark, sf_dir)
+    token = scoring.signed_token(_KEY, F.concat_ws("|", "tail", "started"))
+    rows = c.select("id", token.alias("token"))
+    altered = F.when(F.col("id") % 5 == 0, F.concat(F.lit("x"), "token")).otherwise(F.col("token"))
+    return rows.select("id", "token", scoring.verified_payload(_KEY, altered).alias("verified"))
 
 
 @query("sca37_locality_airports", "SELECT c_custkey, list_sort(list_distinct(list_concat([n_name], CASE WHEN r_name = 'ASIA' THEN ['ASIA', n_name] ELSE [r_name] END))) AS airports FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -16,7 +16,7 @@ FX = with_sql("fixes")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
-@query("src07_yearly_files")
+@query("src07_yearly_files", f"{FX} SELECT hex, row_number() OVER (PARTITION BY hex ORDER BY t_ms, seq) - 1 AS seq, lat, lon, t_ms FROM fixes")
 def src07(spark, sf_dir):
     """All tracks written as yearly JSON files to the shared checkpoint folder and read back as fixes."""
     f = analog.fixes(spark, sf_dir).withColumn("year", F.year(F.timestamp_seconds("t_ms")))
@@ -29,6 +29,13 @@ def src07(spark, sf_dir):
     return rows.select(F.col("hex").cast("long").alias("hex"), "seq", "lat", "lon", F.col("offset_s").cast("long").alias("t_ms"))
 
 
+@query("src06_school_document", f"{with_sql('aircraft')} SELECT school, base AS airport, CAST(tail AS VARCHAR) AS tail, type FROM aircraft WHERE school IS NOT NULL")
+def src06(spark, sf_dir):
+    """Nested documents of schools and their aircraft, written to the shared folder and read back as rows."""
+    a = analog.aircraft(spark, sf_dir).filter("school is not null").select(F.col("school").alias("name"), F.col("base").alias("airport"), F.col("tail").cast("string").alias("tail"), "type")
+    return stores.read_document(spark, stores.write_documents(a, ["name", "airport"], "schools", "aircraft"))
+
+
 def feed(spark, sf_dir):
     """fixes as feed messages, one per ten seconds."""
     f = analog.fixes(spark, sf_dir)

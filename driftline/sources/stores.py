@@ -47,6 +47,21 @@ def write_years(tracks: DataFrame, bucket: int = 1000) -> str:
     return path
 
 
+def write_documents(rows: DataFrame, keys: list[str], outer: str, inner: str, bucket: int = 1000) -> str:
+    """Writes rows as documents {outer: [{keys, inner: [the other columns]}]}, each of about ``bucket`` rows; returns the folder.
+
+    A document holds a bucket of hashes, so no key's rows need to meet in one: a key goes on in the next document.
+    """
+    path = shared_folder(rows.sparkSession, outer)
+    rest = [c for c in rows.columns if c not in keys]
+    parts = max(1, -(-rows.count() // bucket))
+    part = F.pmod(F.xxhash64(*rest), F.lit(parts)).alias("part")
+    groups = rows.groupBy(part, *keys).agg(F.collect_list(F.struct(*rest)).alias(inner))
+    docs = groups.groupBy("part").agg(F.collect_list(F.struct(*keys, inner)).alias(outer))
+    docs.select(outer).write.option("maxRecordsPerFile", 1).json(path)  # a multi-line file is one document
+    return path
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """school, airport, tail, type of a nested registry document."""
     schema = "schools array<struct<name: string, airport: string, aircraft: array<struct<tail: string, type: string>>>>"
