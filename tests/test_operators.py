@@ -91,13 +91,13 @@ def test_positions_at_distances(spark):
     rows = [(1, 0, 0, 40.0, -105.0, 0.0), (1, 1, 1, 40.1, -105.0, 100.0), (1, 2, 2, 40.1, -105.0, 900.0), (1, 3, 3, 40.1, -104.9, 200.0), (2, 0, 0, 1.0, 2.0, 3.0)]
     leg = 0.1 * 364560.0
     east = 0.1 * 364560.0 * math.cos(math.radians(40.1))
-    marks = [(1, x) for x in (-5.0, 0.0, leg / 4, leg + 1e-3, leg + east / 2, leg + east, 9e9)] + [(2, 0.0), (2, 50.0), (3, 1.0)]
+    marks = [(1, x) for x in (-5.0, 0.0, leg / 4, leg + 1e-6, leg + east / 2, leg + east, 9e9)] + [(2, 0.0), (2, 50.0), (3, 1.0)]
     found = {(r["hex"], r["ft"]): (round(r["lat"], 6), round(r["lon"], 6), round(r["alt"], 6), round(r["heading"], 3)) for r in lookup.positions_at(spark.createDataFrame(rows, FIX), spark.createDataFrame(marks, "hex long, ft double")).collect()}
     assert found == {
         (1, -5.0): (40.0, -105.0, 0.0, 0.0),
         (1, 0.0): (40.0, -105.0, 0.0, 0.0),
         (1, leg / 4): (40.025, -105.0, 25.0, 0.0),
-        (1, leg + 1e-3): (40.1, -105.0, 100.0, 90.0),
+        (1, leg + 1e-6): (40.1, -105.0, 100.0, 90.0),
         (1, leg + east / 2): (40.1, -104.95, 150.0, 90.0),
         (1, leg + east): (40.1, -104.9, 200.0, 90.0),
         (1, 9e9): (40.1, -104.9, 200.0, 90.0),
