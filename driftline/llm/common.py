@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +19,39 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only on one machine (a master ``local``, as in
     tests), where that is unset, a temporary one is used.
     """
-    spark = df.sparkSession
+    shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it was not."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+class Scratch:
+    """Tables in the shared checkpoint folder, in columns and compressed, for as long as a step needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written; what follows from it starts there."""
+        self.paths.append(f"{shared(self.spark)}/scratch-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        """Deletes the tables; all that follows from them must be written by then."""
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text"):

@@ -19,7 +19,7 @@ zero, which links like any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,20 +168,21 @@ def _cell_rows(budget: int, depth: int):
     return run
 
 
-def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, size: int = 64) -> DataFrame:
+def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, size: int = 64, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect exactly what links of ``budget`` bits connect.
 
     A fingerprint is the low ``size`` bits of print; what is above them names its table, and only
-    fingerprints of one table are joined.
+    fingerprints of one table are joined. ``keep`` writes the distinct ones.
     """
     width = size // (budget + 1)
-    turns = F.explode(F.array(*(F.lit(i * width) for i in range(budget + 1)))).alias("turn")
     low = f"(print & {(1 << size) - 1})" if size < 64 else "print"
-    turned = F.expr(f"if(turn = 0, shiftleft(print, {64 - size}), shiftleft(print, turn + {64 - size}) | shiftleft(shiftrightunsigned({low}, {size} - turn), {64 - size}))")
+    rotated = F.expr(f"if(turn = 0, shiftleft(print, {64 - size}), shiftleft(print, turn * {width} + {64 - size}) | shiftleft(shiftrightunsigned({low}, {size} - turn * {width}), {64 - size}))")
+    turned = lambda df: df.withColumn("turned", rotated)  # noqa: E731  follows from the print, so it needn't be shuffled
     bits = lambda at, n: F.expr(f"cast(shiftrightunsigned(turned, {64 - at - n}) & {(1 << n) - 1} as int)")
-    cells = cut(prints.select("print").distinct()).select("print", turns).withColumn("turned", turned)
-    own = [F.shiftrightunsigned("print", size)] if size < 64 else []
-    cells = cells.select(F.xxhash64(*own, "turn", bits(0, width)).alias("cell"), F.lit(-1).alias("side"), F.lit(0).alias("used"), "print", "turned")
+    rows = keep(prints.select("print").distinct()).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(budget))))
+    table = F.shiftrightunsigned("print", size) if size < 64 else F.lit(0).cast("long")
+    cell = (table * (budget + 1) + F.col("turn")) * (1 << width) + bits(0, width)
+    cells = turned(rows).select(cell.alias("cell"), F.lit(-1).alias("side"), F.lit(0).alias("used"), "print", "turn")
     near = F.array(*(F.lit(v) for v in range(1 << _LEVEL) if v.bit_count() <= budget))
     edges, depth = None, width
     while True:
@@ -192,12 +193,13 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, size: int
             crowded = crowded if crowded.limit(1).count() else None
         now = cells if crowded is None else cells.join(crowded, "cell", "left_anti")
         order = F.col("turned").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned
-        found = now.select("cell", "side", "print", "turned").repartition("cell").sortWithinPartitions("cell", "side", order).mapInArrow(_cell_rows(budget, depth), "a long, b long")
+        dealt = turned(now.select("cell", "side", "print", "turn").repartition("cell")).drop("turn")
+        found = dealt.sortWithinPartitions("cell", "side", order).mapInArrow(_cell_rows(budget, depth), "a long, b long")
         edges = found if edges is None else edges.unionAll(found)
         if crowded is None:
             return edges.distinct()
         # pairs of nodes that both exist and leave some budget: (cell, side, node) -> the cells it takes part in
-        rows = cells.join(crowded, "cell").withColumn("node", bits(depth, _LEVEL))
+        rows = turned(cells.join(crowded, "cell")).withColumn("node", bits(depth, _LEVEL)).drop("turned")
         nodes = rows.select("cell", "side", "used", "node").distinct()
         alone, other = F.col("side") < 0, F.col("node").bitwiseXOR(F.col("flip"))
         pairs = nodes.withColumn("flip", F.explode(near)).withColumn("spent", F.col("used") + F.bit_count("flip")).filter(F.col("spent") <= budget)
@@ -209,7 +211,7 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, size: int
         side = F.when(~alone, F.col("side")).when(F.col("flip") == 0, -1).when(F.col("node") < F.col("other"), 0).otherwise(1)
         pairs = pairs.select("cell", "side", "node", F.xxhash64("cell", lower, upper).alias("to_cell"), side.alias("to_side"), "spent")
         split = rows.drop("used").join(pairs, ["cell", "side", "node"])
-        cells = split.select(F.col("to_cell").alias("cell"), F.col("to_side").alias("side"), F.col("spent").alias("used"), "print", "turned")
+        cells = split.select(F.col("to_cell").alias("cell"), F.col("to_side").alias("side"), F.col("spent").alias("used"), "print", "turn")
         depth += _LEVEL
 
 
