@@ -1,15 +1,17 @@
 """Benchmark passages in documents, by the q-gram lemma.
 
 Texts are normalised (lower-cased A-Z, white space collapsed to single spaces) and compared as UTF-8
-bytes. A benchmark item is split into segments of at most ``SEGMENT`` bytes, overlapping by half, so
-that every part of a long item of one and a half segments holds a whole one. A segment of m bytes that occurs in a text with at most
+bytes. A benchmark item is split into segments of at most ``SEGMENT`` bytes, overlapping by half, and a longer
+one than ``PART`` bytes into segments of that size as well, so that every part of an item of one and a half such (300
+bytes) holds a whole one. A segment of m bytes that occurs in a text with at most
 e = floor(RATE * m) edits shares at least m + 1 - Q (e + 1) of its q-grams with a region of the text, on
 diagonals (place in the text minus place in the segment) that differ by at most e.
 
 Counting is per task: each text's q-grams are looked up in the segments' q-grams, hits are binned into
 overlapping bands of diagonals 2 (e + 1) wide, and bands whose count of distinct segment q-grams
 reaches the bound are regions. A region is verified by aligning the segment within the band, free at
-both ends in the text. A segment too short for a positive bound is matched without edits.
+both ends in the text. A segment too short for a positive bound is cut into e + 1 pieces, of which one must occur as it
+is; the text around each occurrence is aligned.
 
 A benchmark of up to ``BROADCAST`` bytes of segments is sent to every task. A larger one is dealt in
 blocks of that size, one pass over the documents for each block: a stated query set against all rows.
@@ -31,7 +33,7 @@ from .textkit import LOWER, powers, slices
 
 Q = 11
 RATE = 0.06
-SEGMENT = 400
+SEGMENT, PART = 400, 200
 BROADCAST = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -59,18 +61,21 @@ class Index:
         self.segments: list[tuple[int, int, bytes]] = []  # item, start, bytes
         for item, text in items:
             body = normalise(text)
-            step = SEGMENT // 2
-            last = max(0, -(-(len(body) - SEGMENT) // step)) if body else -1
-            for i in range(last + 1):
-                begin = min(i * step, max(0, len(body) - SEGMENT))
-                self.segments.append((item, begin, body[begin : begin + SEGMENT]))
+            for most in (SEGMENT, PART) if len(body) > PART else (SEGMENT,):
+                last = max(0, -(-(len(body) - most) // (most // 2))) if body else -1
+                for i in range(last + 1):
+                    begin = min(i * most // 2, max(0, len(body) - most))
+                    self.segments.append((item, begin, body[begin : begin + most]))
         size = np.array([len(s[2]) for s in self.segments], np.int64)
         self.edits = np.floor(RATE * size).astype(np.int64)
         self.bound = size + 1 - Q * (self.edits + 1)
         tight = self.bound < 1
-        self.edits[tight], self.bound[tight] = 0, np.maximum(size[tight] + 1 - Q, 1)
-        self.short = [i for i in range(len(size)) if size[i] < Q]
-        codes = [_gram_codes(np.frombuffer(s[2], np.uint8)) for s in self.segments]
+        self.short: list[tuple[int, int, bytes]] = []  # segment, place in it, piece
+        for i in np.flatnonzero(tight | (size < Q)).tolist():
+            body, parts = self.segments[i][2], int(self.edits[i]) + 1
+            cuts = [len(body) * k // parts for k in range(parts + 1)]
+            self.short += [(i, a, body[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        codes = [_gram_codes(np.frombuffer(b"" if t else s[2], np.uint8)) for s, t in zip(self.segments, tight.tolist(), strict=True)]
         n = np.array([len(c) for c in codes], np.int64)
         flat = np.concatenate([*codes, np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
@@ -99,12 +104,14 @@ class Index:
         body = normalise(text)
         data = np.frombuffer(body, np.uint8)
         found: list[tuple[int, int, int, int]] = []
-        for s in self.short:
+        for s, own, piece in self.short:
             item, _, segment = self.segments[s]
-            at = body.find(segment) if segment else -1
+            e, at = int(self.edits[s]), body.find(piece)
             while at >= 0:
-                found.append((item, at, at + len(segment), 0))
-                at = body.find(segment, at + len(segment))
+                begin = max(0, at - own - e)
+                if match := aligned(segment, body[begin : at - own + len(segment) + e], e):
+                    found.append((item, begin + match[0], begin + match[1], match[2]))
+                at = body.find(piece, at + 1 if e else at + len(piece))
         place, segment, own = self.hits(data)
         if not len(place):
             return sorted(found)
@@ -122,10 +129,8 @@ class Index:
             e = int(self.edits[s])
             begin = b * (e + 1) - SEGMENT
             region = slice(max(0, begin - e), max(0, begin + 2 * (e + 1) + len(pattern) + e))
-            end, cost = align(pattern, body[region], e)
-            if cost <= e:
-                low, _ = align(pattern[::-1], body[region][:end][::-1], e)
-                found.append((item, region.start + end - low, region.start + end, cost))
+            if match := aligned(pattern, body[region], e):
+                found.append((item, region.start + match[0], region.start + match[1], match[2]))
         passages: list[tuple[int, int, int, int]] = []
         for item, start, end, cost in sorted(found):
             if passages and passages[-1][0] == item and start < passages[-1][2]:
@@ -136,6 +141,15 @@ class Index:
         return passages
 
 
+def aligned(pattern: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
+    """(start, end, edits) of the best occurrence of pattern in region, if it is within the budget."""
+    end, cost = align(pattern, region, budget)
+    if cost > budget:
+        return None
+    low, _ = align(pattern[::-1], region[:end][::-1], budget)
+    return end - low, end, cost
+
+
 def align(pattern: bytes, region: bytes, budget: int) -> tuple[int, int]:
     """(end, edits) of the best occurrence of pattern in region, free at both ends of the region.
 

@@ -42,3 +42,29 @@ def test_a_long_item_copied_whole_is_one_passage():
     body = " ".join(f"word{i * 7919 % 1000}" for i in range(300))
     found = decontaminate.Index([(1, body)]).matches(f"before {body} after")
     assert [(m[0], m[3]) for m in found] == [(1, 0)] and found[0][2] - found[0][1] == len(body)
+
+
+def test_parts_of_a_long_item(spark):
+    """Any 300 bytes of an item are found, wherever they begin, and with a few edits; 150 are not claimed to be."""
+    rng = random.Random(21)
+    body = "".join(rng.choice("abcdefghijklmnop ") for _ in range(2000)).strip()
+    texts, want = {}, []
+    for i, begin in enumerate(range(0, 1690, 53)):
+        part = list(body[begin : begin + 305])
+        for _ in range(i % 4):
+            part[rng.randrange(len(part))] = "z"
+        noise = "".join(rng.choice("qrstuvwxy ") for _ in range(200))
+        texts[i] = noise + " " + "".join(part) + " " + noise
+        want.append(i)
+    texts[500] = "".join(rng.choice("abcdefghijklmnop ") for _ in range(2000))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, body)], "item_id long, text string")
+    assert sorted({r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()}) == want
+
+
+def test_short_items_may_have_their_edits(spark):
+    texts = [(1, "so 3 apples and 5 pearx, he said"), (2, "3 apples and 5 pears"), (3, "3 apxles and 5 pearx"), (4, "3 apples and 5 pear"), (5, "x3 aples and 5 pears"), (6, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "3 apples and 5 pears")], "item_id long, text string")  # 20 bytes: one edit
+    found = {(r["doc_id"], r["edits"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(1, 1), (2, 0), (4, 1), (5, 1)}
