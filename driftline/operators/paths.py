@@ -189,13 +189,12 @@ def stitch(segments: DataFrame, key: str, tile: str) -> DataFrame:
     schema = f"{key} {kind}, nodes array<bigint>"
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        chains = _joined([list(map(int, n)) for n in pdf["nodes"]])
+        chains = [_canonical(c) for c in _joined([list(map(int, n)) for n in pdf["nodes"]])]
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(chains), "nodes": chains})
 
     rows = segments.select(key, tile, F.array(F.col("a").cast("long"), F.col("b").cast("long")).alias("nodes"))
     within = rows.groupBy(key, tile).applyInPandas(work, schema)
     closed = F.element_at("nodes", 1) == F.element_at("nodes", -1)
     across = within.filter(~closed).groupBy(key).applyInPandas(work, schema)
-    whole = F.udf(_canonical, "array<bigint>")
-    loops = within.filter(closed).unionByName(across).select(key, whole("nodes").alias("nodes"))
+    loops = within.filter(closed).unionByName(across)
     return loops.select(key, F.element_at("nodes", 1).alias("loop"), F.posexplode("nodes").alias("place", "node"))
