@@ -7,14 +7,14 @@ import functools
 from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
-from ..operators import joins, paths, raster
+from ..operators import paths, raster
 from ..operators import sequences as seqs
 from ..sources import analog
 from ..sources.analog import FIELD_FT, GRID, GRID_COLS, GRID_ROWS, LAT0, LON0, with_sql
 from .registry import query
-from .relations import _SCORED_SQL, _board_sql, flown, leaderboard, notification_state, score_board
-from .scalars import _ALONG, _FT, _NM, _UP, CELL_SQL, CLASSED, GRADE_SQL, TIER_SQL, classified, nearest_zone, segment_sql, with_density
-from .trajectories import CSEG, GROUND, LAGS, MERGED, SEG, W, flights, runs_sql
+from .relations import _SCORED_SQL, score_board
+from .scalars import _ALONG, _FT, _NM, _UP, CELL_SQL, CLASSED, classified, nearest_zone, segment_sql, with_density
+from .trajectories import CSEG, LAGS, MERGED, SEG, W, flights, runs_sql
 
 FX = with_sql("fixes")
 PG = with_sql("fixes", "pop_grid")
@@ -328,13 +328,7 @@ def ras12(spark, sf_dir):
 
 # --- composites --------------------------------------------------------------------------------------------
 
-_SCORE = f"""{with_sql('fixes', 'zone_edges', 'pop_grid', 'complaints')}"""
 _CLS_TAIL = CLASSED[CLASSED.index("near AS ("):]
-_CMP = f"""{_SCORE}, {_CLS_TAIL}, {SEG}, lc AS (SELECT hex, count(*) AS n FROM classed WHERE sev > 0 GROUP BY 1), cc AS (SELECT tail AS hex, count(*) AS c FROM complaints GROUP BY 1),
-im AS (SELECT hex, sum(coalesce(density, 0.0) * len_ft) / 1e9 AS load FROM (SELECT hex, len_ft, (lat + p_lat) / 2 AS lat, (lon + p_lon) / 2 AS lon FROM seg) m LEFT JOIN pop_grid ON pop_grid.row = {CELL_SQL[False][0]} AND pop_grid.col = {CELL_SQL[False][1]} GROUP BY 1),
-sc AS (SELECT im.hex, CAST(floor(100 * exp(-load / 40.0) + 0.5) AS INT) AS quiet, CAST(floor(100 * exp(-coalesce(n, 0) / 40.0) + 0.5) AS INT) AS zones, CAST(floor(100 * exp(-coalesce(c, 0) / 40.0) + 0.5) AS INT) AS voices FROM im LEFT JOIN lc USING (hex) LEFT JOIN cc USING (hex))"""
-
-
 _CLASSED_ALL = with_sql("fixes", "zone_edges", "pop_grid", "aircraft") + ", " + _CLS_TAIL
 _IMPACT_TAIL = _MID[_MID.index("ms AS (") :].replace("FROM seg)", f"FROM (SELECT *, {_FT('p_lat', 'p_lon', 'lat', 'lon')} AS len_ft FROM (SELECT *, {LAGS} FROM fixes) WHERE p_t_ms IS NOT NULL))")
 _BASES = "base IN ('NATION_2', 'NATION_3', 'NATION_7', 'NATION_11', 'NATION_19', 'NATION_20')"

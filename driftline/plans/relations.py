@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
 from ..operators import joins
-from ..operators import sequences as seqs
 from ..sources import analog
 from ..sources.analog import LAT0, with_sql
 from .registry import query
 from .scalars import _NM, CLASSED, PURPOSE_SQL, classified
-from .trajectories import CYCLES, MERGED, flights
+from .trajectories import CYCLES, flights
 
 FX, TR, AC = (with_sql(v) for v in ("fixes", "tracks", "aircraft"))
 TA = with_sql("tracks", "aircraft")

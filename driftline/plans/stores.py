@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import sequences as seqs
 from ..sources import analog, stores
 from ..sources.analog import FIELD_FT, LAT0, LON0, with_sql
 from ..streaming import approach, ingest

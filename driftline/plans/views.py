@@ -11,11 +11,11 @@ from ..operators import sequences as seqs
 from ..sources import analog
 from ..sources.analog import FIELD_FT, LAT0, LON0, with_sql
 from .boards import _GAP, _passes_sql
-from .rasters import _CLASSED_ALL, _CLS_TAIL, _IMPACT_TAIL, impacts
+from .rasters import _CLS_TAIL, _IMPACT_TAIL, impacts
 from .registry import query
 from .relations import _CLASSES, _SCORED_SQL, flown, leaderboard, score_board
 from .scalars import _FT, _NM, PURPOSE_SQL, classified, nearest_zone
-from .trajectories import CSEG, CYCLES, GROUND, MERGED, W, flights, runs_sql
+from .trajectories import CSEG, MERGED, W, flights, runs_sql
 
 _CODE, _BASE = 12, "NATION_12"
 
