@@ -3,18 +3,24 @@
 Spark tokenises, cuts documents that are longer than a sequence, and reduces the pieces to a histogram
 of lengths, which has at most ``capacity`` entries whatever the corpus. The driver plans on it:
 
-1. A configuration is a multiset of lengths that fits one sequence; the program covers the count of every
-   length by as few configurations as it can. Multiplicative weights solve it: every length has a price,
+1. Neighbouring lengths form up to ``GROUPS`` groups of about equal counts, each as long as its longest: prices
+   of a few hundred groups separate where those of thousands of lengths don't.
+2. A configuration is a multiset of groups that fits one sequence; the program covers the count of every
+   group by as few configurations as it can. Multiplicative weights solve it: every group has a price,
    its share of a sequence at first, that grows exponentially as its cover lags behind the others'. In each
-   round a knapsack dynamic program prices all configurations at once. For each length (up to ``CONFIGS`` of
+   round a knapsack dynamic program prices all configurations at once. For each group (up to ``CONFIGS`` of
    them, those with most tokens left) a configuration with it is traced, of the longest pieces that keep it so
-   good; if its price is within ``SLACK`` of the best of all, it is taken as often as the length that it uses up first
+   good; if its price is within ``SLACK`` of the best of all, it is taken as often as the group that it uses up first
    allows, times ``STEP``.
    Prices over the best configuration's price are a dual solution, so every round also yields a lower
    bound; rounds end when what is taken, and the tokens left, are within ``GAP`` of it.
-2. Configurations are rounded: down to whole multiples, then each once more by falling fraction while its
-   pieces last.
-3. What remains goes best-fit decreasing into the gaps of the rounded configurations, then into sequences
+3. Weights alone leave the amounts of these configurations some percent from the optimum. So the configurations
+   are balanced (``balanced``): regret matching plays amounts against prices over those that are there, the
+   knapsack prices the outcome and adds what is better, until both sides are within ``CLOSE``.
+4. Configurations are rounded: down to whole multiples, then each once more by falling fraction while its
+   pieces last. Each takes the longest pieces that its groups still have. Where groups hold several lengths, the
+   weights' own configurations of single lengths (without balance) are rounded too, and the shorter of both counts.
+5. What remains goes best-fit decreasing into the gaps of the rounded configurations, then into sequences
    of its own. Counts of equal bins stay together, so a plan is as long as its number of distinct bins.
 
 Best-fit decreasing alone is planned too, and taken where it needs fewer sequences.
@@ -30,10 +36,11 @@ Null texts are empty: one end token. Repeated rows are packed each.
 from __future__ import annotations
 
 import json
+import math
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +59,10 @@ STEP = 1.0
 RATE = 0.1
 SLACK = 0.002
 GAP = 1e-4
+GROUPS = 400
+PRICINGS = 15
+MATCHES = 1500
+CLOSE = 1e-3
 SPREAD = 1
 _CACHE = 300_000
 
@@ -263,6 +274,78 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rou
     return found, bound
 
 
+def groups(lengths: np.ndarray, counts: np.ndarray, most: int = GROUPS) -> np.ndarray:
+    """The group of each length (ascending): neighbours, of about equal counts, numbered from 0."""
+    middle = np.cumsum(counts) - counts / 2
+    return np.unique((middle * (most / counts.sum())).astype(np.int64), return_inverse=True)[1]
+
+
+def matched(pays: np.ndarray, rounds: int = MATCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Mixtures of columns and of rows, each best against the other, by regret matching; later rounds weigh more."""
+    rows, columns = pays.shape
+    turned = np.ascontiguousarray(pays.T)
+    gain, loss = np.zeros(columns), np.zeros(rows)
+    x, y = np.full(columns, 1 / columns), np.full(rows, 1 / rows)
+    all_x, all_y = np.zeros(columns), np.zeros(rows)
+    for t in range(1, rounds + 1):
+        worth = turned @ y
+        gain = np.maximum(gain + worth - worth @ x, 0)
+        x = gain / s if (s := gain.sum()) else x
+        cover = pays @ x
+        loss = np.maximum(loss + cover @ y - cover, 0)
+        y = loss / s if (s := loss.sum()) else y
+        all_x += t * x
+        all_y += t * y
+    return all_x / all_x.sum(), all_y / all_y.sum()
+
+
+def balanced(
+    sizes: np.ndarray, counts: np.ndarray, found: Iterable[tuple[tuple[int, int], ...]], capacity: int = CAPACITY
+) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray]:
+    """Amounts of configurations (those found, and better ones as the knapsack prices them) that cover all counts, and
+    prices at which no configuration costs over 1: all pieces at them are a lower bound of the sequences needed."""
+
+    def table(configs):
+        out = np.zeros((len(sizes), len(configs)))
+        for j, config in enumerate(configs):
+            for i, n in config:
+                out[i, j] = n
+        return out
+
+    configs = list(dict.fromkeys([*found, *(((i, capacity // int(n)),) for i, n in enumerate(sizes))]))
+    uses, bound, least, amounts, dual = table(configs), 0.0, math.inf, {}, np.zeros(len(sizes))
+    for _ in range(PRICINGS):
+        pays = uses / counts[:, None]
+        x, y = matched(pays / pays.max())
+        covered, prices = float((pays @ x).min()), y / counts
+        if covered and 1 / covered < least:
+            least, amounts = 1 / covered, {c: a / covered for c, a in zip(configs, x.tolist(), strict=True) if a > 0}
+        best, choice = knapsack(sizes, prices, capacity)
+        if bound < 1 / best[capacity]:
+            bound, dual = 1 / best[capacity], prices / best[capacity]
+        if least <= (1 + CLOSE) * bound:
+            break
+        filled = np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))
+        worth = prices @ uses
+        known, new = set(configs), []
+        for first, n in enumerate(sizes.tolist()):
+            own, size = {first: 1}, capacity - n
+            while (size := int(filled[size])) > 0:
+                k = int(choice[size])
+                own[k] = own.get(k, 0) + 1
+                size -= int(sizes[k])
+            config = tuple(sorted(own.items()))
+            if config not in known and sum(prices[k] * n for k, n in config) > 0.9999 * worth.max():
+                known.add(config)
+                new.append(config)
+        if not new:
+            break
+        keep = (x > 1e-9) | (worth > 0.98 * worth.max())
+        configs = [c for c, k in zip(configs, keep.tolist(), strict=True) if k] + new
+        uses = np.hstack([uses[:, keep], table(new)])
+    return amounts, dual
+
+
 def rounded(found: dict[tuple[tuple[int, int], ...], float], left: list[int]) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Whole multiplicities; ``left`` (counts by place) loses what they use."""
     out = {}
@@ -276,6 +359,60 @@ def rounded(found: dict[tuple[tuple[int, int], ...], float], left: list[int]) ->
     return list(out.items())
 
 
+def dealt(taken: list[tuple[tuple[tuple[int, int], ...], int]], stock: list[list[list[int]]]) -> list[tuple[list[int], int]]:
+    """Bins of real lengths for configurations of groups. ``stock`` has [length, count] by group, ascending, and loses
+    the longest first. Equal bins stay together."""
+    bins = []
+    for config, times in taken:
+        while times:
+            alike = min(stock[i][-1][1] // n for i, n in config)  # 0: some group must mix lengths
+            take, own = min(times, max(alike, 1)), []
+            for i, n in config:
+                need = n * take
+                while need:
+                    last = stock[i][-1]
+                    used = min(need, last[1])
+                    own += [last[0]] * (used // take)
+                    last[1] -= used
+                    need -= used
+                    if not last[1]:
+                        stock[i].pop()
+            bins.append((own, take))
+            times -= take
+    return bins
+
+
+def program(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[list[int], int]], float]:
+    """Bins (lengths, number of such bins) by the configuration program, and a lower bound of the number of sequences.
+
+    A length costs what the longest group that is no longer than it does, so the bound holds for the lengths themselves.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    group = groups(lengths, counts)
+    sizes = lengths[np.append(np.flatnonzero(np.diff(group)), len(lengths) - 1)]
+    pooled = np.bincount(group, counts)
+    found, _ = solve(sizes, pooled, capacity, rounds)
+    amounts, prices = balanced(sizes, pooled, found, capacity)
+    prices = np.maximum.accumulate(prices)  # what fits for a longer piece fits for a shorter one
+    below = np.searchsorted(sizes, lengths, "right") - 1
+    bound = float(counts @ np.where(below >= 0, prices[below], 0.0))
+    plans = [_whole(amounts, pooled, group, lengths, counts, capacity)]
+    if len(sizes) < len(lengths):
+        alone, _ = solve(lengths, counts, capacity, rounds)
+        plans.append(_whole(alone, counts, np.arange(len(lengths)), lengths, counts, capacity))
+    return min(plans, key=lambda bins: sum(times for _, times in bins)), bound
+
+
+def _whole(amounts, pooled: np.ndarray, group: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Bins for the amounts of configurations of groups, and for what they leave."""
+    stock: list[list[list[int]]] = [[] for _ in pooled]
+    for n, c, g in zip(lengths.tolist(), counts.tolist(), group.tolist(), strict=True):
+        stock[g].append([n, c])
+    bins = dealt(rounded(amounts, pooled.astype(np.int64).tolist()), stock)
+    return best_fit({n: c for own in stock for n, c in own if c}, capacity, bins)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(length, first rank, number, first sequence, offset) of runs of equal pieces, and the number of sequences.
 
@@ -285,11 +422,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     rest = {n: c for n, c in histogram.items() if c > 0 and n < capacity}
     bins = best_fit(rest, capacity)
     if rest:
-        lengths = np.array(sorted(rest), np.int64)
-        left = [rest[n] for n in lengths.tolist()]
-        found, _ = solve(lengths, np.array(left, np.float64), capacity, rounds)
-        taken = [([int(lengths[i]) for i, n in config for _ in range(n)], times) for config, times in rounded(found, left)]
-        solved = best_fit({n: c for n, c in zip(lengths.tolist(), left, strict=True) if c}, capacity, taken)
+        solved, _ = program(rest, capacity, rounds)
         if sum(t for _, t in solved) <= sum(t for _, t in bins):
             bins = solved
     runs: list[tuple[int, int, int, int, int]] = []
@@ -372,7 +505,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece"))
-    ranked = salted.withColumn("number", number).join(F.broadcast(starts), ["length", "salt"])
+    ranked = salted.withColumn("number", number).join(starts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("number") - 1)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     schema = ", ".join(f"{n} {t}" for n, t in ranked.select(*names).dtypes) + ", sequence_id long, offset long"

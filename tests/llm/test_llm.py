@@ -257,6 +257,43 @@ def test_the_program_is_solved_and_carries_the_plan():
     assert math.isclose(halves[1], 500) and math.isclose(sum(halves[0].values()), 500)
 
 
+def _least(pieces, room=()):
+    """Fewest bins of 20 for the pieces (descending), by trying everything."""
+    if not pieces:
+        return len(room)
+    n, rest = pieces[0], pieces[1:]
+    tried = [_least(rest, tuple(sorted((*room[:i], gap - n, *room[i + 1 :])))) for i, gap in enumerate(room) if gap >= n and gap not in room[:i]]
+    return min([*tried, _least(rest, tuple(sorted((*room, 20 - n))))])
+
+
+def test_small_plans_against_every_packing():
+    """The bound never exceeds the optimum; the program's bins hold all pieces and need one sequence more at most."""
+    r = np.random.default_rng(11)
+    exact = 0
+    for _ in range(40):
+        pieces = sorted(r.integers(3, 14, 8).tolist(), reverse=True)
+        bins, bound = packing.program(dict(collections.Counter(pieces)), 20)
+        assert sorted((n for own, times in bins for n in own * times), reverse=True) == pieces
+        assert all(sum(own) <= 20 for own, _ in bins)
+        best = _least(tuple(pieces))
+        used = sum(times for _, times in bins)
+        assert bound <= best + 1e-6 and best <= used <= best + 1
+        exact += used == best
+    assert exact >= 36
+
+
+@pytest.mark.parametrize(("mean", "deviation", "most", "over"), [(1100, 60, 18_800, 1.14), (1365, 120, 20_100, 0.99)])
+def test_grouped_program_beats_best_fit_where_few_pieces_share_a_sequence(mean, deviation, most, over):
+    """60,000 pieces: near the program's own bound, which is ``over`` the tokens where a rest must stay empty."""
+    drawn = np.clip(np.random.default_rng(5).normal(mean, deviation, 60_000), 1, 4095).astype(int)
+    histogram = dict(collections.Counter(drawn.tolist()))
+    bins, bound = packing.program(histogram)
+    used = sum(times for _, times in bins)
+    assert used <= most and used < 0.99 * sum(times for _, times in packing.best_fit(histogram, 4096))
+    assert over * drawn.sum() / 4096 <= bound <= used <= 1.012 * bound
+    assert packing.plan(histogram)[1] == used
+
+
 def test_knapsack_prices_best_configuration():
     lengths, prices = np.array([3, 5, 7]), np.array([3.0, 5.6, 7.1])
     best, _ = packing.knapsack(lengths, prices, 13)
