@@ -19,18 +19,19 @@ def small(dim: DataFrame, limit: int = SMALL) -> DataFrame:
 def nearest_site(fixes: DataFrame, sites: DataFrame, max_nm: float, cell_deg: float | None = None) -> DataFrame:
     """fixes with the code and distance of the nearest site within ``max_nm`` (null if none).
 
-    Sites are spread over the grid cells that their radius reaches, so the join is by cell, whatever
-    their number; the nearest is a min over a fix's few candidates.
+    Sites are spread over the grid cells that their radius reaches and each cell holds a list of its own, so a fix
+    meets one row, whatever the number of sites, and takes the nearest of that list; no pairs are formed or dealt.
     """
     cell = cell_deg or max_nm / geo.NM_PER_DEG * 1.5
     reach_lat, reach_lon = max_nm / geo.NM_PER_DEG, max_nm / (geo.NM_PER_DEG * 0.5)
     span = lambda c, reach: F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell))
-    spread = sites.select("code", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.explode(span("lat", reach_lat)).alias("cy"), span("lon", reach_lon).alias("xs"))
-    spread = spread.withColumn("cx", F.explode("xs")).drop("xs")
-    placed = fixes.withColumns({"cy": F.floor(F.col("lat") / cell), "cx": F.floor(F.col("lon") / cell)})
-    near = placed.join(small(spread), ["cy", "cx"]).withColumn("nm", geo.planar_nm(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
-    best = near.filter(F.col("nm") <= max_nm).groupBy("seq").agg(F.min(F.struct("nm", "code")).alias("b")).select("seq", F.col("b.code").alias("site"), F.col("b.nm").alias("site_nm"))
-    return fixes.join(best, "seq", "left")
+    spread = sites.select("code", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.explode(span("lat", reach_lat)).alias("_cy"), span("lon", reach_lon).alias("xs"))
+    spread = spread.withColumn("_cx", F.explode("xs")).groupBy("_cy", "_cx").agg(F.collect_list(F.struct("code", "s_lat", "s_lon")).alias("_sites"))
+    placed = fixes.withColumns({"_cy": F.floor(F.col("lat") / cell), "_cx": F.floor(F.col("lon") / cell)})
+    far = lambda s: F.struct(geo.planar_nm(F.col("lat"), F.col("lon"), s["s_lat"], s["s_lon"]).alias("nm"), s["code"].alias("code"))
+    best = placed.join(small(spread), ["_cy", "_cx"], "left").withColumn("_best", F.array_min(F.transform("_sites", far)))
+    own = lambda c: F.when(F.col("_best.nm") <= max_nm, F.col(f"_best.{c}"))
+    return best.select(*fixes.columns, own("code").alias("site"), own("nm").alias("site_nm"))
 
 
 def overlapping(events: DataFrame, flights: DataFrame, key: str, pad: float) -> DataFrame:

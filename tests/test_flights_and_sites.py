@@ -1,10 +1,11 @@
-"""Thinning by batches against a plain version."""
+"""Thinning by batches, sites by lists and neighbours by cells, against plain versions; none deals a call or a pair for each row."""
 
+import math
 import random
 
 import numpy as np
 from driftline.functions import kernels
-from driftline.operators import paths, sequences
+from driftline.operators import joins, paths, sequences
 
 FIX = "hex long, seq long, t_ms long, lat double, lon double, alt double"
 
@@ -38,3 +39,20 @@ def test_thinning_passes_many_flights_at_a_time(spark):
     assert len(found) == len(want) < len(rows) and set(found) == want
     assert "FlatMapGroupsInPandas" not in plan(thinned)
     assert paths.thin(df.limit(0), 0.004).count() == 0
+
+
+def miles(a, b):
+    return math.hypot((b[0] - a[0]) * 60, (b[1] - a[1]) * 60 * math.cos(math.radians((a[0] + b[0]) / 2)))
+
+
+def test_the_nearest_site_without_a_pair_for_each_site(spark):
+    rng = random.Random(8)
+    sites = [(i, 40 + rng.random(), -105 + rng.random(), 0.0) for i in range(60)]
+    rows = [(1, i, i, 40 + rng.random(), -105 + rng.random(), 0.0) for i in range(300)] + [(1, 300, 300, None, None, 0.0), (1, 301, 301, 80.0, 10.0, 0.0)]
+    near = joins.nearest_site(spark.createDataFrame(rows, FIX), spark.createDataFrame(sites, "code int, lat double, lon double, elev double"), 5.0)
+    found = {r["seq"]: (r["site"], r["site_nm"]) for r in near.collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        best = min((miles(r[3:5], s[1:3]), s[0]) for s in sites) if r[3] is not None else (9.0, None)
+        assert found[r[1]][0] == (best[1] if best[0] <= 5 else None)
+    assert "SortAggregate" not in plan(near) and "Join LeftOuter, (seq" not in plan(near)
