@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from driftline.functions import kernels
 from driftline.operators import joins, paths, sequences
 
@@ -56,3 +58,25 @@ def test_the_nearest_site_without_a_pair_for_each_site(spark):
         best = min((miles(r[3:5], s[1:3]), s[0]) for s in sites) if r[3] is not None else (9.0, None)
         assert found[r[1]][0] == (best[1] if best[0] <= 5 else None)
     assert "SortAggregate" not in plan(near) and "Join LeftOuter, (seq" not in plan(near)
+
+
+def test_neighbours_far_north_and_without_sorting_pairs(spark):
+    rng = random.Random(9)
+    new = lambda h, i: (h, i, rng.randrange(4000), 69 + rng.random() * 0.1, 10 + rng.random() * 0.3, rng.random() * 2000)
+    left, right = [new(0, i) for i in range(400)], [new(1, 1000 + i) for i in range(400)]
+    got = joins.neighbours(spark.createDataFrame(left, FIX), spark.createDataFrame(right, FIX), 0.6, 500.0, 900.0)
+    want = {}
+    for a in left:
+        near = [(miles(a[3:5], b[3:5]), b[1]) for b in right if abs(a[2] - b[2]) <= 900 and abs(a[5] - b[5]) <= 500]
+        best = min(near, default=(1.0, None))
+        if best[0] <= 0.6:
+            want[a[1]] = best[1]
+    assert {r["seq"]: r["other"] for r in got.collect()} == want and len(want) > 20
+    assert "SortAggregate" not in plan(got)  # pairs were sorted by seq, so they spilt
+
+
+def test_of_equal_distances_the_lesser_seq(spark):
+    at = lambda h, i, lon: (h, i, 0, 40.0, lon, 0.0)
+    right = spark.createDataFrame([at(1, 9, -105.001), at(1, 8, -104.999)], FIX)  # as far, but for rounding
+    got = joins.neighbours(spark.createDataFrame([at(0, 1, -105.0)], FIX), right.orderBy(F.desc("seq")), 0.6, 500.0, 900.0)
+    assert [r["other"] for r in got.collect()] == [8]
