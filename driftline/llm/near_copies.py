@@ -11,14 +11,17 @@ A candidate's similarity is then told by all TABLES * BITS bits together, with a
 0.8: alike below ``SURE`` differing bits, not alike above ``NEVER``, and between the two, four standard
 errors on either side, by the exact Jaccard similarity of the two sets, as for sets of under ``SMALL``.
 
-Links are sought in rounds. In each, the members of a key are put in an order by chance, those of one
+Links are sought in rounds. In each but the last, the members of a key are put in an order by chance, those of one
 component next to each other, and neighbours of different components are held against each other; what is
-alike makes components for the next round. The first round uses ``FIRST`` tables, those after it all;
-they go on, ``ROUNDS`` at least and ``MOST`` at most, until one finds nothing new (both are three: each round costs the driver memory
-for its plans). Components grow by the new links alone. So a group of any size costs a comparison for each member and table at most, and most members are
+alike makes components for the next round. The first round uses ``FIRST`` tables, those after it all. Components grow by
+the new links alone. So a group of any size costs a comparison for each member and table at most, and most members are
 connected after the first few tables. Keys of more than ``CROWD`` members are put in order in parts, whose
 heads are put in order once more.
 
+The last round, that after ``NEXT`` others, is exact: in keys that still hold several components, all pairs of nodes
+of different ones are compared, unless that was done. So no link between nodes that met is lost but those that join
+what is joined already. Components of a key are paired in blocks of ``CROWD`` by ``CROWD``, so that no task holds all of a key's pairs.
+
 Null texts and texts without words are one node, alike only among themselves.
 """
 
@@ -42,7 +45,7 @@ ALIKE = 0.8
 TABLES, BITS, BUDGET = 80, 32, 1
 SURE, NEVER = int(0.1196 * TABLES * BITS), int(0.1802 * TABLES * BITS)
 SMALL = 40
-FIRST, ROUNDS, MOST = 6, 3, 3
+FIRST, NEXT = 6, 2
 CROWD = 1000
 FEW = 10_000
 _ADD = mix(np.arange(1, TABLES * BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -145,6 +148,23 @@ def _neighbours(rooted: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "before.node").alias("a"), F.greatest("node", "before.node").alias("b")).distinct()
 
 
+def _across(rooted: DataFrame, alike: float) -> DataFrame:
+    """All pairs (a, b) of nodes of different components within a key whose sets' sizes allow them to be alike.
+
+    rooted has key, node, root and the size n of the node's set.
+    """
+    own = rooted.select("key", "root").distinct()
+    parts = own.groupBy("key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    own = own.join(parts, "key").select("key", "root", F.pmod(F.xxhash64("root"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    low = own.filter("part <= other").select("key", F.col("part").alias("p"), F.col("other").alias("q"), F.col("root").alias("low"))
+    high = own.filter("other <= part").select("key", F.col("other").alias("p"), F.col("part").alias("q"), F.col("root").alias("high"))
+    roots = low.join(high, ["key", "p", "q"]).filter("p < q or low < high").select("key", "low", "high")
+    side = lambda root, c: rooted.select("key", F.col("root").alias(root), F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    pairs = roots.join(side("low", "a"), ["key", "low"]).join(side("high", "b"), ["key", "high"])
+    pairs = pairs.filter(F.least("n_a", "n_b") >= alike * F.greatest("n_a", "n_b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
     """Edges (a, b) between nodes that are alike and connect the components of those that met.
 
@@ -155,14 +175,15 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, alike: float =
     rooted = met.filter(F.col("key") < (FIRST << BITS)).withColumn("root", F.col("node"))
     edges = tried = None
     roots = nodes.select("node", F.col("node").alias("root"))
-    for turn in range(1 + MOST):
-        pairs = _neighbours(rooted, turn)
+    for turn in range(2 + NEXT):
+        last = turn == 1 + NEXT
+        pairs = _across(scratch.keep(rooted.join(nodes.select("node", "n"), "node").select("key", "node", "root", "n")), alike) if last else _neighbours(rooted, turn)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = cut(_verified(pairs, docs, nodes, size, alike))
         new = found.limit(1).count() > 0
         edges = found if edges is None else edges.unionAll(found)
-        if not new and turn >= ROUNDS or turn == MOST:
+        if last:
             break
         if new:  # links between components, whose roots are joined
             ends = roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), roots.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")

@@ -122,3 +122,38 @@ def test_recall_end_to_end_at_the_limit(spark):
     assert sum(b not in kept for _, b in close) >= 0.9 * len(close)
     assert sum(b not in kept for _, b in grouped) >= 0.9 * len(grouped) and all(a in kept for a, _ in grouped)
     assert roots(texts) <= kept
+
+
+def test_the_only_link_between_two_groups_of_copies(spark):
+    """Sixty copies of a text and sixty of another, of which one pair alone is alike: by chance it is hardly ever held together."""
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    def copies(body):
+        for _ in range(59):
+            copy = list(body)
+            copy[rng.randrange(40)] = new(1)[0]
+            yield copy
+
+    texts, firsts = {}, []
+    for _ in range(10):
+        body = new(200)
+        one = list(body)
+        one[20] = new(1)[0]
+        other = one[:-20] + new(20)
+        firsts.append(len(texts))
+        for text in (*copies(body), one, other, *copies(other)):
+            texts[len(texts)] = " ".join(text)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()}
+    assert roots(texts) == set(firsts)
+    assert kept >= set(firsts) and len(kept) <= len(firsts) + 2  # a pair meets with probability 0.94
+
+
+def test_pairs_across_components_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", 3)
+    rng = random.Random(13)
+    rows = [(k, 100 * k + i, 100 * k + i % roots_, rng.randrange(80, 101)) for k, size, roots_ in ((1, 30, 30), (2, 25, 4), (3, 9, 1), (4, 2, 2)) for i in range(size)]
+    found = near_copies._across(spark.createDataFrame(rows, "key long, node long, root long, n int"), 0.9)
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and min(a[3], b[3]) >= 0.9 * max(a[3], b[3])}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
