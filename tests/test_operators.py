@@ -159,6 +159,25 @@ def test_budget_keeps_every_kth_and_the_energy(spark):
         assert sorted((r["hex"], r["mark"], r["hp"]) for r in found.collect()) == want
 
 
+def test_spaced_blobs_are_chosen_before_they_are_made(spark):
+    rng = random.Random(21)
+    rows = []
+    for h in range(40):
+        lat, t = 40.0, 0
+        for i in range(rng.choice([1, 2, 3, 12])):
+            t, lat = t + 10, lat + rng.choice([0.0, 0.001, 0.05, -0.2])
+            rows.append((h * 700, t, i, lat, -105.0, rng.uniform(50, 900), rng.uniform(0, 300), 10.0))
+    b = spark.createDataFrame(rows, "hex long, t_ms long, seq long, lat double, lon double, radius_m double, hp double, heading double").repartition(3)
+    even = power.spaced(b, 2.0)
+    want = even.count()
+    for most in (10**6, want // 3, 7):
+        key = lambda df: sorted((r["hex"], r["mark"], *(round(r[c], 9) for c in ("lat", "lon", "radius_m", "hp", "heading"))) for r in df.collect())
+        got = power.spaced_within(b, 2.0, most)
+        assert key(got) == key(power.within_budget(even, most))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans(even) == 1 and scans(got) <= 3  # counted, then made
+
+
 def test_spectra(spark):
     rng = random.Random(9)
     rows = [("s", t, t, [rng.choice([-90.0, -30.0, rng.uniform(-80, 0)]) for _ in range(16)]) for t in range(45)]
