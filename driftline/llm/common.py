@@ -34,6 +34,11 @@ def shared(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark's cleaner deletes the shuffle files of tables that are written."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables in the shared checkpoint folder, in columns and compressed, for as long as a step needs them."""
 

@@ -20,7 +20,9 @@ heads are put in order once more.
 
 The last round, that after ``NEXT`` others, is exact: in keys that still hold several components, all pairs of nodes
 of different ones are compared, unless that was done. So no link between nodes that met is lost but those that join
-what is joined already. Components of a key are paired in blocks of ``CROWD`` by ``CROWD``, so that no task holds all of a key's pairs.
+what is joined already. Nodes of a key are dealt, with their fingerprints, in blocks of some ``CROWD`` by ``CROWD`` (fewer where
+sets are larger than ``LONG`` on average) and compared there, ``CHUNK`` pairs at a time. Only pairs that may be alike become rows, and
+their sets go to a block once, not once a pair.
 
 Null texts and texts without words are one node, alike only among themselves.
 """
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Scratch, cut, fresh, row_key
+from .common import Scratch, cut, fresh, row_key, tidy
 from .components import connected
 from .textkit import Words, gram_hashes, mix, ranges, signed, slices
 
@@ -47,6 +49,8 @@ SURE, NEVER = int(0.1196 * TABLES * BITS), int(0.1802 * TABLES * BITS)
 SMALL = 40
 FIRST, NEXT = 6, 2
 CROWD = 1000
+LONG = 1000
+CHUNK = 1 << 16
 FEW = 10_000
 _ADD = mix(np.arange(1, TABLES * BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -98,25 +102,55 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
+def _alike_rows(alike: float):
+    """The pairs (a, b) whose sets are alike, from rows (block, a, b, own) sorted by block and b: a's set where b is null, else a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
+        for batch in batches:
+            found, own = [], batch.column("own")
+            rows = zip(*(batch.column(name).to_pylist() for name in ("block", "a", "b")), strict=True)
+            for i, (at, a, b) in enumerate(rows):
+                if at != block:
+                    block, sets = at, {}
+                if b is None:
+                    sets[a] = own[i].values.to_numpy().view(np.uint64)  # ascending as such
+                    continue
+                few, many = sorted((sets[a], sets[b]), key=len)
+                shared = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)
+                if shared >= alike * (len(few) + len(many) - shared):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, alike: float) -> DataFrame:
+    """The pairs (a, b, block) that are alike by their sets; a set goes once to each block that it has pairs in."""
+    ends = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = _few(cut(ends.select("node").distinct().join(nodes.select("node", "row"), "node")))
+    sets = docs.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_set_rows(size), "node long, own array<long>")
+    sets = cut(sets.dropDuplicates(["node"]))
+    own = ends.join(sets, "node").select("block", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "own")
+    dealt = own.unionAll(pairs.select("block", "a", "b", F.lit(None).cast("array<long>"))).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(_alike_rows(alike), "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, alike: float) -> DataFrame:
-    """The pairs (a, b) that are alike."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("prints").alias(f"prints_{c}"))
-    differing = F.aggregate(F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND((1 << BITS) - 1))), F.lit(0), lambda s, v: s + v)
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    possible = joined.filter(F.least("n_a", "n_b") >= alike * F.greatest("n_a", "n_b"))
-    told = cut(possible.select("a", "b", differing.alias("bits"), (F.least("n_a", "n_b") < SMALL).alias("small")))
-    sure = told.filter((F.col("bits") < SURE) & ~F.col("small")).select("a", "b")
-    open_ = told.filter("small or bits >= {} and bits <= {}".format(SURE, NEVER)).select("a", "b")
+    """The pairs (a, b) that are alike. Pairs with ``sure`` and ``block`` have been told by their bits."""
+    if "sure" in pairs.columns:
+        told = pairs
+    else:
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("prints").alias(f"prints_{c}"))
+        differing = F.aggregate(F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND((1 << BITS) - 1))), F.lit(0), lambda s, v: s + v)
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        possible = joined.filter(F.least("n_a", "n_b") >= alike * F.greatest("n_a", "n_b")).select("a", "b", differing.alias("bits"), (F.least("n_a", "n_b") < SMALL).alias("small"))
+        told = cut(possible.filter(f"small or bits <= {NEVER}").select("a", "b", F.col("a").alias("block"), (~F.col("small") & (F.col("bits") < SURE)).alias("sure")))
+    sure, open_ = told.filter("sure").select("a", "b"), told.filter("not sure").select("a", "b", "block")
     if not open_.limit(1).count():
         return sure
-    wanted = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
-    wanted = _few(cut(wanted.join(nodes.select("node", "row"), "node")))
-    sets = docs.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_set_rows(size), "node long, own array<long>")
-    sets = cut(sets.dropDuplicates(["node"]))
-    own = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
-    shared = F.size(F.array_intersect("own_a", "own_b"))
-    counted = open_.join(own("a"), "a").join(own("b"), "b").select("a", "b", shared.alias("shared"), (F.size("own_a") + F.size("own_b")).alias("both"))
-    return sure.unionAll(counted.filter(F.col("shared") >= alike * (F.col("both") - F.col("shared"))).select("a", "b"))
+    return sure.unionAll(_exact(open_, docs, nodes, size, alike))
 
 
 def meetings(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -148,21 +182,67 @@ def _neighbours(rooted: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "before.node").alias("a"), F.greatest("node", "before.node").alias("b")).distinct()
 
 
-def _across(rooted: DataFrame, alike: float) -> DataFrame:
+def _across_rows(alike: float, told: bool):
+    """The pairs (a, b) of different roots within a block that sizes and prints allow to be alike, from rows sorted by block, part and root."""
+
+    def work(block: np.ndarray, part: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, alone: np.ndarray, prints: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        new = lambda *columns: np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in columns])])
+        after = lambda first: np.append(np.flatnonzero(first)[1:], len(block))[np.cumsum(first) - 1]
+        end, half = after(new(block)), after(new(block, part))
+        begin = np.where(alone, after(new(block, part, root)), half)  # of two parts, the first is held against the second
+        before = np.concatenate([[0], np.cumsum(end - begin)])
+        at = 0
+        while at < len(block):
+            upto = max(at + 1, int(np.searchsorted(before, before[at] + CHUNK, "right")) - 1)
+            count = end[at:upto] - begin[at:upto]
+            i, j = np.repeat(np.arange(at, upto), count), ranges(begin[at:upto], count)
+            least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            possible = (root[i] != root[j]) & (least >= alike * most)
+            i, j, small = i[possible], j[possible], least[possible] < SMALL
+            sure = np.zeros(len(i), bool)
+            if told:
+                bits = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
+                near = small | (bits <= NEVER)
+                i, j, sure = i[near], j[near], (~small & (bits < SURE))[near]
+            if len(i):
+                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, block[i], sure)], names=["a", "b", "block", "sure"])
+            at = upto
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            if told:
+                cols.append(batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64))
+            rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            whole = np.flatnonzero(rest[0] != rest[0][-1])  # the last block may go on
+            if len(whole):
+                yield from work(*(x[: whole[-1] + 1] for x in rest))
+                rest = [x[whole[-1] + 1 :] for x in rest]
+        if rest is not None:
+            yield from work(*rest)
+
+    return run
+
+
+def _across(rooted: DataFrame, alike: float, prints: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b) of nodes of different components within a key whose sets' sizes allow them to be alike.
 
-    rooted has key, node, root and the size n of the node's set.
+    rooted has key, node, root and the size n of the node's set. With prints (node, prints), pairs that all bits rule out are
+    left out too: they are compared where their key's nodes meet and never become rows. Each of the others has a block where
+    it was found and whether its bits are sure that it is alike.
     """
-    own = rooted.select("key", "root").distinct()
-    parts = own.groupBy("key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
-    own = own.join(parts, "key").select("key", "root", F.pmod(F.xxhash64("root"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    low = own.filter("part <= other").select("key", F.col("part").alias("p"), F.col("other").alias("q"), F.col("root").alias("low"))
-    high = own.filter("other <= part").select("key", F.col("other").alias("p"), F.col("part").alias("q"), F.col("root").alias("high"))
-    roots = low.join(high, ["key", "p", "q"]).filter("p < q or low < high").select("key", "low", "high")
-    side = lambda root, c: rooted.select("key", F.col("root").alias(root), F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
-    pairs = roots.join(side("low", "a"), ["key", "low"]).join(side("high", "b"), ["key", "high"])
-    pairs = pairs.filter(F.least("n_a", "n_b") >= alike * F.greatest("n_a", "n_b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = rooted.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CROWD, F.sum("n") / (CROWD * LONG))).cast("int").alias("parts"))
+    own = rooted.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")
+    own = own.select(block, "part", "root", "node", "n", (F.col("part") == F.col("other")).alias("alone"))
+    own = own if prints is None else own.join(prints, "node").select(*own.columns, "prints")
+    dealt = own.repartition("block").sortWithinPartitions("block", "part", "root")
+    pairs = dealt.mapInArrow(_across_rows(alike, prints is not None), "a long, b long, block long, sure boolean")
+    return pairs.select("a", "b").distinct() if prints is None else pairs.groupBy("a", "b").agg(F.min("block").alias("block"), F.first("sure").alias("sure"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
@@ -172,14 +252,19 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, alike: float =
     """
     scratch = Scratch(nodes.sparkSession)
     met = scratch.keep(meetings(nodes, scratch))
+    tidy(nodes.sparkSession)
     rooted = met.filter(F.col("key") < (FIRST << BITS)).withColumn("root", F.col("node"))
     edges = tried = None
     roots = nodes.select("node", F.col("node").alias("root"))
     for turn in range(2 + NEXT):
         last = turn == 1 + NEXT
-        pairs = _across(scratch.keep(rooted.join(nodes.select("node", "n"), "node").select("key", "node", "root", "n")), alike) if last else _neighbours(rooted, turn)
+        if last:
+            sized = scratch.keep(rooted.join(nodes.select("node", "n"), "node").select("key", "node", "root", "n"))
+            pairs = _across(sized, alike, nodes.select("node", "prints"))
+        else:
+            pairs = _neighbours(rooted, turn)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionAll(pairs)
+        tried = tried if last else pairs if tried is None else tried.unionAll(pairs)
         found = cut(_verified(pairs, docs, nodes, size, alike))
         new = found.limit(1).count() > 0
         edges = found if edges is None else edges.unionAll(found)
@@ -190,6 +275,7 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, alike: float =
             between = found.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
             joined = connected(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
             roots = cut(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        tidy(nodes.sparkSession)  # else the shuffles of all rounds add up
         rooted = met.join(roots, "node")
         mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         rooted = rooted.join(mixed, "key")

@@ -157,3 +157,34 @@ def test_pairs_across_components_in_blocks(spark, monkeypatch):
     found = near_copies._across(spark.createDataFrame(rows, "key long, node long, root long, n int"), 0.9)
     want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and min(a[3], b[3]) >= 0.9 * max(a[3], b[3])}
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_pairs_ruled_out_by_their_bits_never_become_rows(spark, monkeypatch):
+    """Near copies that meet in many keys, but are not alike, are not written pair by pair; blocks lose none that may be alike."""
+    monkeypatch.setattr(near_copies, "CROWD", 7)
+    monkeypatch.setattr(near_copies, "CHUNK", 50)
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 63, 200, np.uint64)
+    sets = [np.concatenate([base[rng.permutation(200)[: 200 - own]], rng.integers(0, 1 << 63, own, np.uint64)]) for own in [*[50] * 40, *[4, 10, 16, 22] * 3]]
+    sets += [s[:30] for s in sets[:4]]
+    prints = np.array([near_copies.fingerprints(s) for s in sets])
+    rows = [(key, i, i // 2 if key == 1 else i, len(sets[i])) for key, own in ((1, range(50)), (2, range(30, 56)), (3, range(3))) for i in own]
+    told = spark.createDataFrame([(i, p.view(np.int32).tolist()) for i, p in enumerate(prints)], "node long, prints array<int>")
+    found = near_copies._across(spark.createDataFrame(rows, "key long, node long, root long, n int"), 0.8, told).collect()
+    bits = lambda a, b: int(np.bitwise_count(prints[a] ^ prints[b]).sum())
+    met = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and min(a[3], b[3]) >= 0.8 * max(a[3], b[3])}
+    small = lambda a, b: min(len(sets[a]), len(sets[b])) < near_copies.SMALL
+    want = {(a, b): not small(a, b) and bits(a, b) < near_copies.SURE for a, b in met if small(a, b) or bits(a, b) <= near_copies.NEVER}
+    assert {(r["a"], r["b"]): r["sure"] for r in found} == want and len(found) == len(want)
+    assert any(want.values()) and not all(want.values()) and 10 * len(want) < len(met)
+
+
+def test_sets_of_a_block_are_compared_exactly(spark):
+    texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 100), (5, 105), (10, 110), (11, 111), (12, 112))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    nodes = spark.createDataFrame([(i, i) for i in range(5)], "node long, row long")
+    pairs = [(a, b, block) for a in range(5) for b in range(a + 1, 5) for block in [(a + b) % 2]]
+    found = near_copies._exact(spark.createDataFrame(pairs, "a long, b long, block long"), docs, nodes, 5, 0.8)
+    own = [shingles(t) for t in texts]
+    want = [(a, b) for a, b, _ in pairs if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+    assert sorted(map(tuple, found.collect())) == want and 0 < len(want) < len(pairs)
